@@ -17,26 +17,28 @@ from fareline.session import new_path
 from fareline.sources.records import load_results, write_csv, write_records
 
 SECONDS = ("median_seconds", "min_seconds", "max_seconds")
+# Fine enough that a mean of two recorded values is never cut at a half.
+DIGITS = 9
 # Records per written result document.
 DOCUMENT_RECORDS = 500
 
 
 def timings(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(timing_statistics(measurements(spark, folder)), SECONDS)
+    return rounded(timing_statistics(measurements(spark, folder)), SECONDS, DIGITS)
 
 
 def timings_by_search(spark: SparkSession, folder: str) -> DataFrame:
     """The same medians, with every group treated as too large for the built-in aggregate."""
-    return rounded(timing_statistics(measurements(spark, folder), group_rows=0), SECONDS)
+    return rounded(timing_statistics(measurements(spark, folder), group_rows=0), SECONDS, DIGITS)
 
 
 def pivoted(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(operation_by_backend(measurements(spark, folder), BACKENDS), BACKENDS)
+    return rounded(operation_by_backend(measurements(spark, folder), BACKENDS), BACKENDS, DIGITS)
 
 
 def medians(spark: SparkSession, folder: str) -> DataFrame:
     table = backend_medians(timing_statistics(measurements(spark, folder)))
-    return rounded(table, ["median_of_medians"])
+    return rounded(table, ["median_of_medians"], DIGITS)
 
 
 def status(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +65,7 @@ def document_timings(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark, "documents")
     write_records(documents(spark, folder), path)
     loaded = load_results(spark, path, multi_line=False)
-    return rounded(timing_statistics(loaded.measurements), SECONDS)
+    return rounded(timing_statistics(loaded.measurements), SECONDS, DIGITS)
 
 
 def csv_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,11 +86,11 @@ GOOD_SQL = """good AS (
     min(seconds) AS min_seconds, max(seconds) AS max_seconds, count(seconds) AS repeats
   FROM good GROUP BY ALL)"""
 TIMINGS_SQL = f"""WITH {MEASUREMENTS_SQL}, {GOOD_SQL}
-SELECT dataset, mode, operation, backend, round(median_seconds, 6) AS median_seconds,
-  round(min_seconds, 6) AS min_seconds, round(max_seconds, 6) AS max_seconds, repeats
+SELECT dataset, mode, operation, backend, round(median_seconds, 9) AS median_seconds,
+  round(min_seconds, 9) AS min_seconds, round(max_seconds, 9) AS max_seconds, repeats
 FROM timings"""
 PIVOT_SQL = ", ".join(
-    f"round(max(median_seconds) FILTER (backend = '{name}'), 6) AS {name}" for name in BACKENDS
+    f"round(max(median_seconds) FILTER (backend = '{name}'), 9) AS {name}" for name in BACKENDS
 )
 
 QUERIES = {
@@ -102,7 +104,7 @@ QUERIES = {
     "backend_medians": Query(
         medians,
         f"WITH {MEASUREMENTS_SQL}, {GOOD_SQL} SELECT backend, "
-        "round(median(median_seconds), 6) AS median_of_medians FROM timings GROUP BY backend",
+        "round(median(median_seconds), 9) AS median_of_medians FROM timings GROUP BY backend",
     ),
     "run_status": Query(
         status,

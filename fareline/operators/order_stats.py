@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +26,11 @@ BINS = 4096
 # Histogram rows that may come back to the driver in one pass.
 HISTOGRAM_ROWS = 1 << 18
 LARGEST = sys.float_info.max
-# Groups up to this many rows are left to the built-in exact median.
-GROUP_ROWS = 5_000_000
+# Up to this many rows the built-in median, which holds all distinct values of a group in one
+# buffer, is used.
+MEDIAN_ROWS = 200_000
+# Groups up to this many rows are sorted by one task, which spills to disk.
+GROUP_ROWS = 20_000_000
 
 
 @dataclass
@@ -161,9 +164,9 @@ def order_statistics(
 ) -> OrderStatistics:
     """Values of ``column`` at 0-based ranks; ``ranks`` receives the number of non-missing rows."""
     kind = df.schema[column].dataType
-    axis = axis_value(column, kind)
-    bounds = df.agg(F.count(axis).alias("n"), F.min(axis).alias("low"), F.max(axis).alias("high"))
-    rows, low, high = bounds.first()
+    typed = axis_value(column, kind) if isinstance(kind, T.FractionalType) else F.col(column)
+    ends = df.agg(F.count(typed).alias("n"), F.min(typed).alias("low"), F.max(typed).alias("high"))
+    rows, low, high = ends.select("n", axis_value("low", kind), axis_value("high", kind)).first()
     search = Search()
     wanted = sorted(set(ranks(rows)))
     if wanted:
@@ -305,6 +308,21 @@ def heavy_medians(df: DataFrame, keys: Sequence[str], value: str, heavy: list) -
     return spark.createDataFrame(rows, schema)
 
 
+def sorted_medians(
+    df: DataFrame, keys: Sequence[str], value: Column, name: str, extra: Sequence[Column]
+) -> DataFrame:
+    """Median per group from a sort inside the group; the aggregates reuse its partitioning."""
+    group = Window.partitionBy(*keys)
+    order = group.orderBy(F.col("_axis").asc_nulls_last())
+    placed = df.withColumn("_axis", value).withColumns(
+        {"_rank": F.row_number().over(order) - 1, "_rows": F.count("_axis").over(group)}
+    )
+    first = F.floor((F.col("_rows") - 1) / 2)
+    second = F.floor(F.col("_rows") / 2)
+    middle_value = F.when(F.col("_rank").between(first, second), F.col("_axis"))
+    return placed.groupBy(*keys).agg(F.avg(middle_value).alias(name), *extra)
+
+
 def grouped_median(
     df: DataFrame,
     keys: Sequence[str],
@@ -315,9 +333,9 @@ def grouped_median(
 ) -> DataFrame:
     """Exact median of ``value`` per group, with further aggregates ``extra``.
 
-    The built-in median holds every distinct value of a group in one buffer. Groups with more than
-    ``group_rows`` values therefore go through the refinement above; a first cheap count tells
-    which ones they are. Rows with a missing key are left out.
+    A first count with map-side combine tells which groups exceed ``group_rows``. Those go through
+    the refinement above and never meet in one task; the others are sorted within their group.
+    Rows with a missing key are left out.
     """
     keys = list(keys)
     known = df
@@ -329,11 +347,11 @@ def grouped_median(
     )
     heavy = sizes.where(F.col("n") > group_rows).collect()
     if not heavy:
-        return known.groupBy(*keys).agg(F.median(axis).alias(name), *extra)
+        return sorted_medians(known, keys, axis, name, extra)
     marks = heavy_medians(known, keys, value, heavy)
     if len(heavy) <= SMALL_TABLE_ROWS:
         marks = F.broadcast(marks)
-    marked = known.join(marks, keys, "left")
-    light = F.median(F.when(F.col("_median").isNull(), axis))
-    settled = F.coalesce(F.first("_median", ignorenulls=True), light)
-    return marked.groupBy(*keys).agg(settled.alias(name), *extra)
+    settled = F.first("_median").alias(name)
+    searched = known.join(marks, keys).groupBy(*keys).agg(settled, *extra)
+    light = known.join(marks, keys, "left_anti")
+    return searched.unionByName(sorted_medians(light, keys, axis, name, extra))

@@ -87,6 +87,12 @@ def labelled(df: DataFrame) -> DataFrame:
 KEPT = ("row_id", "fare_amt", "band")
 
 
+def in_threads(spark: SparkSession, run: Callable, jobs: Sequence, parallelism: int) -> list:
+    """Submit Spark jobs from a few driver threads; the executors do the work."""
+    with ThreadPool(parallelism) as pool:
+        return pool.map(inheritable_thread_target(spark)(run), jobs, chunksize=1)
+
+
 @dataclass(frozen=True)
 class Task:
     """What is tuned: how to fit, how to score, and whether a smaller score is better."""
@@ -137,8 +143,7 @@ def fold_scores(split: Split, tasks: Sequence[Task], parallelism: int = 2) -> li
                 task, _, params = job
                 return task.score(task.fit(fit_rows, rows, params), score_rows)
 
-            with ThreadPool(parallelism) as pool:
-                values = pool.map(inheritable_thread_target(run), jobs)
+            values = in_threads(train.sparkSession, run, jobs, parallelism)
         scores += [
             (task.name, number, params, fold.number, value)
             for (task, number, params), value in zip(jobs, values, strict=True)
@@ -210,8 +215,13 @@ def fit_fare_models(
     train, test = labelled(split.train), labelled(split.test)
     prepared = fit_preprocessing(train, split.features, split.train_rows)
     with cached(prepared.transform(train, KEPT)) as fit_rows:
-        regressor = fare.fit(fit_rows, split.train_rows, best_fare[0])
-        classifier = band.fit(fit_rows, split.train_rows, best_band[0])
+
+        def refit(pair: tuple) -> Model:
+            task, params = pair
+            return task.fit(fit_rows, split.train_rows, params)
+
+        chosen = [(fare, best_fare[0]), (band, best_band[0])]
+        regressor, classifier = in_threads(spark, refit, chosen, parallelism)
     predictions = classifier.transform(regressor.transform(prepared.transform(test, KEPT)))
     return FareModels(
         cv_table(spark, scores, fare),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A table is only shipped to every executor after it was counted to hold at most this many rows.
-SMALL_TABLE_ROWS = 10_000
+SMALL_TABLE_ROWS = 50_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="fareline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -63,6 +63,14 @@ def localised(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` computed once: local and broadcast if proven small, else a written table."""
+    rows = small_rows(df)
+    if rows is None:
+        return written(df, label)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 @contextmanager
 def cached(df: DataFrame) -> Iterator[DataFrame]:
     """Hold ``df`` in executor memory (spilling to disk) for the length of a ``with`` block."""
