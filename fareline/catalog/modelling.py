@@ -31,6 +31,7 @@ from fareline.plans.modelling.models import (
     fare_task,
     fit_fare_models,
     fold_scores,
+    holdout_predictions,
     model_record,
     stage_comparison,
 )
@@ -152,26 +153,19 @@ def stage_split(spark: SparkSession, folder: str, stage: str = "completed-trip")
     return ml_frame(trips(spark, folder), stage=stage)
 
 
-def fitted_models(spark: SparkSession, folder: str):
-    """Models of the completed trip with one setting per model instead of the whole grid."""
-    split = stage_split(spark, folder)
-    models = fit_fare_models(
-        split,
-        rounds=ROUNDS,
-        regression_grid={"max_depth": (3,), "learning_rate": (0.15,)},
-        classification_grid={"C": (1.0,)},
-    )
-    return split, models
-
-
 def regression(spark: SparkSession, folder: str) -> DataFrame:
-    _, models = fitted_models(spark, folder)
-    return models.predictions.select("row_id", "fare_amt", "predicted_fare")
+    """Fares of the hold-out as predicted by boosted trees."""
+    params = {"max_depth": 3, "learning_rate": 0.15}
+    task = fare_task(rounds=ROUNDS)
+    found = holdout_predictions(stage_split(spark, folder), task, params, "predicted_fare")
+    return found.select("row_id", "fare_amt", "predicted_fare")
 
 
 def classification(spark: SparkSession, folder: str) -> DataFrame:
-    _, models = fitted_models(spark, folder)
-    return models.predictions.select("row_id", "band", "predicted_band")
+    """Fare bands of the hold-out as predicted by logistic regression."""
+    split = stage_split(spark, folder)
+    found = holdout_predictions(split, band_task(), {"C": 1.0}, "predicted_band")
+    return found.select("row_id", "band", "predicted_band")
 
 
 def cv_results(spark: SparkSession, folder: str) -> DataFrame:
@@ -184,20 +178,24 @@ def cv_results(spark: SparkSession, folder: str) -> DataFrame:
     return joined.withColumn("params", F.to_json("params"))
 
 
+# One setting per model where the whole search is not the point.
+ONE_SETTING = {
+    "rounds": ROUNDS,
+    "regression_grid": {"max_depth": (3,), "learning_rate": (0.15,)},
+    "classification_grid": {"C": (1.0,)},
+}
+
+
 def record(spark: SparkSession, folder: str) -> DataFrame:
-    split, models = fitted_models(spark, folder)
+    split = stage_split(spark, folder)
+    models = fit_fare_models(split, **ONE_SETTING)
     path = f"{folder}/events.parquet"
-    return model_record(trips(spark, folder), models, split, "events", [path])
+    found = model_record(trips(spark, folder), models, split, "events", [path])
+    return found.select("stage", F.to_json(F.struct("*")).alias("document"))
 
 
 def stages(spark: SparkSession, folder: str) -> DataFrame:
-    compared = stage_comparison(
-        trips(spark, folder),
-        STAGES,
-        rounds=ROUNDS,
-        regression_grid={"max_depth": (3,), "learning_rate": (0.15,)},
-        classification_grid={"C": (1.0,)},
-    )
+    compared = stage_comparison(trips(spark, folder), STAGES, **ONE_SETTING)
     fare = [F.col(f"regression.{name}").alias(name) for name in ("rmse", "mae", "r2")]
     band = [F.col(f"classification.{name}").alias(name) for name in ("accuracy", "macro_f1")]
     return compared.select("stage", "train_rows", "test_rows", *fare, *band)

@@ -34,7 +34,9 @@ def ranked_by_priority(
     key = F.col(key) if isinstance(key, str) else key
     drawn = df.withColumn("_priority", priority(key, seed))
     digits = F.substring("_priority", 1, BUCKET_DIGITS)
-    drawn = drawn.withColumn("_bucket", F.conv(digits, 16, 10).cast("int"))
+    # Never NULL, and declared so: a nullable join key would be computed once more in a filter.
+    bucket = F.coalesce(F.conv(digits, 16, 10).cast("int"), F.lit(0))
+    drawn = drawn.withColumn("_bucket", bucket)
     sizes = drawn.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")
     starts = sizes.select("_bucket", before.alias("_start"))

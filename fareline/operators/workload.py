@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareline.functions.trips import angular_value
-from fareline.session import small_rows
+from fareline.session import local_table, small_table
 from fareline.sources.trips import has_coordinates
 
 # The inclusive tip range of the filtered modes.
@@ -43,32 +45,44 @@ def fare_value_counts(df: DataFrame) -> DataFrame:
     return known.groupBy("fare_amt").agg(F.count("*").alias("n"))
 
 
-def row_id_join(df: DataFrame, lookup: DataFrame, key: str = "passenger_count") -> DataFrame:
-    """Trips whose ``row_id`` equals a lookup key, with the lookup columns.
+@dataclass(frozen=True)
+class RowLookup:
+    """Lookup keyed by ``row_id``; ``low`` and ``high`` bound the keys of a small one."""
+
+    table: DataFrame
+    low: int | None = None
+    high: int | None = None
+
+
+def row_lookup(lookup: DataFrame, key: str = "passenger_count") -> RowLookup:
+    """Turn the lookup key into a ``row_id``; a fractional key matches no row.
 
-    The lookup key is turned into the type of ``row_id``, never the other way round, so that the
-    bounds of a small lookup reach the Parquet scan of the trips: only row groups that can hold a
-    matching ``row_id`` are read. A lookup that is not proven small is joined by shuffle.
+    The lookup key takes the type of ``row_id``, never the other way round, and a lookup that is
+    proven small is kept locally with the bounds of its keys.
     """
     measures = [name for name in lookup.columns if name != key]
     whole = F.col(key) == F.floor(key)
     keyed = lookup.where(whole).select(F.col(key).try_cast("bigint").alias("row_id"), *measures)
     keyed = keyed.where(F.col("row_id").isNotNull())
-    rows = small_rows(keyed)
+    rows = small_table(keyed)
     if rows is None:
-        return df.join(keyed, "row_id")
-    local = df.sparkSession.createDataFrame(rows, keyed.schema)
-    ids = [row["row_id"] for row in rows]
-    bounds = F.col("row_id").between(min(ids), max(ids)) if ids else F.lit(False)
-    return df.where(bounds).join(F.broadcast(local), "row_id")
+        return RowLookup(keyed)
+    bounds = pc.min_max(rows["row_id"])
+    table = local_table(lookup.sparkSession, rows, keyed.schema)
+    return RowLookup(table, bounds["min"].as_py(), bounds["max"].as_py())
 
 
-def one_value(measure: Column) -> Callable[[DataFrame, DataFrame | None], DataFrame]:
-    return lambda df, lookup: df.agg(measure.alias("value"))
-
+def row_id_join(df: DataFrame, lookup: DataFrame | RowLookup) -> DataFrame:
+    """Trips whose ``row_id`` equals a lookup key, with the lookup columns.
 
-def each_row(measure: Callable[[], Column]) -> Callable[[DataFrame, DataFrame | None], DataFrame]:
-    return lambda df, lookup: df.select("row_id", measure().alias("value"))
+    The bounds of a small lookup reach the Parquet scan of the trips, so only row groups that can
+    hold a matching ``row_id`` are read. Other lookups are joined by shuffle.
+    """
+    if isinstance(lookup, DataFrame):
+        lookup = row_lookup(lookup)
+    if lookup.low is not None:
+        df = df.where(F.col("row_id").between(lookup.low, lookup.high))
+    return df.join(lookup.table, "row_id")
 
 
 def fare_plus_tip() -> Column:
@@ -79,39 +93,27 @@ def fare_times_tip() -> Column:
     return F.col("fare_amt") * F.col("tip_amt")
 
 
-def scalar_measures() -> dict[str, Column]:
-    """Aggregate behind each operation that yields one number."""
-    return {
-        "count": F.count("*"),
-        "count_index": F.count("row_id"),
-        "mean": F.avg("fare_amt"),
-        "std": F.stddev_samp("fare_amt"),
-        "mean_sum": F.avg(fare_plus_tip()),
-        "mean_product": F.avg(fare_times_tip()),
-        "mean_complex": F.avg(angular_value()),
-    }
-
-
-def row_measures() -> dict[str, Callable[[], Column]]:
-    """Row-wise expression behind each operation that yields one value per trip."""
-    return {
-        "sum_columns": fare_plus_tip,
-        "product_columns": fare_times_tip,
-        "complex": angular_value,
-    }
-
-
-def build_operations() -> dict[str, Callable[[DataFrame, DataFrame | None], DataFrame]]:
-    table = {name: one_value(measure) for name, measure in scalar_measures().items()}
-    table.update({name: each_row(measure) for name, measure in row_measures().items()})
-    table["value_counts"] = lambda df, lookup: fare_value_counts(df)
-    table["groupby"] = lambda df, lookup: passenger_stats(df)
-    table["join"] = row_id_join
-    table["join_count"] = lambda df, lookup: row_id_join(df.select("row_id"), lookup).agg(
-        F.count("*").alias("value")
-    )
-    return table
-
+# Aggregate behind each operation that yields one number.
+SCALAR_MEASURES: dict[str, Callable[[], Column]] = {
+    "count": lambda: F.count("*"),
+    "count_index": lambda: F.count("row_id"),
+    "mean": lambda: F.avg("fare_amt"),
+    "std": lambda: F.stddev_samp("fare_amt"),
+    "mean_sum": lambda: F.avg(fare_plus_tip()),
+    "mean_product": lambda: F.avg(fare_times_tip()),
+    "mean_complex": lambda: F.avg(angular_value()),
+}
+# Expression behind each operation that yields one value per trip.
+ROW_MEASURES: dict[str, Callable[[], Column]] = {
+    "sum_columns": fare_plus_tip,
+    "product_columns": fare_times_tip,
+    "complex": angular_value,
+}
+# Operations that yield a table.
+TABLES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "value_counts": fare_value_counts,
+    "groupby": passenger_stats,
+}
 
 # The operation names of the workload.
 OPERATIONS = (
@@ -141,14 +143,24 @@ def unavailable_reason(columns: list[str], name: str) -> str | None:
     return NO_COORDINATES if lacking else None
 
 
-def operation(df: DataFrame, name: str, lookup: DataFrame | None = None) -> DataFrame:
+def operation(
+    df: DataFrame, name: str, lookup: DataFrame | RowLookup | None = None
+) -> DataFrame:
     """Plan of one operation. Nothing runs but the size check of the lookup in the two joins."""
     reason = unavailable_reason(df.columns, name)
     if reason:
         raise ValueError(f"{name}: {reason}")
-    if name in ("join", "join_count") and lookup is None:
+    if name in SCALAR_MEASURES:
+        return df.agg(SCALAR_MEASURES[name]().alias("value"))
+    if name in ROW_MEASURES:
+        return df.select("row_id", ROW_MEASURES[name]().alias("value"))
+    if name in TABLES:
+        return TABLES[name](df)
+    if lookup is None:
         lookup = lookup_dimension(df)
-    return build_operations()[name](df, lookup)
+    if name == "join":
+        return row_id_join(df, lookup)
+    return row_id_join(df.select("row_id"), lookup).agg(F.count("*").alias("value"))
 
 
 def operation_availability(df: DataFrame) -> DataFrame:

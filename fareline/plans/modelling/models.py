@@ -187,6 +187,16 @@ def best_setting(scores: Sequence[tuple], task: Task) -> tuple[Params, float]:
     return min(means, key=lambda pair: sign * pair[1])
 
 
+def holdout_predictions(split: Split, task: Task, params: Params, predicted: str) -> DataFrame:
+    """Fit one setting on the training side and predict the hold-out."""
+    train, test = labelled(split.train), labelled(split.test)
+    prepared = fit_preprocessing(train, split.features, split.train_rows)
+    with cached(prepared.transform(train, KEPT)) as fit_rows:
+        model = task.fit(fit_rows, split.train_rows, params)
+    outcome = model.transform(prepared.transform(test, KEPT))
+    return written(outcome.select(*KEPT, predicted), "predictions")
+
+
 @dataclass(frozen=True)
 class FareModels:
     """Search results, the refitted models, and their predictions on the hold-out."""

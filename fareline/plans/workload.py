@@ -39,7 +39,7 @@ def run_workload(df: DataFrame, names: Iterable[str] = w.OPERATIONS) -> dict[str
     runnable = [name for name in names if w.unavailable_reason(df.columns, name) is None]
     lookup = None
     if {"join", "join_count"} & set(runnable):
-        lookup = localised(w.lookup_dimension(df))
+        lookup = w.row_lookup(w.lookup_dimension(df))
     return {name: w.operation(df, name, lookup) for name in runnable}
 
 
@@ -49,15 +49,15 @@ def scalar_digest(df: DataFrame) -> DataFrame:
     A row-wise operation is represented by its row count and the mean of its values.
     """
     available = [n for n in w.OPERATIONS if w.unavailable_reason(df.columns, n) is None]
-    scalars, by_row = w.scalar_measures(), w.row_measures()
-    chosen = {name: scalars[name] for name in available if name in scalars}
-    chosen |= {name: F.avg(by_row[name]()) for name in available if name in by_row}
+    chosen = {n: w.SCALAR_MEASURES[n]() for n in available if n in w.SCALAR_MEASURES}
+    chosen |= {n: F.avg(w.ROW_MEASURES[n]()) for n in available if n in w.ROW_MEASURES}
     one = [measure.cast("double").alias(name) for name, measure in chosen.items()]
     totals = df.agg(F.count("*").alias("_rows"), *one)
+    one_row = F.lit(1).cast("bigint")
     entries = [
         F.struct(
             F.lit(name).alias("operation"),
-            (F.lit(1).cast("bigint") if name in scalars else F.col("_rows")).alias("rows"),
+            (one_row if name in w.SCALAR_MEASURES else F.col("_rows")).alias("rows"),
             F.col(name).alias("value"),
         )
         for name in chosen

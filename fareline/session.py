@@ -7,9 +7,11 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A table is only shipped to every executor after it was counted to hold at most this many rows.
 SMALL_TABLE_ROWS = 50_000
@@ -46,10 +48,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_rows(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> list | None:
+def small_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> pa.Table | None:
     """All rows of ``df`` if there are at most ``limit``, else ``None``."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+    rows = df.limit(limit + 1).toArrow()
+    return rows if rows.num_rows <= limit else None
+
+
+def local_table(spark: SparkSession, rows: pa.Table, schema: T.StructType) -> DataFrame:
+    """Rows that are part of the plan: no job computes them, and Spark knows their size."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
 def localised(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
@@ -57,18 +64,14 @@ def localised(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
 
     A larger table keeps its plan, so the join falls back to a shuffle join under AQE.
     """
-    rows = small_rows(df, limit)
-    if rows is None:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    rows = small_table(df, limit)
+    return df if rows is None else local_table(df.sparkSession, rows, df.schema)
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:
     """``df`` computed once: local and broadcast if proven small, else a written table."""
-    rows = small_rows(df)
-    if rows is None:
-        return written(df, label)
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    rows = small_table(df)
+    return written(df, label) if rows is None else local_table(df.sparkSession, rows, df.schema)
 
 
 @contextmanager

@@ -28,14 +28,17 @@ def write_samples(
 ) -> None:
     """Write the nested samples below ``path``, one folder per label, ordered by ``row_id``.
 
-    The largest sample is computed once; the smaller ones are prefixes read back from it, where
-    the ``row_id`` bound skips row groups.
+    Row numbers are dense, so equal runs of them make equal files without a sampling pass. The
+    largest sample is computed once; the smaller ones are prefixes read back from it, where the
+    ``row_id`` bound skips files and row groups.
     """
     spark = samples.sparkSession
     sizes = checked_sizes(sizes)
     largest = f"{path}/{SAMPLE_LABELS[-1]}"
     rows = samples.drop("sample")
-    ordered = rows.repartitionByRange("row_id").sortWithinPartitions("row_id")
+    runs = -(-sizes[-1] // file_rows)
+    run = F.floor(F.col("row_id") / file_rows)
+    ordered = rows.repartition(runs, run).sortWithinPartitions("row_id")
     write_parquet(ordered, largest, file_rows)
     kept = spark.read.schema(rows.schema).parquet(largest)
     for label, size in zip(SAMPLE_LABELS[:-1], sizes[:-1], strict=True):

@@ -31,13 +31,17 @@ COORDINATES = ("start_lon", "start_lat", "end_lon", "end_lat")
 MOMENT = "pickup_datetime"
 
 
-def load_trips(spark: SparkSession, *paths: str) -> DataFrame:
+def load_trips(
+    spark: SparkSession, *paths: str, schema: T.StructType | None = None
+) -> DataFrame:
     """Scan one or more Parquet paths as one table.
 
     Spark splits the files by ``spark.sql.files.maxPartitionBytes`` and reads only the columns and
-    row groups the query needs, so nothing is selected here.
+    row groups the query needs, so nothing is selected here. With a known ``schema`` no file footer
+    is read to plan the query, which otherwise costs a job per load.
     """
-    return spark.read.parquet(*paths)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(*paths)
 
 
 def row_identity() -> Column:

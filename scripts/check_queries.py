@@ -25,6 +25,7 @@ def make_session(cores: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("fareline-check")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")

@@ -130,7 +130,7 @@ def test_fractional_lookup_keys_never_match(spark):
 def test_large_lookup_joins_by_shuffle(spark, monkeypatch):
     ids = spark.range(300)
     lookup = ids.select(F.col("id").cast("double").alias("passenger_count"), F.lit(1.0).alias("m"))
-    monkeypatch.setattr("fareline.operators.workload.small_rows", lambda df: None)
+    monkeypatch.setattr("fareline.operators.workload.small_table", lambda df: None)
     joined = row_id_join(ids.withColumnRenamed("id", "row_id"), lookup)
     assert "rightHint=(strategy=broadcast)" not in joined._jdf.queryExecution().toString()
     assert joined.count() == 300
