@@ -36,18 +36,27 @@ from fareline.plans.modelling.models import (
     stage_comparison,
 )
 from fareline.plans.modelling.split import (
+    COMPLETED_FEATURES,
     MOMENT,
     STAGES,
     chronological_split,
     ml_frame,
     split_summary,
 )
-from fareline.session import new_path
+from fareline.session import new_path, written
 from fareline.sources.records import load_results, write_records
 
 # Boosting rounds of the registered model queries. The library default is 100.
 ROUNDS = 5
 NUMBERS = ("passenger_count", "trip_distance", "start_lon", "end_lon")
+MODEL_COLUMNS = (
+    "fare_amt",
+    "passenger_count",
+    "start_lon",
+    "start_lat",
+    "pickup_zone",
+    *COMPLETED_FEATURES,
+)
 
 
 def frame(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,9 +73,14 @@ def summary(spark: SparkSession, folder: str) -> DataFrame:
     return split_summary(timed, chronological_split(timed))
 
 
+def prepared(trips: DataFrame, *columns: str) -> DataFrame:
+    """Trips written once: fitting reads them many times, and the view parses JSON."""
+    return written(trips.select("row_id", MOMENT, *columns), "trips")
+
+
 def scaled(spark: SparkSession, folder: str) -> DataFrame:
     """Numeric features of all sparse trips, scaled by statistics of the training side."""
-    sparse = trips_sparse(spark, folder)
+    sparse = prepared(trips_sparse(spark, folder), *NUMBERS)
     split = chronological_split(sparse)
     fitted = fit_preprocessing(split.train, NUMBERS, split.train_rows)
     return rounded(fitted.scaled(sparse), NUMBERS)
@@ -74,7 +88,7 @@ def scaled(spark: SparkSession, folder: str) -> DataFrame:
 
 def scaled_by_search(spark: SparkSession, folder: str) -> DataFrame:
     """The same, with the medians found by counting passes."""
-    sparse = trips_sparse(spark, folder)
+    sparse = prepared(trips_sparse(spark, folder), *NUMBERS)
     split = chronological_split(sparse)
     fitted = fit_preprocessing(split.train, NUMBERS)
     return rounded(fitted.scaled(sparse), NUMBERS)
@@ -150,7 +164,7 @@ def scores_of_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage_split(spark: SparkSession, folder: str, stage: str = "completed-trip"):
-    return ml_frame(trips(spark, folder), stage=stage)
+    return ml_frame(prepared(trips(spark, folder), *MODEL_COLUMNS), stage=stage)
 
 
 def regression(spark: SparkSession, folder: str) -> DataFrame:
@@ -195,7 +209,8 @@ def record(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stages(spark: SparkSession, folder: str) -> DataFrame:
-    compared = stage_comparison(trips(spark, folder), STAGES, **ONE_SETTING)
+    whole = prepared(trips(spark, folder), *MODEL_COLUMNS)
+    compared = stage_comparison(whole, STAGES, **ONE_SETTING)
     fare = [F.col(f"regression.{name}").alias(name) for name in ("rmse", "mae", "r2")]
     band = [F.col(f"classification.{name}").alias(name) for name in ("accuracy", "macro_f1")]
     return compared.select("stage", "train_rows", "test_rows", *fare, *band)

@@ -26,6 +26,8 @@ BINS = 4096
 # Histogram rows that may come back to the driver in one pass.
 HISTOGRAM_ROWS = 1 << 18
 LARGEST = sys.float_info.max
+# Once the open ranges hold this few rows in total, their values are counted one by one.
+EXACT_ROWS = 20_000
 # Up to this many rows the built-in median, which holds all distinct values of a group in one
 # buffer, is used.
 MEDIAN_ROWS = 200_000
@@ -35,11 +37,15 @@ GROUP_ROWS = 20_000_000
 
 @dataclass
 class Range:
-    """Open search: ``ranks`` lie between ``low`` and ``high``, ``below`` rows lie under ``low``."""
+    """Open search: ``ranks`` lie among the ``rows`` values from ``low`` to ``high``.
+
+    ``below`` rows of the group lie under ``low``.
+    """
 
     group: tuple
     low: int | float
     high: int | float
+    rows: int
     below: int
     ranks: list[int]
 
@@ -84,10 +90,15 @@ def literal(value: int | float, kind: T.DataType) -> Column:
     return F.lit(float(value)) if isinstance(kind, T.FractionalType) else F.lit(value).cast("bigint")
 
 
-def histogram(frame: DataFrame, kind: T.DataType, bins: int) -> list:
-    """Counts and value bounds per (range, bin) of a frame with ``_range, _axis, _low, _high``."""
+def histogram(frame: DataFrame, kind: T.DataType, bins: int | None) -> list:
+    """Counts and value bounds per (range, bin) of a frame with ``_range, _axis, _low, _high``.
+
+    Without a number of bins, every value is a bin of its own.
+    """
     inside = frame.where(F.col("_axis").between(F.col("_low"), F.col("_high")))
-    slot = bin_of(F.col("_axis"), F.col("_low"), F.col("_high"), kind, bins)
+    slot = F.col("_axis")
+    if bins is not None:
+        slot = bin_of(slot, F.col("_low"), F.col("_high"), kind, bins)
     return (
         inside.groupBy("_range", slot.alias("_bin"))
         .agg(F.count("*").alias("n"), F.min("_axis").alias("low"), F.max("_axis").alias("high"))
@@ -107,7 +118,7 @@ def narrowed(search: Search, rows: list) -> Search:
         for row in sorted(by_range.get(number, []), key=lambda r: r["_bin"]):
             held = [rank for rank in waiting if rank < below + row["n"]]
             if held:
-                following.add(Range(part.group, row["low"], row["high"], below, held))
+                following.add(Range(part.group, row["low"], row["high"], row["n"], below, held))
                 waiting = waiting[len(held):]
             below += row["n"]
         if waiting:
@@ -115,10 +126,12 @@ def narrowed(search: Search, rows: list) -> Search:
     return following
 
 
-def refined(search: Search, step: Callable[[list[Range], int], list]) -> dict:
+def refined(search: Search, step: Callable[[list[Range], int | None], list]) -> dict:
     """Run ``step`` (open ranges, bins -> histogram rows) until every rank is settled."""
     while search.open:
         bins = max(16, min(BINS, HISTOGRAM_ROWS // len(search.open)))
+        if sum(part.rows for part in search.open) <= EXACT_ROWS:
+            bins = None
         search = narrowed(search, step(search.open, bins))
     return search.found
 
@@ -170,10 +183,10 @@ def order_statistics(
     search = Search()
     wanted = sorted(set(ranks(rows)))
     if wanted:
-        search.add(Range((), low, high, 0, wanted))
+        search.add(Range((), low, high, rows, 0, wanted))
     known = df.where(F.col(column).isNotNull())
 
-    def step(ranges: list[Range], bins: int) -> list:
+    def step(ranges: list[Range], bins: int | None) -> list:
         frame = labelled(known, column, kind, ranges, lambda group: F.lit(True))
         return histogram(frame, kind, bins)
 
@@ -215,14 +228,14 @@ def row_positions(
 
     tied = df.where(reduce(lambda a, b: a | b, [scope((value,)) for value in tied_values]))
     bounds = tied.groupBy(axis_value(first, outer.kind).alias("_tie")).agg(
-        F.min(axis).alias("low"), F.max(axis).alias("high")
+        F.count(axis).alias("n"), F.min(axis).alias("low"), F.max(axis).alias("high")
     )
     search = Search()
     for row in bounds.collect():
         inner = [r - outer.at[r].below for r in wanted if outer.at[r].value == row["_tie"]]
-        search.add(Range((row["_tie"],), row["low"], row["high"], 0, sorted(set(inner))))
+        search.add(Range((row["_tie"],), row["low"], row["high"], row["n"], 0, sorted(set(inner))))
 
-    def step(ranges: list[Range], bins: int) -> list:
+    def step(ranges: list[Range], bins: int | None) -> list:
         return histogram(labelled(tied, second, kind, ranges, scope), kind, bins)
 
     found = refined(search, step)
@@ -247,31 +260,47 @@ def middle(found: dict[int, Found], rows: int) -> float | None:
 def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Exact median of each numeric column; a column without values yields ``None``.
 
-    One unpivoted frame serves all columns, so the number of passes does not grow with them.
+    All columns share every pass, so the number of passes does not grow with them. A row is
+    unpivoted only if one of its values lies in an open range, which after the first histogram few
+    rows do.
     """
     if not columns:
         return {}
-    pairs = [
-        F.struct(F.lit(name).alias("name"), axis_value(name, T.DoubleType()).alias("v"))
-        for name in columns
-    ]
-    long = df.select(F.inline(F.array(*pairs))).where(F.col("v").isNotNull())
-    bounds = long.groupBy("name").agg(
-        F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
-    )
-    sizes, search = {}, Search()
-    for row in bounds.collect():
-        sizes[row["name"]] = row["n"]
-        group = (row["name"],)
-        search.add(Range(group, row["low"], row["high"], 0, sorted(set(middle_ranks(row["n"])))))
-
-    def step(ranges: list[Range], bins: int) -> list:
-        frame = labelled(long, "v", T.DoubleType(), ranges, lambda g: F.col("name") == g[0])
-        return histogram(frame, T.DoubleType(), bins)
+    kind = T.DoubleType()
+    axis = {name: axis_value(name, kind) for name in columns}
+    ends = []
+    for number, value in enumerate(axis.values()):
+        measures = {"n": F.count(value), "low": F.min(value), "high": F.max(value)}
+        ends += [measure.alias(f"{text}{number}") for text, measure in measures.items()]
+    row = df.agg(*ends).first()
+    sizes = {name: row[f"n{number}"] for number, name in enumerate(columns)}
+    search = Search()
+    for number, name in enumerate(columns):
+        ranks = sorted(set(middle_ranks(sizes[name])))
+        if ranks:
+            low, high = row[f"low{number}"], row[f"high{number}"]
+            search.add(Range((name,), low, high, sizes[name], 0, ranks))
+
+    def step(ranges: list[Range], bins: int | None) -> list:
+        hits = [axis[p.group[0]].between(literal(p.low, kind), literal(p.high, kind)) for p in ranges]
+        entries = [
+            F.when(
+                hit,
+                F.struct(
+                    F.lit(number).alias("_range"),
+                    axis[part.group[0]].alias("_axis"),
+                    literal(part.low, kind).alias("_low"),
+                    literal(part.high, kind).alias("_high"),
+                ),
+            )
+            for number, (part, hit) in enumerate(zip(ranges, hits, strict=True))
+        ]
+        touched = df.where(reduce(lambda a, b: a | b, hits))
+        return histogram(touched.select(F.inline(F.array(*entries))), kind, bins)
 
     found = refined(search, step)
     return {
-        name: middle(found[(name,)], sizes[name]) if name in sizes else None for name in columns
+        name: middle(found[(name,)], sizes[name]) if sizes[name] else None for name in columns
     }
 
 
@@ -283,7 +312,8 @@ def heavy_medians(df: DataFrame, keys: Sequence[str], value: str, heavy: list) -
     for row in heavy:
         group = tuple(row[key] for key in keys)
         sizes[group] = row["n"]
-        search.add(Range(group, row["low"], row["high"], 0, sorted(set(middle_ranks(row["n"])))))
+        ranks = sorted(set(middle_ranks(row["n"])))
+        search.add(Range(group, row["low"], row["high"], row["n"], 0, ranks))
     key_fields = [df.schema[key] for key in keys]
     range_schema = T.StructType(
         [
@@ -295,7 +325,7 @@ def heavy_medians(df: DataFrame, keys: Sequence[str], value: str, heavy: list) -
     )
     known = df.select(*keys, axis_value(value, T.DoubleType()).alias("_axis"))
 
-    def step(ranges: list[Range], bins: int) -> list:
+    def step(ranges: list[Range], bins: int | None) -> list:
         rows = [(*part.group, i, part.low, part.high) for i, part in enumerate(ranges)]
         table = spark.createDataFrame(rows, range_schema)
         if len(rows) <= SMALL_TABLE_ROWS:

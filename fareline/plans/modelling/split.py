@@ -107,7 +107,8 @@ def ml_frame(
 ) -> Split:
     """Clean, sample to the row budget, add features and split chronologically.
 
-    A budget sample is written once, since the boundary search, the folds and every fit read it.
+    The boundary search, the folds and every fit read the result again: ``df`` should be a table,
+    not an expensive plan. A budget sample is written once for that reason.
     """
     clean = with_time_features(clean_fares(df))
     features = stage_features(clean.columns, stage)

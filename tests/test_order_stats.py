@@ -25,8 +25,14 @@ def at(spark, values, ranks, kind="double"):
     return [(found.at[rank].value, found.at[rank].below) for rank in ranks]
 
 
+@pytest.fixture(params=[0, 20_000], autouse=True, ids=["narrowing", "counting"])
+def exact_rows(request, monkeypatch):
+    """Every search once by histograms alone, and once finished by counting values."""
+    monkeypatch.setattr("fareline.operators.order_stats.EXACT_ROWS", request.param)
+
+
 SLOW = settings(
-    max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 
 
