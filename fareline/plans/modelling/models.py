@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -208,6 +209,7 @@ class FareModels:
     best_fare: tuple[Params, float]
     best_band: tuple[Params, float]
     predictions: DataFrame
+    tuning_seconds: float
 
 
 def fit_fare_models(
@@ -220,6 +222,7 @@ def fit_fare_models(
     """Tune on the folds of the training side, refit on all of it, predict the hold-out."""
     spark = split.train.sparkSession
     fare, band = fare_task(regression_grid, rounds), band_task(classification_grid)
+    started = time.perf_counter()
     scores = fold_scores(split, [fare, band], parallelism)
     best_fare, best_band = best_setting(scores, fare), best_setting(scores, band)
     train, test = labelled(split.train), labelled(split.test)
@@ -232,6 +235,7 @@ def fit_fare_models(
 
         chosen = [(fare, best_fare[0]), (band, best_band[0])]
         regressor, classifier = in_threads(spark, refit, chosen, parallelism)
+    tuning_seconds = time.perf_counter() - started
     predictions = classifier.transform(regressor.transform(prepared.transform(test, KEPT)))
     return FareModels(
         cv_table(spark, scores, fare),
@@ -241,6 +245,7 @@ def fit_fare_models(
         best_fare,
         best_band,
         written(predictions.select(*KEPT, "predicted_fare", "predicted_band"), "predictions"),
+        tuning_seconds,
     )
 
 
@@ -292,6 +297,7 @@ def model_record(
         F.array(*[F.lit(name) for name in split.features]).alias("features"),
         F.col("train_end").cast("string").alias("train_end"),
         F.col("test_start").cast("string").alias("test_start"),
+        F.create_map(F.lit("tuning_seconds"), F.lit(models.tuning_seconds)).alias("timings"),
         regression.alias("regression"),
         classification.alias("classification"),
         F.lit(VALIDATION).alias("validation"),
