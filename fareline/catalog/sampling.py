@@ -152,7 +152,8 @@ QUERIES = {
         FROM positions JOIN cut ON pickup_datetime >= boundary GROUP BY boundary""",
     ),
     "time_ordered": Query(
-        time_positions, f"WITH {BOUNDARY_SQL} SELECT position, row_id, pickup_datetime FROM positions"
+        time_positions,
+        f"WITH {BOUNDARY_SQL} SELECT position, row_id, pickup_datetime FROM positions",
     ),
     "chronological_split": Query(
         both_sides,

@@ -18,13 +18,7 @@ from fareline.catalog.views import (
     trips_timed,
     trips_wide,
 )
-from fareline.functions.trips import (
-    angular_value,
-    fare_band,
-    pickup_hour,
-    pickup_weekday,
-    valid_month,
-)
+from fareline.functions.trips import fare_band, pickup_hour, pickup_weekday, valid_month
 from fareline.operators.profile import checksum, filter_retention, missing_profile
 from fareline.operators.workload import (
     filter_tips,

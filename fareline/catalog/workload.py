@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fareline.catalog.registry import Query, rounded, value
 from fareline.catalog.trips import ANGULAR_SQL

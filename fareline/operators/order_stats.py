@@ -87,7 +87,9 @@ def bin_of(axis: Column, low: Column, high: Column, kind: T.DataType, bins: int)
 
 
 def literal(value: int | float, kind: T.DataType) -> Column:
-    return F.lit(float(value)) if isinstance(kind, T.FractionalType) else F.lit(value).cast("bigint")
+    if isinstance(kind, T.FractionalType):
+        return F.lit(float(value))
+    return F.lit(value).cast("bigint")
 
 
 def histogram(frame: DataFrame, kind: T.DataType, bins: int | None) -> list:
@@ -282,7 +284,10 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | N
             search.add(Range((name,), low, high, sizes[name], 0, ranks))
 
     def step(ranges: list[Range], bins: int | None) -> list:
-        hits = [axis[p.group[0]].between(literal(p.low, kind), literal(p.high, kind)) for p in ranges]
+        hits = [
+            axis[part.group[0]].between(literal(part.low, kind), literal(part.high, kind))
+            for part in ranges
+        ]
         entries = [
             F.when(
                 hit,

@@ -144,7 +144,7 @@ class Fold:
 
 
 def fold_starts(rows: int, n_splits: int = 3) -> list[int]:
-    """Positions at which the test parts start: equal parts, the first training part takes the rest."""
+    """Positions at which the test parts start; the first training part takes the rest."""
     part = rows // (n_splits + 1)
     if part == 0:
         raise ValueError("too few rows for the folds")

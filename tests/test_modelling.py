@@ -108,7 +108,8 @@ def test_ml_frame_respects_the_budget_and_the_least_sizes(spark, trips):
 def test_cleaning_bounds_are_inclusive(spark):
     df = timed(spark, [0] * 6, [0.0, 0.01, 500, 500.01, -1, 7])
     assert ids(clean_fares(df)) == [1, 2, 5]
-    text = spark.createDataFrame([("2015-01-01", 5.0), ("x", 5.0)], "pickup_datetime string, fare_amt double")
+    schema = "pickup_datetime string, fare_amt double"
+    text = spark.createDataFrame([("2015-01-01", 5.0), ("x", 5.0)], schema)
     assert clean_fares(text).count() == 1
 
 
@@ -196,7 +197,8 @@ def test_feature_vectors(spark):
     test = spark.createDataFrame(
         [(0, None, 7.0, 1.0), (1, 9.0, 8.0, 2.0), (2, 9.0, 99.0, 99.0)], schema
     )
-    found = {r.row_id: r.features.toArray().tolist() for r in fitted.transform(test, ["row_id"]).collect()}
+    rows = fitted.transform(test, ["row_id"]).collect()
+    found = {row.row_id: row.features.toArray().tolist() for row in rows}
     # One scaled number, slots '7.0' and 'infrequent', slots '1.0' and '2.0'.
     assert found[0][1:] == [1, 0, 1, 0] and found[0][0] == pytest.approx(0.0)
     assert found[1][1:] == [0, 1, 0, 1]

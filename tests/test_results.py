@@ -112,7 +112,8 @@ def test_backend_medians_are_sorted(results):
 def test_status_tables(results):
     derived = {row.backend: row.status for row in run_status(results.measurements).collect()}
     assert derived == {"spark": "completed", "pandas": "completed_with_errors"}
-    stated = {row.backend: (row.status, row.reason) for row in recorded_status(results.runs).collect()}
+    rows = recorded_status(results.runs).collect()
+    stated = {row.backend: (row.status, row.reason) for row in rows}
     assert stated == {
         "spark": ("completed", ""),
         "pandas": ("completed_with_errors", "MemoryError: x"),

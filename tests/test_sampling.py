@@ -120,7 +120,8 @@ def test_prepare_writes_nested_reproducible_samples(spark, tmp_path):
     sizes = (100, 300, 600)
     manifests = [prepare(spark, str(tmp_path / name), sizes=sizes).first() for name in "ab"]
     folders = [str(tmp_path / name) for name in "ab"]
-    frames = [spark.read.parquet(f"{folder}/large").orderBy("row_id").collect() for folder in folders]
+    tables = [spark.read.parquet(f"{folder}/large") for folder in folders]
+    frames = [table.orderBy("row_id").collect() for table in tables]
     assert frames[0] == frames[1]
     small = spark.read.parquet(f"{folders[0]}/small").orderBy("row_id").collect()
     assert small == frames[0][:100]
