@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareline.llm import bpe, decontaminate, quality_rules
+from fareline.llm import bpe, decontaminate, jaccard_join, pii, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), bpe.default_path())
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.spans(docs, pii.train(docs), ["doc_id"])
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        *[pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.listed("good"), 256).alias("base_sha256"),
+        pii.listed("all_spans").alias("spans"),
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -53,10 +64,16 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op7_quality_rules": op7_quality_rules,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 #: DuckDB counterparts of the queries that SQL can express on whole tables.
