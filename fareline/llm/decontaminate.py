@@ -208,22 +208,20 @@ def put_together(parts: list[DataFrame]) -> DataFrame:
     ).drop("col")
 
 
-def contamination(
+def found_windows(
     docs: DataFrame,
     benchmark: DataFrame,
-    id_column: str = "doc_id",
+    columns: list[str],
     text_column: str = "text",
     item_column: str = "item_id",
     window: int = WINDOW,
     query_bytes: int = QUERY_BYTES,
-    columns: list[str] | None = None,
 ) -> DataFrame:
-    """Per document: id (or the named columns), n_words, hits, items (sorted names), n_hit, n_items and ``longest``, the
-    length in words of the longest stretch that windows cover without a gap."""
+    """Per document: ``row`` (struct of the named columns), n_words, hits, items (sorted names),
+    n_hit, n_items and ``longest``, the words of the longest stretch covered without a gap."""
     tests = benchmark.select(F.col(item_column).cast("string"), F.col(text_column).cast("string"))
-    carried = [id_column] if columns is None else columns
     texts = docs.select(
-        F.struct(*carried).alias("row"), F.col(text_column).alias("text"), F.lit("").alias("text_key")
+        F.struct(*columns).alias("row"), F.col(text_column).alias("text"), F.lit("").alias("text_key")
     )
     blocks = item_blocks(tests, query_bytes)
     first, second = next(blocks), next(blocks, None)
@@ -241,7 +239,7 @@ def contamination(
         )
     lengths = F.transform("hits", lambda x: x["end"] - x["first"])
     return found.select(
-        *[F.col("row")[name].alias(name) for name in carried],
+        "row",
         "n_words",
         "hits",
         "items",
@@ -251,8 +249,25 @@ def contamination(
     )
 
 
+def contamination(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    item_column: str = "item_id",
+    window: int = WINDOW,
+    query_bytes: int = QUERY_BYTES,
+) -> DataFrame:
+    """``found_windows`` with the id in place of the row."""
+    found = found_windows(
+        docs, benchmark, [id_column], text_column, item_column, window, query_bytes
+    )
+    rest = [name for name in found.columns if name != "row"]
+    return found.select(F.col("row")[id_column].alias(id_column), *rest)
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents in which no benchmark window occurs."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contamination(docs, benchmark, columns=docs.columns)
-    return found.where("n_hit = 0").select(docs.columns)
+    clean = found_windows(docs, benchmark, docs.columns).where("n_hit = 0")
+    return clean.select(*[F.col("row")[name].alias(name) for name in docs.columns])

@@ -83,6 +83,8 @@ def stretches(ids: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchors)]
     inside = starts + length <= offsets[1:][row]
     starts, row, anchors = starts[inside], row[inside], anchors[inside]
+    if not len(starts):
+        return row, starts, starts, anchors
     new = np.ones(len(starts), dtype=bool)
     new[1:] = (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
