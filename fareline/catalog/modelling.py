@@ -26,11 +26,14 @@ from fareline.plans.modelling.metrics import (
     regression_metrics,
 )
 from fareline.plans.modelling.models import (
+    FareModels,
+    Task,
     band_task,
     cv_table,
+    fare_error,
     fare_task,
+    fit_fare,
     fit_fare_models,
-    fold_scores,
     holdout_predictions,
     model_record,
     stage_comparison,
@@ -39,15 +42,16 @@ from fareline.plans.modelling.split import (
     COMPLETED_FEATURES,
     MOMENT,
     STAGES,
+    Split,
     chronological_split,
     ml_frame,
     split_summary,
 )
 from fareline.session import new_path, written
-from fareline.sources.records import load_results, write_records
+from fareline.sources.records import load_results, write_csv, write_records
 
-# Boosting rounds of the registered model queries. The library default is 100.
-ROUNDS = 5
+# Driver threads that submit the fits of a search.
+THREADS = 8
 NUMBERS = ("passenger_count", "trip_distance", "start_lon", "end_lon")
 MODEL_COLUMNS = (
     "fare_amt",
@@ -170,8 +174,8 @@ def stage_split(spark: SparkSession, folder: str, stage: str = "completed-trip")
 def regression(spark: SparkSession, folder: str) -> DataFrame:
     """Fares of the hold-out as predicted by boosted trees."""
     params = {"max_depth": 3, "learning_rate": 0.15}
-    task = fare_task(rounds=ROUNDS)
-    found = holdout_predictions(stage_split(spark, folder), task, params, "predicted_fare")
+    split = stage_split(spark, folder)
+    found = holdout_predictions(split, fare_task(), params, "predicted_fare")
     return found.select("row_id", "fare_amt", "predicted_fare")
 
 
@@ -182,40 +186,96 @@ def classification(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row_id", "band", "predicted_band")
 
 
+# Searches of this session: several queries show parts of the same one.
+_searches: dict[tuple[str, str, str], FareModels] = {}
+
+
+def searched(spark: SparkSession, folder: str, split: Split) -> FareModels:
+    """Both grid searches on the folds, refits and hold-out predictions of a stage, done once."""
+    key = (spark.sparkContext.applicationId, folder, split.stage)
+    if key not in _searches:
+        _searches[key] = fit_fare_models(split, parallelism=THREADS)
+    return _searches[key]
+
+
 def cv_results(spark: SparkSession, folder: str) -> DataFrame:
     """Both grid searches over the expanding folds."""
-    split = stage_split(spark, folder, "pickup")
-    tasks = [fare_task(rounds=ROUNDS), band_task()]
-    scores = fold_scores(split, tasks, parallelism=4)
-    tables = [cv_table(spark, scores, task) for task in tasks]
-    joined = tables[0].unionByName(tables[1])
-    return joined.withColumn("params", F.to_json("params"))
-
-
-# One setting per model where the whole search is not the point.
-ONE_SETTING = {
-    "rounds": ROUNDS,
-    "regression_grid": {"max_depth": (3,), "learning_rate": (0.15,)},
-    "classification_grid": {"C": (1.0,)},
-}
+    found = searched(spark, folder, stage_split(spark, folder, "pickup"))
+    return found.cv_regression.unionByName(found.cv_classification, allowMissingColumns=True)
 
 
-def record(spark: SparkSession, folder: str) -> DataFrame:
+def record_of(spark: SparkSession, folder: str) -> DataFrame:
     split = stage_split(spark, folder)
-    models = fit_fare_models(split, **ONE_SETTING)
+    models = searched(spark, folder, split)
     path = f"{folder}/events.parquet"
-    found = model_record(trips(spark, folder), models, split, "events", [path])
-    return found.select("stage", F.to_json(F.struct("*")).alias("document"))
+    return model_record(trips(spark, folder), models, split, "events", [path])
+
+
+def record(spark: SparkSession, folder: str) -> DataFrame:
+    return record_of(spark, folder).select("stage", F.to_json(F.struct("*")).alias("document"))
+
+
+def record_sides(spark: SparkSession, folder: str) -> DataFrame:
+    """What a model record says about its rows and baselines."""
+    found = record_of(spark, folder).select(
+        "stage",
+        "raw_rows",
+        "train_rows",
+        "test_rows",
+        F.col("regression.baseline_mae").alias("baseline_mae"),
+        F.col("classification.baseline_accuracy").alias("baseline_accuracy"),
+    )
+    return rounded(found, ("baseline_mae", "baseline_accuracy"))
 
 
 def stages(spark: SparkSession, folder: str) -> DataFrame:
     whole = prepared(trips(spark, folder), *MODEL_COLUMNS)
-    compared = stage_comparison(whole, STAGES, **ONE_SETTING)
+    compared = stage_comparison(whole, STAGES, fit=lambda split: searched(spark, folder, split))
     fare = [F.col(f"regression.{name}").alias(name) for name in ("rmse", "mae", "r2")]
     band = [F.col(f"classification.{name}").alias(name) for name in ("accuracy", "macro_f1")]
     return compared.select("stage", "train_rows", "test_rows", *fare, *band)
 
 
+def fold_means(spark: SparkSession, folder: str) -> DataFrame:
+    """A cross-validation table of deterministic scores, through CSV and back.
+
+    The score of a setting on a fold is the mean fare of one event type among users of one
+    remainder, so the table and its ranks can be checked.
+    """
+    events = table(spark, folder, "events").where(F.col("event_type").isNotNull())
+    means = events.groupBy("event_type", (F.col("user_id") % 3).alias("fold")).agg(
+        F.round(F.avg("value"), 6).alias("score")
+    )
+    # At most three rows for each event type.
+    rows = means.orderBy("event_type", "fold").collect()
+    names = sorted({row["event_type"] for row in rows})
+    task = Task("regression", {"depth": tuple(range(len(names)))}, fit_fare, fare_error, True)
+    scores = [
+        ("regression", names.index(r["event_type"]), {"depth": names.index(r["event_type"])}, r["fold"], r["score"])
+        for r in rows
+    ]
+    found = cv_table(spark, scores, task)
+    path = new_path(spark, "cv")
+    write_csv(found, path)
+    back = spark.read.schema(found.schema).option("header", True).csv(path)
+    return rounded(back, [name for name, kind in back.dtypes if kind == "double"], 5)
+
+
+FOLD_COLUMNS = ", ".join(
+    f"round(max(score) FILTER (fold = {k}), 5) AS split{k}_test_score" for k in range(3)
+)
+FOLD_SQL = f"""WITH scores AS (
+  SELECT event_type, user_id % 3 AS fold, round(avg(value), 6) AS score FROM events
+  WHERE event_type IS NOT NULL GROUP BY ALL), numbered AS (
+  SELECT *, dense_rank() OVER (ORDER BY event_type) - 1 AS setting FROM scores), summed AS (
+  SELECT setting, {FOLD_COLUMNS}, avg(score) AS mean, stddev_pop(score) AS deviation
+  FROM numbered GROUP BY setting)
+SELECT 'regression' AS task, CAST(setting AS INTEGER) AS setting,
+  CAST(setting AS DOUBLE) AS param_depth, split0_test_score, split1_test_score, split2_test_score,
+  round(mean, 5) AS mean_test_score, round(deviation, 5) AS std_test_score,
+  CAST(rank() OVER (ORDER BY mean) AS INTEGER) AS rank_test_score FROM summed"""
+
+
 def position_sql(source: str, where: str = "") -> str:
     """Rows of ``source`` with ``in_train``, the side of the chronological split."""
     return f"""positions AS (
@@ -343,5 +403,21 @@ QUERIES = {
     "band_classification": Query(classification),
     "cv_results": Query(cv_results),
     "model_record": Query(record),
+    "model_record_sides": Query(
+        record_sides,
+        f"""WITH {TRIPS_SQL}, {position_sql("trips", "WHERE fare_amt BETWEEN 0.01 AND 500")},
+          banded AS (SELECT *, {band_sql("fare_amt")} AS band FROM sides), fitted AS (
+          SELECT median(fare_amt) AS middle,
+            (SELECT band FROM banded WHERE in_train GROUP BY band
+             ORDER BY count(*) DESC, band LIMIT 1) AS most
+          FROM banded WHERE in_train)
+        SELECT 'completed-trip' AS stage, (SELECT count(*) FROM trips) AS raw_rows,
+          count(*) FILTER (in_train) AS train_rows, count(*) FILTER (NOT in_train) AS test_rows,
+          round(avg(abs(fare_amt - middle)) FILTER (NOT in_train), 6) AS baseline_mae,
+          round(avg(CASE WHEN band = most THEN CAST(1 AS DOUBLE) ELSE 0 END)
+            FILTER (NOT in_train), 6) AS baseline_accuracy
+        FROM banded, fitted""",
+    ),
+    "cv_table_csv": Query(fold_means, FOLD_SQL),
     "stage_comparison": Query(stages),
 }

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fareline.catalog.registry import Query, rounded
-from fareline.catalog.views import TRIPS_SQL, trips
+from fareline.catalog.views import TRIPS_SQL, table, trips
 from fareline.operators.compare import tolerant_diff
 from fareline.operators.profile import file_fingerprint
 
@@ -19,6 +19,12 @@ TABLES = (
     "orders",
     "lineitem",
     "events",
+    "documents",
+    "embeddings",
+    "pages",
+    "benchmark",
+    "labels",
+    "conversations",
 )
 
 
@@ -48,6 +54,60 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return file_fingerprint(spark, *paths).select("file", "bytes", "sha256")
 
 
+def special(spark: SparkSession, folder: str) -> DataFrame:
+    """Events against a copy, with infinities, NaN and missing values on either side by number."""
+    number = F.col("event_id")
+    values = {0: "inf", 1: "-inf", 2: "nan"}
+
+    def damaged(shift: int) -> Column:
+        value = F.col("value")
+        for rest, text in values.items():
+            value = F.when((number + shift) % 7 == rest, F.lit(float(text))).otherwise(value)
+        return F.when((number + shift) % 7 != 3, value).alias("value")
+
+    events = table(spark, folder, "events")
+    sides = [events.select("event_id", damaged(shift)) for shift in (0, 1)]
+    same = [side.where(number % 2 == 0).withColumn("event_id", -number - 1) for side in sides[:1] * 2]
+    found = tolerant_diff(
+        sides[0].unionByName(same[0]), sides[1].unionByName(same[1]), ["event_id"]
+    )
+    # Infinite values are named, as engines write them in their own way.
+    named = [
+        F.when(F.abs(name) == float("inf"), F.when(F.col(name) > 0, "+").otherwise("-"))
+        .otherwise("finite")
+        .alias(name)
+        for name in ("actual", "expected")
+    ]
+    return found.select("event_id", "column", "reason", *named)
+
+
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+def special_sql(shift: int) -> str:
+    rest = f"(event_id + {shift}) % 7"
+    return (
+        f"CASE {rest} WHEN 0 THEN CAST('inf' AS DOUBLE) WHEN 1 THEN CAST('-inf' AS DOUBLE) "
+        f"WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE value END"
+    )
+
+
+def sign_sql(name: str) -> str:
+    return f"CASE WHEN isinf({name}) THEN CASE WHEN {name} > 0 THEN '+' ELSE '-' END ELSE 'finite' END"
+
+
+SPECIAL_SQL = f"""WITH sides AS (
+  SELECT event_id, {special_sql(0)} AS a, {special_sql(1)} AS e FROM events), judged AS (
+  SELECT *, CASE WHEN (a IS NULL) <> (e IS NULL) THEN 'null'
+    WHEN a IS NULL THEN NULL
+    WHEN isinf(a) OR isinf(e) THEN CASE WHEN a <> e THEN 'value' END
+    WHEN abs(a - e) > CAST(1e-8 AS DOUBLE) + CAST(1e-5 AS DOUBLE) * abs(e) THEN 'value' END AS reason
+  FROM sides)
+SELECT event_id, 'value' AS "column", reason, coalesce({sign_sql("a")}, 'finite') AS actual,
+  coalesce({sign_sql("e")}, 'finite') AS expected
+FROM judged WHERE reason IS NOT NULL"""
+
 DIFF_SQL = f"""WITH {TRIPS_SQL}, actual AS (
   SELECT row_id, fare_amt, tip_amt FROM trips WHERE row_id % 13 <> 0), expected AS (
   SELECT row_id, CASE row_id % 7 WHEN 0 THEN fare_amt * CAST(1.01 AS DOUBLE)
@@ -73,5 +133,7 @@ UNION ALL SELECT row_id, NULL, reason, NULL, NULL FROM whole_rows WHERE reason I
 
 QUERIES = {
     "tolerant_diff": Query(diff, DIFF_SQL),
+    "tolerant_diff_special": Query(special, SPECIAL_SQL),
+    "document_digests": Query(digests, "SELECT doc_id, sha256(text) AS sha256 FROM documents"),
     "file_fingerprint": Query(fingerprints),
 }

@@ -33,7 +33,7 @@ def timings_by_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pivoted(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(operation_by_backend(measurements(spark, folder), BACKENDS), BACKENDS, DIGITS)
+    return rounded(operation_by_backend(measurements(spark, folder)), BACKENDS, DIGITS)
 
 
 def medians(spark: SparkSession, folder: str) -> DataFrame:

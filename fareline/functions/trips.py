@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 # Lower edges of the second and third fare band, and the accepted month text.
 BAND_EDGES = (10.0, 25.0)
-MONTH_PATTERN = r"^20[0-9]{2}-(0[1-9]|1[0-2])$"
+MONTH_PATTERN = r"^20[0-9]{2}-(0[1-9]|1[0-2])\z"
 
 EPOCH = datetime(1970, 1, 1)
 

@@ -16,7 +16,11 @@ SIDES = ("actual", "expected")
 
 
 def close(actual: Column, expected: Column, rtol: float = RTOL, atol: float = ATOL) -> Column:
-    return F.abs(actual - expected) <= F.lit(atol) + F.lit(rtol) * F.abs(expected)
+    """Within the tolerance; an infinity is close to itself only."""
+    infinite = F.lit(float("inf"))
+    finite = (F.abs(actual) < infinite) & (F.abs(expected) < infinite)
+    near = F.abs(actual - expected) <= F.lit(atol) + F.lit(rtol) * F.abs(expected)
+    return F.when(finite, near).otherwise(actual == expected)
 
 
 def is_number(kind: T.DataType) -> bool:
@@ -83,7 +87,7 @@ def tolerant_diff(
 
     def cell(number: int, name: str) -> Column:
         a, b = F.col(f"_actual_{number}"), F.col(f"_expected_{number}")
-        same = close(a, b, rtol, atol) | (a == b) if numeric[name] else a == b
+        same = close(a, b, rtol, atol) if numeric[name] else a == b
         reason = F.when(a.isNull() != b.isNull(), "null").when(~same, "value")
         return F.struct(
             F.lit(name).alias("column"),

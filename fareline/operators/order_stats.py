@@ -2,9 +2,11 @@
 
 A rank is found by refinement: a histogram of the current value range (one aggregation with
 map-side combine, a bounded number of rows back) tells which bin holds the rank; the smallest and
-largest value seen in that bin are the next range. Each pass narrows the range by the number of
-bins, so two or three passes settle any realistic column, however skewed or tied it is. No task
-and no driver ever holds the values themselves.
+largest value seen in that bin are the next range. Bins are equally wide in the logarithm where a range
+spans more than a factor of four or both signs, else equally wide. So a pass over doubles
+leaves a factor of at most two, and each further one narrows it by the number of bins: the number
+of passes is bounded by the 64 bits of a value, not by its distribution. No task and no driver ever
+holds the values themselves.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ BINS = 4096
 # Histogram rows that may come back to the driver in one pass.
 HISTOGRAM_ROWS = 1 << 18
 LARGEST = sys.float_info.max
+SMALLEST = math.ulp(0.0)
 # Once the open ranges hold this few rows in total, their values are counted one by one.
 EXACT_ROWS = 20_000
 # Up to this many rows the built-in median, which holds all distinct values of a group in one
@@ -78,8 +81,17 @@ def bin_of(axis: Column, low: Column, high: Column, kind: T.DataType, bins: int)
         def half(value: Column) -> Column:
             return F.greatest(F.least(value, F.lit(LARGEST)), F.lit(-LARGEST)) / 2
 
-        width = half(high) - half(low)
-        share = F.when(width > 0, (half(axis) - half(low)) / width).otherwise(F.lit(0.0))
+        def power(value: Column) -> Column:
+            size = F.greatest(F.least(F.abs(value), F.lit(LARGEST)), F.lit(SMALLEST))
+            return F.when(value == 0, 0.0).otherwise(F.signum(value) * (F.log2(size) + 1100))
+
+        def within(place: Callable[[Column], Column]) -> Column:
+            width = place(high) - place(low)
+            return F.when(width > 0, (place(axis) - place(low)) / width).otherwise(F.lit(0.0))
+
+        wide = ((low > 0) & (high / 4 > low)) | ((high < 0) & (low / 4 < high))
+        wide = wide | ((low <= 0) & (high >= 0))
+        share = F.when(wide, within(power)).otherwise(within(half))
     else:
         share = (axis - low).cast("double") / (high - low).cast("double")
     inner = F.least(F.floor(share * (bins - 2)), F.lit(bins - 3)).cast("int") + 1
@@ -131,7 +143,14 @@ def narrowed(search: Search, rows: list) -> Search:
 def refined(search: Search, step: Callable[[list[Range], int | None], list]) -> dict:
     """Run ``step`` (open ranges, bins -> histogram rows) until every rank is settled."""
     while search.open:
-        bins = max(16, min(BINS, HISTOGRAM_ROWS // len(search.open)))
+        # With more open ranges than histogram rows, a part of them is searched at a time.
+        step_ranges = search.open[: HISTOGRAM_ROWS // 16]
+        if len(step_ranges) < len(search.open):
+            part = Search(step_ranges, search.found)
+            search.open = search.open[len(step_ranges) :]
+            refined(part, step)
+            continue
+        bins = min(BINS, HISTOGRAM_ROWS // len(search.open))
         if sum(part.rows for part in search.open) <= EXACT_ROWS:
             bins = None
         search = narrowed(search, step(search.open, bins))
@@ -255,8 +274,9 @@ def middle_ranks(rows: int) -> list[int]:
 
 
 def middle(found: dict[int, Found], rows: int) -> float | None:
+    """Mean of the middle values; halves first, so that large ones don't overflow."""
     values = [found[rank].value for rank in middle_ranks(rows)]
-    return math.fsum(values) / 2 if values else None
+    return values[0] / 2 + values[1] / 2 if values else None
 
 
 def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
@@ -355,7 +375,9 @@ def sorted_medians(
     first = F.floor((F.col("_rows") - 1) / 2)
     second = F.floor(F.col("_rows") / 2)
     middle_value = F.when(F.col("_rank").between(first, second), F.col("_axis"))
-    return placed.groupBy(*keys).agg(F.avg(middle_value).alias(name), *extra)
+    # One or two values; halves first, so that large ones don't overflow.
+    mean = F.min(middle_value) / 2 + F.max(middle_value) / 2
+    return placed.groupBy(*keys).agg(mean.alias(name), *extra)
 
 
 def grouped_median(

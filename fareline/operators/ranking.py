@@ -32,7 +32,10 @@ def ranked_by_priority(
     construction: there is no hot one.
     """
     key = F.col(key) if isinstance(key, str) else key
-    drawn = df.withColumn("_priority", priority(key, seed))
+    # A missing key has no priority of its own; the rest of the row then tells rows apart.
+    whole = F.concat_ws("|", F.lit("missing"), F.xxhash64(*df.columns))
+    identity = F.coalesce(key.cast("string"), whole)
+    drawn = df.withColumns({"_priority": priority(identity, seed), "_key": identity})
     digits = F.substring("_priority", 1, BUCKET_DIGITS)
     # Never NULL, and declared so: a nullable join key would be computed once more in a filter.
     bucket = F.coalesce(F.conv(digits, 16, 10).cast("int"), F.lit(0))
@@ -42,7 +45,7 @@ def ranked_by_priority(
     starts = sizes.select("_bucket", before.alias("_start"))
     if size is not None:
         starts = starts.where(F.col("_start") < size)
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_priority"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy("_priority", "_key"))
     rank = F.col("_start") + inside - 1
     ranked = drawn.join(F.broadcast(starts), "_bucket").withColumn("_rank", rank)
     if size is not None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fareline.operators.order_stats import GROUP_ROWS, grouped_median
+from fareline.sources.records import Results, write_csv
 
 TIMING_KEYS = ("dataset", "mode", "operation", "backend")
 PIVOT_KEYS = TIMING_KEYS[:3]
@@ -39,15 +40,23 @@ def timing_statistics(measurements: DataFrame, group_rows: int = GROUP_ROWS) ->
 
 
 def operation_by_backend(
-    measurements: DataFrame, backends: Sequence[str], group_rows: int = GROUP_ROWS
+    measurements: DataFrame,
+    backends: Sequence[str] | None = None,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Median seconds with one column per backend; a combination without records stays NULL.
 
-    The pivot works on the small table of medians. Its columns are given, which saves Spark the
-    extra pass that would look for them.
+    The pivot works on the small table of medians. A list of backends orders the columns and may
+    name some without records; it is an error if it leaves out a backend that has any.
     """
     medians = timing_statistics(measurements, group_rows)
-    pivoted = medians.groupBy(*PIVOT_KEYS).pivot("backend", list(backends))
+    found = comparable_measurements(measurements).select("backend").distinct().orderBy("backend")
+    present = [row["backend"] for row in found.where(F.col("backend").isNotNull()).collect()]
+    names = present if backends is None else list(backends)
+    absent = [name for name in present if name not in names]
+    if absent:
+        raise ValueError(f"the list of backends leaves out {absent}")
+    pivoted = medians.groupBy(*PIVOT_KEYS).pivot("backend", names)
     return pivoted.agg(F.first("median_seconds"))
 
 
@@ -86,3 +95,24 @@ def model_scores(models: DataFrame) -> DataFrame:
         F.col("regression.mae").alias("mae"),
         F.col("classification.macro_f1").alias("macro_f1"),
     )
+
+
+def report_tables(results: Results) -> dict[str, DataFrame]:
+    """All result tables by name. Documents without measurements or models make empty tables."""
+    timings = timing_statistics(results.measurements)
+    return {
+        "timings": timings,
+        "operation_by_backend": operation_by_backend(results.measurements),
+        "backend_medians": backend_medians(timings),
+        "run_status": recorded_status(results.runs),
+        "model_scores": model_scores(results.models),
+    }
+
+
+def write_reports(results: Results, path: str) -> list[str]:
+    """Write every result table as CSV below ``path``; returns the folders."""
+    folders = []
+    for name, table in report_tables(results).items():
+        write_csv(table, f"{path}/{name}")
+        folders.append(f"{path}/{name}")
+    return folders

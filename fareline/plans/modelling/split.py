@@ -72,6 +72,8 @@ class Split:
     train_rows: int
     test_rows: int
     boundary: Column
+    #: The rows of both sides, and those without a pickup time.
+    source: DataFrame
 
 
 def chronological_split(
@@ -99,6 +101,7 @@ def chronological_split(
         before,
         times.rows - before,
         boundary,
+        df,
     )
 
 
@@ -122,18 +125,18 @@ def ml_frame(
 
 
 def split_summary(df: DataFrame, split: Split) -> DataFrame:
-    """Rows and time bounds of the split, in one pass over ``df`` and one over the split rows."""
-    both = split.train.unionByName(split.test)
+    """Raw rows, and rows and time bounds of the split, in one aggregate over the stacked rows."""
     in_train = F.col(MOMENT) < split.boundary
-    raw = df.agg(F.count("*").alias("raw_rows")).withColumn("stage", F.lit(split.stage))
-    sides = both.agg(
+    rows = split.source.select(MOMENT, F.lit(False).alias("_raw"))
+    raw = df.select(F.lit(None).cast(split.source.schema[MOMENT].dataType).alias(MOMENT))
+    stacked = rows.unionByName(raw.withColumn("_raw", F.lit(True)))
+    return stacked.agg(
+        F.count_if(F.col("_raw")).alias("raw_rows"),
         F.count_if(in_train).alias("train_rows"),
         F.count_if(~in_train).alias("test_rows"),
         F.max(F.when(in_train, F.col(MOMENT))).alias("train_end"),
         F.min(F.when(~in_train, F.col(MOMENT))).alias("test_start"),
-    ).withColumn("stage", F.lit(split.stage))
-    # Both sides are one-row aggregates.
-    return raw.join(sides, "stage").drop("stage")
+    )
 
 
 @dataclass(frozen=True)

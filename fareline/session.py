@@ -13,8 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A table is only shipped to every executor after it was counted to hold at most this many rows.
+# A table is only shipped to every executor after it was seen to hold at most this many rows and
+# bytes.
 SMALL_TABLE_ROWS = 50_000
+SMALL_TABLE_BYTES = 32 * 1024**2
+
+
+#: Temporary folders of local sessions, by application.
+_local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,11 +32,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master.startswith("local-cluster") or not master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="fareline-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if spark.sparkContext.applicationId not in _local_folders:
+        _local_folders[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="fareline-")
+    return _local_folders[spark.sparkContext.applicationId]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -49,9 +56,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_table(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> pa.Table | None:
-    """All rows of ``df`` if there are at most ``limit``, else ``None``."""
+    """All rows of ``df`` if there are at most ``limit``, in a bounded size, else ``None``."""
     rows = df.limit(limit + 1).toArrow()
-    return rows if rows.num_rows <= limit else None
+    return rows if rows.num_rows <= limit and rows.nbytes <= SMALL_TABLE_BYTES else None
 
 
 def local_table(spark: SparkSession, rows: pa.Table, schema: T.StructType) -> DataFrame:
@@ -69,9 +76,27 @@ def localised(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> DataFrame:
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:
-    """``df`` computed once: local and broadcast if proven small, else a written table."""
-    rows = small_table(df)
-    return written(df, label) if rows is None else local_table(df.sparkSession, rows, df.schema)
+    """``df`` computed once: written, and kept in the plan as well if it proves small."""
+    kept = written(df, label)
+    rows = small_table(kept)
+    if rows is None:
+        return kept
+    discard(kept)
+    return local_table(df.sparkSession, rows, df.schema)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table from ``written`` that no later job reads."""
+    spark = df.sparkSession
+    root = shared_folder(spark).rstrip("/")
+    folders = {file.rsplit("/", 1)[0] for file in df.inputFiles()}
+    for folder in folders:
+        # Only tables that this module wrote are ever deleted.
+        if "/fareline-" not in folder or root.split(":")[-1].lstrip("/") not in folder:
+            continue
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.delete(place, True)
 
 
 @contextmanager

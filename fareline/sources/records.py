@@ -26,6 +26,7 @@ CLASSIFICATION = (
     "struct<accuracy:double, macro_precision:double, macro_recall:double, macro_f1:double,"
     " baseline_accuracy:double, best_params:map<string,double>>"
 )
+# Field names and types of result documents (above and below).
 # Run documents fill the first two columns, model documents the others.
 DOCUMENT = (
     f"metadata {METADATA}, measurements array<{MEASUREMENT}>, dataset string, sha256 string,"
@@ -89,15 +90,19 @@ def write_records(df: DataFrame, path: str) -> None:
 
 
 def flat_text(df: DataFrame) -> DataFrame:
-    """Arrays become text joined by '; ': CSV has no lists."""
-    return df.select(
-        *[
-            F.concat_ws("; ", field.name).alias(field.name)
-            if isinstance(field.dataType, T.ArrayType)
-            else F.col(field.name)
-            for field in df.schema.fields
-        ]
-    )
+    """Lists of plain values become text joined by '; ', other nested values JSON text: CSV has
+    flat columns only."""
+
+    def flat(field: T.StructField) -> Column:
+        kind = field.dataType
+        nested = (T.ArrayType, T.MapType, T.StructType)
+        if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, nested):
+            return F.concat_ws("; ", field.name).alias(field.name)
+        if isinstance(kind, nested):
+            return F.to_json(field.name).alias(field.name)
+        return F.col(field.name)
+
+    return df.select(*[flat(field) for field in df.schema.fields])
 
 
 def write_csv(df: DataFrame, path: str) -> None:

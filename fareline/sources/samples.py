@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fareline.operators.profile import file_fingerprint
+from fareline.operators.profile import file_fingerprint, table_digest
 from fareline.operators.sampling import SAMPLE_LABELS, checked_sizes, nested_samples
 from fareline.sources.records import write_records
 from fareline.sources.synthetic import synthetic_trips
@@ -58,19 +58,22 @@ def sample_rows(samples: DataFrame) -> DataFrame:
     return samples.agg(*held).select(F.inline(F.array(*entries))).select("*", coordinates)
 
 
-def sample_manifest(spark: SparkSession, path: str, origin: Column, seed: int) -> DataFrame:
-    """One row that describes written samples: origin, seed, and per label rows, bytes, digest.
+# How the samples of a source, and those of synthetic trips, were drawn.
+SAMPLING = {
+    "files": "nested random-priority samples",
+    "synthetic": "nested synthetic prefixes",
+}
 
-    A sample is a folder of part files, so its digest is the SHA-256 of the sorted part digests.
-    """
+
+def sample_manifest(
+    spark: SparkSession, path: str, origin: Column, seed: int, kind: str = "files"
+) -> DataFrame:
+    """One row that describes written samples: origin, seed, and per label rows, bytes, digest."""
     described = None
     for label in SAMPLE_LABELS:
         folder = f"{path}/{label}"
         rows = spark.read.parquet(folder).agg(F.count("*").alias("rows"))
-        parts = file_fingerprint(spark, f"{folder}/*.parquet").agg(
-            F.sum("bytes").alias("bytes"),
-            F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("sha256"))), 256).alias("sha256"),
-        )
+        parts = table_digest(file_fingerprint(spark, f"{folder}/*.parquet"))
         # Both sides are one-row aggregates.
         entry = rows.withColumn("label", F.lit(label)).join(
             parts.withColumn("label", F.lit(label)), "label"
@@ -81,7 +84,7 @@ def sample_manifest(spark: SparkSession, path: str, origin: Column, seed: int) -
     entries = F.array_sort(F.collect_list(F.struct("rows", "label", "path", "sha256", "bytes")))
     return described.agg(
         F.first(origin).alias("origin"),
-        F.lit("nested random-priority samples").alias("sampling"),
+        F.lit(SAMPLING[kind]).alias("sampling"),
         F.lit(seed).alias("seed"),
         F.lit(has_coordinates(columns)).alias("coordinates_available"),
         entries.alias("datasets"),
@@ -98,23 +101,26 @@ def prepare(
     """Nested samples of raw trip files (or of synthetic trips) as Parquet, with a manifest."""
     sizes = checked_sizes(sizes)
     if sources:
-        raw = spark.read.parquet(*sources).withColumn("row_key", row_identity())
+        raw = spark.read.parquet(*sources).withColumn("row_key", row_identity(sources))
         trips = canonical_trips(raw, keep=["row_key"])
         available = raw.count()
         if available < sizes[-1]:
             raise ValueError(f"the source has {available} rows, fewer than {sizes[-1]}")
         samples = nested_samples(trips, sizes, seed, "row_key").drop("row_key")
         kind = "files"
+        digest = table_digest(file_fingerprint(spark, *sources)).first()["sha256"]
     else:
         available = sizes[-1]
         samples = synthetic_trips(spark, available, seed)
         kind = "synthetic"
+        digest = None
     write_samples(samples, sizes, output)
     origin = F.struct(
         F.lit(kind).alias("kind"),
         F.lit(",".join(source.rsplit("/", 1)[-1] for source in sources)).alias("source_file"),
+        F.lit(digest).cast("string").alias("source_sha256"),
         F.lit(available).cast("bigint").alias("source_rows"),
     )
-    manifest = sample_manifest(spark, output, origin, seed)
+    manifest = sample_manifest(spark, output, origin, seed, kind)
     write_records(manifest, f"{output}/manifest")
     return manifest

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,13 +45,21 @@ def load_trips(
     return reader.parquet(*paths)
 
 
-def row_identity() -> Column:
-    """Identity of a row in a file source without a key: file name and position in the file.
+def row_identity(roots: Sequence[str] = ()) -> Column:
+    """Identity of a row in a file source without a key: file and position in the file.
 
-    Usable directly on a file scan only. File names must be unique within the table, as Spark's
-    own part files are.
+    The file counts by its path below one of ``roots`` (the paths that were read), with the number
+    of the root, so equal file names in several folders differ, and moving a whole root changes
+    nothing. Without roots the full path counts. Usable directly on a file scan only.
     """
-    return F.concat_ws("|", F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+    path = F.col("_metadata.file_path")
+    file = path
+    for number, root in enumerate(roots):
+        name = root.rstrip("/")
+        at = F.locate(quote(name, safe="/:"), path)
+        found = F.substring(path, at + len(quote(name, safe="/:")), F.length(path))
+        file = F.when(at > 0, F.concat(F.lit(f"{number}"), found)).otherwise(file)
+    return F.concat_ws("|", file, F.col("_metadata.row_index"))
 
 
 def missing_required(columns: Iterable[str]) -> list[str]:
@@ -78,9 +87,10 @@ def as_moment(column: str, kind: T.DataType) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return value
     if isinstance(kind, T.NumericType):
-        # Plain numbers count nanoseconds since 1970.
-        span = F.make_dt_interval(secs=(value / F.lit(1_000_000_000)).cast("decimal(18,6)"))
-        return F.lit("1970-01-01").cast("timestamp_ntz") + span
+        # Plain numbers count nanoseconds since 1970, in 64 bits; what does not fit is missing.
+        whole = value.try_cast("bigint")
+        span = F.make_dt_interval(secs=(whole / F.lit(1_000_000_000)).cast("decimal(18,6)"))
+        return F.when(whole.isNotNull(), F.lit("1970-01-01").cast("timestamp_ntz") + span)
     return value.try_cast("timestamp_ntz")
 
 

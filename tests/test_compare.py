@@ -80,3 +80,21 @@ def test_hot_key_stays_one_row_and_one_shuffle(spark):
     plan = plan_of(found)
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 2
     assert "partial_first" in plan
+
+
+@pytest.mark.parametrize(
+    "actual, expected, same",
+    [
+        (5.0, float("inf"), False),
+        (float("inf"), 5.0, False),
+        (float("-inf"), float("inf"), False),
+        (float("inf"), float("inf"), True),
+        (float("-inf"), float("-inf"), True),
+        (float("nan"), float("nan"), True),
+        (float("nan"), float("inf"), False),
+        (1.0, 1.0 + 1e-7, True),
+    ],
+)
+def test_infinities_are_close_to_themselves_only(spark, actual, expected, same):
+    sides = [spark.createDataFrame([(1, value)], "k int, v double") for value in (actual, expected)]
+    assert tolerant_diff(*sides, ["k"]).isEmpty() is same

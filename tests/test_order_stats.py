@@ -7,6 +7,7 @@ import pytest
 from conftest import plan_of
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from fareline.operators.order_stats import (
     column_medians,
@@ -132,3 +133,37 @@ def test_small_groups_need_one_shuffle(spark, tmp_path):
     spark.range(100).selectExpr("id % 5 AS k", "cast(id AS double) AS v").write.parquet(path)
     result = grouped_median(spark.read.parquet(path), ["k"], "v")
     assert plan_of(result).count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("shape", ["pareto", "decades", "signs", "uniform"])
+def test_passes_do_not_depend_on_the_distribution(spark, monkeypatch, shape):
+    from fareline.operators import order_stats
+
+    monkeypatch.setattr(order_stats, "EXACT_ROWS", 20_000)
+    draw = F.rand(7) * (1 - 1e-9) + 1e-12
+    value = {
+        "pareto": F.pow(draw, -5.0),
+        "decades": F.pow(F.lit(10.0), draw * 300 - 150),
+        "signs": F.when(F.col("id") % 2 == 0, -1.0).otherwise(1.0) * F.pow(draw, -5.0),
+        "uniform": draw,
+    }[shape]
+    rows = spark.range(300_000, numPartitions=4).select(value.alias("x")).cache()
+    calls = []
+    histogram = order_stats.histogram
+    monkeypatch.setattr(
+        order_stats, "histogram", lambda *given: calls.append(1) or histogram(*given)
+    )
+    found = order_stats.order_statistics(rows, "x", lambda n: [n // 2, n * 9 // 10])
+    ordered = sorted(r.x for r in rows.collect())
+    assert [found.at[k].value for k in (150_000, 270_000)] == [ordered[150_000], ordered[270_000]]
+    assert len(calls) <= 5
+
+
+@pytest.mark.parametrize("group_rows", [0, 100])
+@pytest.mark.parametrize("pair", [(1e308, 1.2e308), (float("-inf"), float("inf")), (2.0, 5.0)])
+def test_every_route_has_the_same_median(spark, group_rows, pair):
+    rows = spark.createDataFrame([(1, value) for value in pair], "k int, v double")
+    found = grouped_median(rows, ["k"], "v", group_rows=group_rows).first()["median"]
+    expected = rows.agg(F.median("v")).first()[0]
+    searched = column_medians(rows, ["v"])["v"]
+    assert found == expected == searched or (found != found and expected != expected and searched != searched)

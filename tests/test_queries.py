@@ -21,7 +21,7 @@ def test_query_equals_its_sql(spark, tables, small_folder, name):
 
 
 def test_fingerprints_run(spark, small_folder):
-    assert QUERIES["file_fingerprint"].run(spark, small_folder).count() == 8
+    assert QUERIES["file_fingerprint"].run(spark, small_folder).count() == 14
 
 
 def test_entry_points(spark):

@@ -6,7 +6,13 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
-from fareline.operators.profile import file_fingerprint, materialise, row_count_within
+from fareline.operators.profile import (
+    file_fingerprint,
+    filter_retention,
+    materialise,
+    row_count_within,
+    table_digest,
+)
 from fareline.operators.ranking import ranked_by_priority, with_position
 from fareline.operators.sampling import budget_sample, nested_samples, priority_sample
 from fareline.plans.modelling.split import time_ordered
@@ -167,16 +173,40 @@ def test_files_hold_at_most_the_given_rows(spark, tmp_path):
     assert sorted(row["count"] for row in sizes) == [10, 30, 30, 30]
 
 
-@pytest.mark.parametrize("whole_file_bytes", [0, 1 << 20])
-def test_fingerprints_match_the_file_content(spark, tmp_path, whole_file_bytes):
-    contents = {"a.bin": b"x", "b.bin": b"trips" * 1000, "c.bin": bytes(range(256)) * 9000}
+def test_fingerprints_match_the_file_content(spark, tmp_path):
+    contents = {
+        "a.bin": b"x",
+        "b c.bin": b"trips" * 1000,
+        "c.bin": bytes(range(256)) * 9000,
+        "empty.bin": b"",
+    }
+    folder = tmp_path / "with space"
+    folder.mkdir()
     for name, content in contents.items():
-        (tmp_path / name).write_bytes(content)
-    found = file_fingerprint(spark, str(tmp_path), whole_file_bytes=whole_file_bytes).collect()
-    assert {row.file: (row.bytes, row.sha256) for row in found} == {
+        (folder / name).write_bytes(content)
+    found = file_fingerprint(spark, str(folder)).collect()
+    assert {row.path.rsplit("/", 1)[1].replace("%20", " "): (row.bytes, row.sha256) for row in found} == {
         name: (len(content), hashlib.sha256(content).hexdigest())
         for name, content in contents.items()
     }
+    plan = file_fingerprint(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_digest_of_a_table(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "a.bin").write_bytes(b"abc")
+    row = table_digest(file_fingerprint(spark, str(tmp_path / "one"))).first()
+    assert (row.bytes, row.sha256) == (3, hashlib.sha256(b"abc").hexdigest())
+    (tmp_path / "one" / "b.bin").write_bytes(b"d")
+    parts = sorted(hashlib.sha256(x).hexdigest() for x in (b"abc", b"d"))
+    row = table_digest(file_fingerprint(spark, str(tmp_path / "one"))).first()
+    assert row.sha256 == hashlib.sha256(",".join(parts).encode()).hexdigest()
+
+
+def test_retention_of_an_empty_table(spark):
+    row = filter_retention(spark.range(0), F.col("id") > 3).first()
+    assert (row.kept, row.rows, row.retention) == (0, 0, None)
 
 
 def test_row_limit_is_optional(spark):
