@@ -106,6 +106,16 @@ def zoned(spark: SparkSession, folder: str) -> DataFrame:
     return encoded_zones(timed, [fit_zone(split.train, "pickup_zone")])
 
 
+def zone_slots(spark: SparkSession, folder: str) -> DataFrame:
+    """The slot of each order's zone in the one-hot vector, NULL where the vector is all zeros."""
+    zone = F.when(F.col("passenger_count") < 6, F.col("pickup_zone"))
+    timed = trips_timed(spark, folder).withColumn("pickup_zone", zone)
+    coding = fit_zone(chronological_split(timed).train, "pickup_zone")
+    coded = coding.slot(timed.select("row_id", "pickup_zone"), "slot")
+    known = F.when(F.col("slot") < coding.width, F.col("slot").cast("int"))
+    return coded.select("row_id", known.alias("slot"), F.lit(coding.width).alias("width"))
+
+
 def group_means(spark: SparkSession, folder: str) -> DataFrame:
     """Trips with a predicted fare: the mean of their zone and event type."""
     events = table(spark, folder, "events").select(
@@ -313,6 +323,14 @@ ZONE_SQL = f"""WITH {TIMED_SQL}, holed AS (
   FROM filled WHERE in_train GROUP BY zone)
 SELECT row_id, 'pickup_zone' AS feature, label FROM filled LEFT JOIN categories USING (zone)"""
 
+SLOT_SQL = ZONE_SQL.replace(
+    "SELECT row_id, 'pickup_zone' AS feature, label FROM filled LEFT JOIN categories USING (zone)",
+    """, slots AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS slot
+    FROM (SELECT DISTINCT label FROM categories))
+  SELECT row_id, slot, (SELECT CAST(count(*) AS INTEGER) FROM slots) AS width
+  FROM filled LEFT JOIN categories USING (zone) LEFT JOIN slots USING (label)""",
+)
+
 
 def band_sql(column: str) -> str:
     return f"CAST(CASE WHEN {column} < 10 THEN 0 WHEN {column} < 25 THEN 1 ELSE 2 END AS INTEGER)"
@@ -362,6 +380,7 @@ QUERIES = {
     "impute_scale": Query(scaled, SCALE_SQL),
     "impute_scale_search": Query(scaled_by_search, SCALE_SQL),
     "encode_zones": Query(zoned, ZONE_SQL),
+    "encode_zone_slots": Query(zone_slots, SLOT_SQL),
     "regression_metrics": Query(
         fare_metrics,
         f"WITH {MEANS_SQL}, scores AS ({FARE_METRICS_SQL}) SELECT round(rmse, 6) AS rmse, "

@@ -5,6 +5,8 @@ from check_queries import connect, difference
 from fareline.catalog import all_queries
 
 QUERIES = all_queries()
+# A whole model search for a row of numbers; scripts/check_queries.py runs it.
+LONG = {"model_record_sides"}
 
 
 @pytest.fixture(scope="module")
@@ -12,7 +14,7 @@ def tables(small_folder):
     return connect(small_folder)
 
 
-@pytest.mark.parametrize("name", [name for name, query in QUERIES.items() if query.sql])
+@pytest.mark.parametrize("name", [name for name, query in QUERIES.items() if query.sql and name not in LONG])
 def test_query_equals_its_sql(spark, tables, small_folder, name):
     query = QUERIES[name]
     actual = query.run(spark, small_folder).toPandas()
