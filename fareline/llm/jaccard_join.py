@@ -11,7 +11,7 @@ pairs few without losing a link:
 3. Classes that share an n-gram among the first few of their order (the prefix that any linked pair
    must share) are candidates. Each bucket compares its members with one centre first. Only
    buckets whose members are not in one component by then compare members of different
-   components, and a length and uniqueness bound that holds for every linked pair cuts those.
+   components, and a bound from lengths and positions, which every linked pair keeps, cuts those.
 
 Links within a component that is already connected are not counted, as they change nothing:
 the result is components. Sets and n-grams are 64-bit hashes; with n classes a false merge
@@ -197,7 +197,9 @@ def enough(overlap: Column, x: str = "nx", y: str = "ny") -> Column:
 
 
 def possible() -> Column:
-    """A bound on any linked pair: both share at most the n-grams that are not theirs alone."""
+    """Whether a pair may be linked if this is the first n-gram of the order that both have: then
+    they share at most what the shorter rest of the two orders holds, this one included. A linked
+    pair passes where its first common n-gram stands, so none is lost."""
     return enough(F.least("rx", "ry"))
 
 
@@ -305,8 +307,10 @@ def links(docs: DataFrame, sets: DataFrame, id_column: str, size: int) -> DataFr
     ordered = written(ordered.where(F.col("r") >= least_overlap()), "ordered")
     # A linked pair shares one of the first n-grams: those alone come first in the order.
     length = (F.col("r") - least_overlap() + 1).cast("int")
-    prefix = ordered.select("c", "n", "r", F.explode(F.slice("grams", F.lit(1), length)).alias("g"))
-    prefix = written(prefix.select("c", "n", "r", F.col("g.s").alias("s")), "prefix")
+    prefix = ordered.select("c", "n", "r", F.posexplode(F.slice("grams", F.lit(1), length)))
+    # From here on r is what is left of the order from the n-gram on.
+    prefix = prefix.select("c", "n", (F.col("r") - F.col("pos")).alias("r"), F.col("col.s").alias("s"))
+    prefix = written(prefix, "prefix")
     centres = prefix.groupBy("s").agg(
         F.max(F.struct((F.col("r") / F.col("n")).alias("share"), "c", "n", "r")).alias("m"),
         F.count("*").alias("members"),
@@ -376,8 +380,10 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     often = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if often.isEmpty():
         return kept
-    again = F.col("doc_id").eqNullSafe(F.col("again"))
-    often = often.withColumnRenamed("doc_id", "again")
-    single = kept.join(F.broadcast(often), again, "left_anti")
-    several = kept.join(F.broadcast(often), again, "left_semi").dropDuplicates(["doc_id"])
+    often = written(often, "often")
+    if often.count() <= BROADCAST_ROWS:
+        often = F.broadcast(often)
+    again = kept["doc_id"].eqNullSafe(often["doc_id"])
+    single = kept.join(often, again, "left_anti")
+    several = kept.join(often, again, "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(several)
