@@ -39,6 +39,9 @@ from fareline.session import written
 
 SHINGLE = 4
 PERCENT = 85
+#: What the pipeline's stage for near copies takes.
+STAGE_SHINGLE = 5
+STAGE_PERCENT = 80
 #: The n-gram space is searched for unique n-grams in so many passes.
 PASSES = 2
 #: About as many n-grams are held by a task that looks for unique ones.
@@ -191,21 +194,21 @@ def unique_counts(texts: DataFrame, size: int, step: int, steps: int, groups: in
     return by_block.groupBy("c").agg(F.max("alone").alias("alone"))
 
 
-def enough(overlap: Column, x: str = "nx", y: str = "ny") -> Column:
-    """Whether an overlap links two sets."""
-    return 100 * overlap >= PERCENT * (F.col(x) + F.col(y) - overlap)
+def enough(overlap: Column, percent: int) -> Column:
+    """Whether an overlap links two sets of ``nx`` and ``ny`` n-grams."""
+    return 100 * overlap >= percent * (F.col("nx") + F.col("ny") - overlap)
 
 
-def possible() -> Column:
+def possible(percent: int) -> Column:
     """Whether a pair may be linked if this is the first n-gram of the order that both have: then
     they share at most what the shorter rest of the two orders holds, this one included. A linked
     pair passes where its first common n-gram stands, so none is lost."""
-    return enough(F.least("rx", "ry"))
+    return enough(F.least("rx", "ry"), percent)
 
 
-def least_overlap() -> Column:
+def least_overlap(percent: int) -> Column:
     """N-grams of a set that any linked set must have."""
-    return F.floor((PERCENT * F.col("n") + 99) / 100)
+    return F.floor((percent * F.col("n") + 99) / 100)
 
 
 def chosen(docs: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
@@ -248,7 +251,7 @@ def interval(low: int, high: int, upper: bool) -> Column:
     return F.transform(F.filter("grams", inside), lambda g: g["s"])
 
 
-def linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) that are similar; partial overlaps are summed over fragments."""
     cuts = [(0, 2), (2, 4), (4, 7), (7, 64)]
     fragments = F.array(
@@ -270,17 +273,18 @@ def linked(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         F.first("nx").alias("nx"),
         F.first("ny").alias("ny"),
     )
-    return counted.where(enough(F.col("overlap"))).select("a", "b")
+    return counted.where(enough(F.col("overlap"), percent)).select("a", "b")
 
 
-def links(docs: DataFrame, sets: DataFrame, id_column: str, size: int) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, id_column: str, size: int, percent: int) -> DataFrame:
     """Edges ``a``, ``b`` between classes that connect every component."""
     classes = sets.where("n > 0").groupBy("c").agg(
         F.first("n").alias("n"), F.min("id").alias("id"), F.lit(0).cast("long").alias("alone")
     )
     total = classes.agg(F.sum("n")).first()[0] or 0
     groups = max(4, -(-total // (PASSES * GROUP_GRAMS)))
-    allowed = F.col("n") - least_overlap()
+    needed = least_overlap(percent)
+    allowed = F.col("n") - needed
     texts = docs.select("text")
     for step in range(PASSES):
         alone = unique_counts(texts, size, step, PASSES, groups).withColumnRenamed("alone", "more")
@@ -304,9 +308,9 @@ def links(docs: DataFrame, sets: DataFrame, id_column: str, size: int) -> DataFr
         )
         .withColumn("r", F.size("grams").cast("long"))
     )
-    ordered = written(ordered.where(F.col("r") >= least_overlap()), "ordered")
+    ordered = written(ordered.where(F.col("r") >= needed), "ordered")
     # A linked pair shares one of the first n-grams: those alone come first in the order.
-    length = (F.col("r") - least_overlap() + 1).cast("int")
+    length = (F.col("r") - needed + 1).cast("int")
     prefix = ordered.select("c", "n", "r", F.posexplode(F.slice("grams", F.lit(1), length)))
     # From here on r is what is left of the order from the n-gram on.
     prefix = prefix.select("c", "n", (F.col("r") - F.col("pos")).alias("r"), F.col("col.s").alias("s"))
@@ -319,9 +323,9 @@ def links(docs: DataFrame, sets: DataFrame, id_column: str, size: int) -> DataFr
         "s", F.col("m.c").alias("b"), F.col("m.n").alias("ny"), F.col("m.r").alias("ry")
     )
     member = prefix.select("s", F.col("c").alias("a"), F.col("n").alias("nx"), F.col("r").alias("rx"))
-    first = member.join(centres, "s").where((F.col("a") != F.col("b")) & possible())
+    first = member.join(centres, "s").where((F.col("a") != F.col("b")) & possible(percent))
     first = written(pair(first), "pairs")
-    edges = written(linked(first, ordered), "links")
+    edges = written(linked(first, ordered, percent), "links")
 
     label = components(edges).withColumnRenamed("node", "c")
     prefix = prefix.join(label, "c", "left").withColumn("l", F.coalesce("label", "c"))
@@ -334,9 +338,9 @@ def links(docs: DataFrame, sets: DataFrame, id_column: str, size: int) -> DataFr
     b = open_rows.select(
         "s", F.col("c").alias("b"), F.col("n").alias("ny"), F.col("r").alias("ry"), F.col("l").alias("lb")
     )
-    across = a.join(b, "s").where((F.col("la") < F.col("lb")) & possible())
+    across = a.join(b, "s").where((F.col("la") < F.col("lb")) & possible(percent))
     across = written(pair(across).join(first, ["a", "b"], "left_anti"), "pairs")
-    return edges.unionByName(linked(across, ordered))
+    return edges.unionByName(linked(across, ordered, percent))
 
 
 def pair(rows: DataFrame) -> DataFrame:
@@ -344,13 +348,17 @@ def pair(rows: DataFrame) -> DataFrame:
 
 
 def similar(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = SHINGLE
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    size: int = SHINGLE,
+    percent: int = PERCENT,
 ) -> DataFrame:
     """Per document: id, ``n_shingles`` and ``component_id``, the smallest id of its component."""
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     found = document_sets(texts, ["id"], "text", size)
     sets = written(found.select(F.col("row.id").alias("id"), "n", "c"), "sets")
-    edges = links(texts, sets, "id", size)
+    edges = links(texts, sets, "id", size, percent)
     label = components(edges).withColumnRenamed("node", "c")
     classes = sets.where("n > 0").groupBy("c").agg(F.min("id").alias("low"))
     classes = classes.join(label, "c", "left").withColumn("l", F.coalesce("label", "c"))
@@ -371,7 +379,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat an id are cut to one: they are counted first, and only their ids take the
     way over a shuffle.
     """
-    found = written(similar(docs), "similar")
+    found = similar(docs, size=STAGE_SHINGLE, percent=STAGE_PERCENT)
+    found = written(found, "similar")
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     gone = gone.distinct()
     if gone.count() <= BROADCAST_ROWS:

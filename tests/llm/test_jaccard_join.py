@@ -7,12 +7,12 @@ from fareline.llm import jaccard_join
 from fareline.llm.components import components
 
 
-def brute(docs):
+def brute(docs, size=4, percent=85):
     sets = []
     for _, text in docs:
         lowered = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
         words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
-        grams = [tuple(words[k : k + 4]) for k in range(len(words) - 3)]
+        grams = [tuple(words[k : k + size]) for k in range(len(words) - size + 1)]
         sets.append(frozenset(grams or ([tuple(words)] if words else [])))
     parent = list(range(len(docs)))
 
@@ -24,7 +24,7 @@ def brute(docs):
     for a in range(len(docs)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 parent[root(a)] = root(b)
     low = {}
     for k, (doc, _) in enumerate(docs):
@@ -32,8 +32,8 @@ def brute(docs):
     return sorted((doc, len(sets[k]), low[root(k)]) for k, (doc, _) in enumerate(docs))
 
 
-@pytest.mark.parametrize("seed", [3, 8])
-def test_as_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, size, percent", [(3, 4, 85), (8, 5, 80)])
+def test_as_brute_force(spark, seed, size, percent):
     draw = random.Random(seed)
     names = [f"w{k}" for k in range(40)]
     base = [[draw.choice(names) for _ in range(draw.choice([2, 5, 20, 60, 120]))] for _ in range(12)]
@@ -52,8 +52,8 @@ def test_as_brute_force(spark, seed):
     docs += [(400, None), (401, ""), (402, " \n"), (403, "w1"), (404, "W1"), (405, "w1 w2")]
     docs += [(5, docs[5][1]), (406, "long " + "text w7 w8 " * 5000), (407, "text w7 w8 " * 5000)]
     table = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, n long")
-    found = jaccard_join.similar(table.repartition(5))
-    assert sorted(tuple(r) for r in found.collect()) == brute(docs)
+    found = jaccard_join.similar(table.repartition(5), size=size, percent=percent)
+    assert sorted(tuple(r) for r in found.collect()) == brute(docs, size, percent)
 
 
 def test_empty_table(spark):

@@ -48,7 +48,7 @@ def test_pipeline_stages(spark):
     judged = quality_rules.judged(docs, rules).where("kept").select("row.doc_id")
     assert {r[0] for r in judged.collect()} == {r.doc_id for r in kept.collect()}
     single = jaccard_join.stage(spark, kept, FOLDER).cache()
-    groups = jaccard_join.similar(kept).where("doc_id = component_id").select("doc_id")
+    groups = jaccard_join.similar(kept, size=5, percent=80).where("doc_id = component_id").select("doc_id")
     assert {r[0] for r in groups.collect()} == {r.doc_id for r in single.collect()}
     clean = decontaminate.stage(spark, single, FOLDER).cache()
     benchmark = spark.read.parquet(f"{FOLDER}/benchmark.parquet")

@@ -57,10 +57,10 @@ def test_as_brute_force(spark, monkeypatch, seed, piece):
 
 
 def limited(piece):
-    def blocks(batches, column=1):
+    def blocks(batches, column, limit):
         from fareline.llm import arrays
 
-        return arrays.text_blocks(batches, column, min(piece, arrays.BLOCK_BYTES))
+        return arrays.text_blocks(batches, column, min(piece, limit))
 
     return blocks
 
