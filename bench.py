@@ -21,6 +21,7 @@ from collections.abc import Callable
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from fareline.catalog import all_queries  # noqa: E402
 from fareline.catalog.views import trips  # noqa: E402
@@ -42,6 +43,21 @@ FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
 REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 
+# The throughput table repeats the prepared trips this often, with jittered values.
+COPIES = int(os.environ.get("BENCH_COPIES", "100"))
+THROUGHPUT = (
+    "count",
+    "mean",
+    "std",
+    "sum_columns",
+    "product_columns",
+    "mean_complex",
+    "complex",
+    "groupby",
+    "value_counts",
+    "join_count",
+)
+
 # Registered queries timed besides the workload, each over its whole tables.
 QUERIES = (
     "passenger_stats_wide",
@@ -133,6 +149,32 @@ def mode_times(mode: str, frame: Callable[[], DataFrame]) -> dict[str, float]:
     }
 
 
+def throughput(spark: SparkSession, path: str) -> dict[str, float]:
+    """Million rows per second of operations over many copies of the trips, written first."""
+    large = new_path(spark, "large")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy")
+    rows = spark.read.parquet(path).select("*", copies)
+    jitter = 1 + F.col("copy") / 10_000
+    rows = rows.withColumns(
+        {
+            "row_id": F.col("row_id") * COPIES + F.col("copy"),
+            "fare_amt": F.col("fare_amt") * jitter,
+            "tip_amt": F.col("tip_amt") * jitter,
+        }
+    ).drop("copy")
+    write_parquet(rows, large)
+    schema = load_trips(spark, large).schema
+    count = load_trips(spark, large, schema=schema).count()
+    found = {}
+    for name in THROUGHPUT:
+        frame = load_trips(spark, large, schema=schema)
+        lookup = row_lookup(lookup_dimension(frame)) if name == "join_count" else None
+        started = time.perf_counter()
+        finish(operation(frame, name, lookup), name)
+        found[name] = round(count / (time.perf_counter() - started) / 1e6, 2)
+    return found | {"million_rows": round(count / 1e6, 3)}
+
+
 def main() -> None:
     spark = session()
     path = new_path(spark, "trips")
@@ -152,6 +194,7 @@ def main() -> None:
         "cpus": int(CPUS),
         "repeats": REPEATS,
         "workload_rows": spark.read.parquet(path).count(),
+        "million_rows_per_second": throughput(spark, path),
     }
     print(json.dumps(summary))
     spark.stop()

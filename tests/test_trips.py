@@ -128,3 +128,33 @@ def test_retention_rejects_unknown(spark):
     df = spark.createDataFrame([(1.0,), (None,), (9.0,), (5.0,)], "tip double")
     row = filter_retention(df, F.col("tip").between(1, 5)).first()
     assert (row.kept, row.rows, row.retention) == (2, 4, 0.5)
+
+
+def test_numeric_times_out_of_range_are_missing(spark):
+    from fareline.sources.trips import as_moment
+
+    rows = [(1, 0.0), (2, 1.5e18), (3, 1e300), (4, float("nan")), (5, float("inf")), (6, None), (7, -9.3e18)]
+    df = spark.createDataFrame(rows, "id int, t double")
+    found = {r.id: r.m for r in df.select("id", as_moment("t", df.schema["t"].dataType).alias("m")).collect()}
+    assert str(found[1]) == "1970-01-01 00:00:00" and str(found[2]) == "2017-07-14 02:40:00"
+    assert [found[k] for k in (3, 5, 6, 7)] == [None] * 4
+
+
+def test_month_text_must_end(spark):
+    from fareline.functions.trips import valid_month
+
+    rows = spark.createDataFrame([("2015-01",), ("2015-01\n",), ("2015-13",)], "m string")
+    assert [r[0] for r in rows.select(valid_month(rows.m)).collect()] == [True, False, False]
+
+
+def test_row_identity_tells_folders_apart(spark, tmp_path):
+    from fareline.sources.trips import row_identity
+
+    folders = [str(tmp_path / name) for name in ("one x", "two")]
+    for folder in folders:
+        spark.range(3).coalesce(1).write.parquet(folder)
+        part = next(p for p in __import__("pathlib").Path(folder).glob("part-*.parquet"))
+        part.rename(part.with_name("part-0.parquet"))
+    rows = spark.read.option("recursiveFileLookup", True).parquet(*folders)
+    keys = {r[0] for r in rows.select(row_identity(folders)).collect()}
+    assert len(keys) == 6 and all(str(tmp_path) not in key for key in keys)
