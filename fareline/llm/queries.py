@@ -13,6 +13,7 @@ from fareline.llm import (
     html_extract,
     jaccard_join,
     lm_score,
+    oracle,
     pii,
     quality_rules,
     suffix_dedup,
@@ -114,4 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB counterparts of the queries that SQL can express on whole tables.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_decontaminate": oracle.DECONTAMINATE,
+    "op4_suffix_dedup": oracle.SUFFIX_DEDUP,
+    "op9_jaccard_join": oracle.JACCARD_JOIN,
+}
