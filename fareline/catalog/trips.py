@@ -86,8 +86,7 @@ def by_row(name: str, digits: int = 6):
 
 
 def filtered(spark: SparkSession, folder: str) -> DataFrame:
-    kept = filter_tips(trips(spark, folder))
-    return kept.select("row_id", "pickup_datetime", "fare_amt", "tip_amt", "passenger_count")
+    return rounded(filter_tips(trips(spark, folder)), COORDINATE_COLUMNS, 9)
 
 
 def filtered_wide(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +94,7 @@ def filtered_wide(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, folder: str) -> DataFrame:
-    return clean_fares(trips(spark, folder)).select("row_id", "pickup_datetime", "fare_amt")
+    return rounded(clean_fares(trips(spark, folder)), COORDINATE_COLUMNS, 9)
 
 
 def availability(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,6 +159,10 @@ def synthetic(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ROUNDED_COORDINATES = ", ".join(f"round({c}, 9) AS {c}" for c in COORDINATE_COLUMNS)
+TRIP_COLUMNS = (
+    "row_id, pickup_datetime, fare_amt, tip_amt, passenger_count, trip_distance, "
+    f"{ROUNDED_COORDINATES}, pickup_zone, dropoff_zone"
+)
 
 HALF_LON = "(radians(end_lon) - radians(start_lon)) / 2"
 HALF_LAT = "(radians(end_lat) - radians(start_lat)) / 2"
@@ -263,15 +266,14 @@ QUERIES = {
     ),
     "filter_tips": Query(
         filtered,
-        f"WITH {TRIPS_SQL} SELECT row_id, pickup_datetime, fare_amt, tip_amt, passenger_count "
-        "FROM trips WHERE tip_amt BETWEEN 1 AND 5",
+        f"WITH {TRIPS_SQL} SELECT {TRIP_COLUMNS} FROM trips WHERE tip_amt BETWEEN 1 AND 5",
     ),
     "filter_tips_wide": Query(
         filtered_wide, f"WITH {WIDE_SQL} SELECT * FROM trips_wide WHERE tip_amt BETWEEN 1 AND 5"
     ),
     "clean_fares": Query(
         clean,
-        f"WITH {TRIPS_SQL} SELECT row_id, pickup_datetime, fare_amt FROM trips "
+        f"WITH {TRIPS_SQL} SELECT {TRIP_COLUMNS} FROM trips "
         "WHERE fare_amt BETWEEN 0.01 AND 500 AND pickup_datetime IS NOT NULL",
     ),
     "operation_availability": Query(availability, AVAILABILITY_SQL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fareline.catalog.registry import Query, rounded, value
-from fareline.catalog.trips import ANGULAR_SQL
+from fareline.catalog.trips import ANGULAR_SQL, COORDINATE_COLUMNS, TRIP_COLUMNS
 from fareline.catalog.views import TRIPS_SQL, WIDE_SQL, trips, trips_wide
 from fareline.operators.workload import (
     fare_value_counts,
@@ -59,7 +59,7 @@ def lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 def row_id_join(spark: SparkSession, folder: str) -> DataFrame:
     joined = operation(trips(spark, folder), "join")
-    return rounded(joined.select("row_id", "fare_amt", "tip_amt", *SPREAD), SPREAD)
+    return rounded(rounded(joined, SPREAD), COORDINATE_COLUMNS, 9)
 
 
 def mode(name: str):
@@ -184,7 +184,8 @@ QUERIES = {
     "row_id_join": Query(
         row_id_join,
         join_sql(
-            "row_id, fare_amt, tip_amt, "
+            TRIP_COLUMNS.replace("passenger_count", "trips.passenger_count")
+            + ", "
             + ", ".join(f"round({name}, 6) AS {name}" for name in SPREAD)
         ),
     ),
