@@ -44,8 +44,10 @@ U64 = np.uint64
 PLACE_BITS = 24
 PIECE_BYTES = 8_000_000
 #: Text bytes whose stretches meet in one task, and open windows that do.
-GROUP_BYTES = 48_000_000
-GROUP_STRETCHES = 80_000
+GROUP_BYTES = 16_000_000
+GROUP_STRETCHES = 20_000
+#: Texts of a task are searched in blocks of about this many bytes.
+BLOCK_BYTES = 1_000_000
 #: Lists of documents up to this length are broadcast to pick their texts before a shuffle.
 BROADCAST_ROWS = 2_000_000
 NO_ID = -(1 << 63)
@@ -140,7 +142,7 @@ def stretch_rows(texts: DataFrame, groups: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=False)
-        for batch, data, offsets in text_blocks(batches, column=2):
+        for batch, data, offsets in text_blocks(batches, 2, BLOCK_BYTES):
             ids = np.array(batch.column(0).to_numpy(), dtype=np.int64)
             keys = np.array(batch.column(1).to_numpy(), dtype=np.int64)
             for part, bounds, base in pieces(data, offsets):
@@ -249,7 +251,7 @@ def open_rows(texts: DataFrame, groups: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=False)
-        for batch, data, offsets in text_blocks(batches, column=2):
+        for batch, data, offsets in text_blocks(batches, 2, BLOCK_BYTES):
             ids = np.array(batch.column(0).to_numpy(), dtype=np.int64)
             keys = np.array(batch.column(1).to_numpy(), dtype=np.int64)
             lists = batch.column(3)
@@ -391,7 +393,7 @@ def dedup(
     ]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in text_blocks(batches, column=1):
+        for batch, data, offsets in text_blocks(batches, 1, BLOCK_BYTES):
             lists = batch.column(2) if batch.num_columns > 2 else None
             out: list[list] = [[], [], [], [], []]
             for k in range(batch.num_rows):
