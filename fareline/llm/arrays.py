@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts of one task are worked on in blocks of about this many bytes; a longer text goes alone.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 
 U64 = np.uint64
 #: Odd multiplier of the polynomial hash and its inverse modulo 2^64.

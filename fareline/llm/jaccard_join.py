@@ -45,7 +45,7 @@ STAGE_PERCENT = 80
 #: The n-gram space is searched for unique n-grams in so many passes.
 PASSES = 2
 #: About as many n-grams are held by a task that looks for unique ones.
-GROUP_GRAMS = 1_500_000
+GROUP_GRAMS = 800_000
 #: A list of document ids is broadcast up to so many rows, beyond that the texts are shuffled.
 BROADCAST_ROWS = 2_000_000
 U64 = np.uint64
