@@ -314,13 +314,17 @@ def stage_comparison(
     df: DataFrame,
     stages: Sequence[str],
     max_rows: int | None = None,
-    fit: Callable[[Split], FareModels] = fit_fare_models,
+    fit: Callable[..., FareModels] = fit_fare_models,
+    **search,
 ) -> DataFrame:
-    """The same evaluation per stage, one row each: the stages answer different questions."""
+    """The same evaluation per stage, one row each: the stages answer different questions.
+
+    ``search`` goes to ``fit``, which may also hand back models of an earlier search.
+    """
     rows = None
     for stage in stages:
         split = ml_frame(df, max_rows, stage)
-        models = fit(split)
+        models = fit(split, **search)
         row = model_record(df, models, split, stage)
         rows = row if rows is None else rows.unionByName(row)
     return rows
