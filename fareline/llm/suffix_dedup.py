@@ -138,7 +138,7 @@ STRETCH_NAMES = ["part", "ids", "keys", "doc", "bucket", "stretch", "low", "size
 
 def stretch_rows(texts: DataFrame, groups: int) -> DataFrame:
     """The stretches of all texts, packed by part and block; within a block equal ones once, the
-    later of them already as repeats (bucket 0 bytes long, in the part -1)."""
+    later of them already as repeats, in the part ``groups``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=False)
@@ -157,10 +157,16 @@ def stretch_rows(texts: DataFrame, groups: int) -> DataFrame:
                 start = low - bounds[row] + base
                 size, lead = (high - low + 1).astype(np.uint8), (anchor - low).astype(np.uint8)
                 order = np.lexsort((start, keys[row], ids[row]))
-                _, first = np.unique(whole[order] ^ mix(bucket[order]), return_index=True)
-                kept = np.zeros(len(row), dtype=bool)
-                kept[order[first]] = True
-                parts = np.where(kept, ((bucket >> U64(32)) % U64(groups)).astype(np.int64), groups)
+                _, first, kind = np.unique(
+                    whole[order] ^ mix(bucket[order]), return_index=True, return_inverse=True
+                )
+                mine = np.empty(len(row), dtype=np.int64)
+                mine[order] = order[first][kind]
+                owner, text = ids[row], keys[row]
+                later = (owner != owner[mine]) | (text != text[mine]) | (start != start[mine])
+                # Equal rows (same id and text) are one document: their copies go nowhere.
+                parts = np.where(later, groups, groups + 1)
+                parts[mine] = ((bucket[mine] >> U64(32)) % U64(groups)).astype(np.int64)
                 columns = [
                     row.astype(np.uint16), (bucket & U64(0xFFFFFFFF)).astype(np.uint32), whole,
                     start.astype(np.uint32), size, lead,
@@ -169,7 +175,6 @@ def stretch_rows(texts: DataFrame, groups: int) -> DataFrame:
                     columns[0] = row.astype(np.uint32)
                 shared = [ids.tobytes(), keys.tobytes()]
                 rows = list(packed(parts, groups + 1, columns, shared))
-                # Repeats within the block: of equal rows (same id and text) none is the later.
                 yield batch_of(rows, STRETCH_NAMES)
 
     return texts.mapInArrow(scan, "part long, " + ", ".join(f"{n} binary" for n in STRETCH_NAMES[1:]))

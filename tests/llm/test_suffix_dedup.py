@@ -75,3 +75,15 @@ def test_kept_bytes(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.dedup(docs).collect() == []
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_equal_rows_are_one_document(spark, parts):
+    draw = random.Random(5)
+    texts = [" ".join(f"v{draw.randrange(900)}" for _ in range(60)) for _ in range(4)]
+    docs = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[1])]
+    docs += [(2, texts[2]), (3, texts[2] + " " + texts[3]), (3, texts[2] + " " + texts[3])]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    table = table.coalesce(1) if parts == 1 else table.repartition(parts)
+    found = suffix_dedup.dedup(table)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute(docs)
