@@ -11,7 +11,10 @@ offsets. Windows with one anchor stand together, as a stretch. So
 1. blocks of texts send each stretch to the bucket of its anchor, equal ones within a block once;
 2. in a bucket, of equal stretches all but the earliest are repeats as a whole. A bucket whose
    stretches all agree is done; the earliest ones of the others stay open;
-3. only open stretches are sent with their bytes, refined to 100 bytes, and compared by window.
+3. only open stretches are sent with their bytes, refined to 100 bytes, and compared by window;
+4. a bucket with more stretches than a task should hold is not gathered at all: blocks refine its
+   stretches to 100 bytes themselves and send each window to the part of its own identifier, equal
+   windows of a block once.
 
 A byte is removed if a repeated window covers it: one whose 100 bytes also start earlier, that is
 in a smaller document id, or in the same document at an earlier place. Everything is judged on the
@@ -46,6 +49,9 @@ PIECE_BYTES = 8_000_000
 #: Text bytes whose stretches meet in one task, and open windows that do.
 GROUP_BYTES = 16_000_000
 GROUP_STRETCHES = 20_000
+#: A bucket of so many stretches is split by its windows, and windows that meet in one task.
+HOT_STRETCHES = 20_000
+GROUP_WINDOWS = 1_000_000
 #: Texts of a task are searched in blocks of about this many bytes.
 BLOCK_BYTES = 1_000_000
 #: Lists of documents up to this length are broadcast to pick their texts before a shuffle.
@@ -196,7 +202,7 @@ def bucket_search(table: pa.Table) -> pa.Table:
     keys = unpacked(table, "keys", np.int64)
     bucket = unpacked(table, "bucket", np.uint32)
     docs = [
-        np.frombuffer(x, np.uint16 if len(x) == 2 * len(b) else np.uint32)
+        doc_numbers(x, len(b))
         for x, b in zip(table.column("doc").to_pylist(), bucket, strict=True)
     ]
     owner = np.concatenate([i[d] for i, d in zip(ids, docs, strict=True)])
@@ -228,6 +234,78 @@ def bucket_search(table: pa.Table) -> pa.Table:
     return ranges_table(owner[at], text[at], low[at], low[at] + size[at] - 1, anchor)
 
 
+def doc_numbers(raw: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * count else np.uint32)
+
+
+def hot_buckets(rows: DataFrame) -> dict[int, np.ndarray]:
+    """By part, the buckets to be split. A task names those it holds often enough that a bucket
+    of 2 * ``HOT_STRETCHES`` stretches can't escape, however they are dealt; at most one bucket
+    for every ``HOT_STRETCHES`` stretches is listed."""
+    least = max(1, HOT_STRETCHES // max(1, rows.rdd.getNumPartitions()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
+        for batch in batches:
+            parts = batch.column(0).to_numpy().astype(U64)
+            found = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(1)]
+            sizes = [len(f) for f in found]
+            own = (np.repeat(parts, sizes) << U64(32)) | np.concatenate(found).astype(U64)
+            own, n = np.unique(own, return_counts=True)
+            keys, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            counts = np.bincount(at, weights=np.concatenate([counts, n])).astype(np.int64)
+        often = counts >= least
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[often].astype(np.int64)), pa.array(counts[often], pa.int64())],
+            ["bucket", "n"],
+        )
+
+    named = rows.select("part", "bucket").mapInArrow(count, "bucket long, n long")
+    listed = named.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_STRETCHES)
+    keys = np.array(listed.select("bucket").toArrow()["bucket"]).astype(np.int64)
+    parts = keys >> 32
+    return {int(k): np.sort(keys[parts == k] & 0xFFFFFFFF) for k in np.unique(parts)}
+
+
+def without_hot(rows: DataFrame, hot: dict[int, np.ndarray]) -> DataFrame:
+    """The packed stretches of all other buckets."""
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                bucket = np.frombuffer(row["bucket"], np.uint32)
+                if row["part"] in hot:
+                    stay = ~np.isin(bucket, hot[row["part"]])
+                    for name in STRETCH_NAMES[3:]:
+                        raw = np.frombuffer(row[name], np.uint8).reshape(len(bucket), -1)
+                        row[name] = raw[stay].tobytes()
+                    bucket = bucket[stay]
+                if len(bucket):
+                    yield batch_of([[row[name] for name in STRETCH_NAMES]], STRETCH_NAMES)
+
+    return rows.mapInArrow(strip, rows.schema)
+
+
+def hot_ranges(rows: DataFrame, hot: dict[int, np.ndarray]) -> DataFrame:
+    """The stretches of the buckets to be split, as open ranges."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                bucket = np.frombuffer(row["bucket"], np.uint32)
+                own = np.isin(bucket, hot[row["part"]])
+                doc = doc_numbers(row["doc"], len(bucket))[own]
+                low = np.frombuffer(row["low"], np.uint32)[own].astype(np.int64)
+                size, lead = (np.frombuffer(row[n], np.uint8)[own] for n in ("size", "lead"))
+                ids, keys = (np.frombuffer(row[n], np.int64)[doc] for n in ("ids", "keys"))
+                found = ranges_table(ids, keys, low, low + size - 1, low + lead)
+                yield from found.to_batches()
+
+    return rows.where(F.col("part").isin(list(hot))).mapInArrow(read, RANGES)
+
+
 def block_repeats(rows: DataFrame) -> DataFrame:
     """The ranges that blocks found to be repeats by themselves."""
 
@@ -238,8 +316,7 @@ def block_repeats(rows: DataFrame) -> DataFrame:
                 ids, keys = unpacked(one, "ids", np.int64)[0], unpacked(one, "keys", np.int64)[0]
                 low = unpacked(one, "low", np.uint32)[0].astype(np.int64)
                 size = unpacked(one, "size", np.uint8)[0].astype(np.int64)
-                raw = one.column("doc")[0].as_py()
-                doc = np.frombuffer(raw, np.uint16 if len(raw) == 2 * len(low) else np.uint32)
+                doc = doc_numbers(one.column("doc")[0].as_py(), len(low))
                 found = ranges_table(
                     ids[doc], keys[doc], low, low + size - 1, np.full(len(low), -1)
                 )
@@ -334,6 +411,107 @@ def window_search(table: pa.Table) -> pa.Table:
     )
 
 
+WINDOW_NAMES = ["part", "windows", "ids", "keys", "places"]
+
+
+def earlier_windows(values, ids, keys, places) -> tuple[np.ndarray, np.ndarray]:
+    """The earliest of equal windows, and those that are repeats of an earlier one."""
+    order = np.lexsort((places, keys, ids, values))
+    v = values[order]
+    new = np.ones(len(v), dtype=bool)
+    new[1:] = v[1:] != v[:-1]
+    mine = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    same = (ids[order] == ids[mine]) & (keys[order] == keys[mine])
+    same &= places[order] == places[mine]
+    return order[new], order[~same]
+
+
+def repeated_windows(ids, keys, places) -> pa.Table:
+    """Ranges of the starts of repeated windows."""
+    order = np.lexsort((places, keys, ids))
+    ids, keys, places = ids[order], keys[order], places[order]
+    edge = np.ones(len(order), dtype=bool)
+    edge[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (places[1:] > places[:-1] + 1)
+    start = np.flatnonzero(edge)
+    stop = np.append(start[1:], len(order))[: len(start)] - 1
+    return ranges_table(ids[start], keys[start], places[start], places[stop], np.full(len(start), -1))
+
+
+def window_rows(texts: DataFrame, groups: int) -> DataFrame:
+    """The windows of open ranges, packed by part of their own identifiers; of equal windows of a
+    block only the earliest, the repeats in the part ``groups``."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(lower=False)
+        for batch, data, offsets in text_blocks(batches, 2, BLOCK_BYTES):
+            lists = batch.column(3)
+            counts = np.diff(lists.offsets.to_numpy())
+            values = lists.flatten()
+            low, high = (values.field(k).to_numpy(zero_copy_only=False) for k in ("low", "high"))
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            spans = zip(
+                (low + offsets[:-1][row]).tolist(),
+                (high + offsets[:-1][row] + LENGTH).tolist(),
+                strict=True,
+            )
+            raw = np.concatenate([*[data[a:b] for a, b in spans], np.zeros(0, np.uint8)])
+            size = high - low + 1
+            stretch = np.repeat(np.arange(len(size)), size)
+            step = np.arange(len(stretch)) - np.repeat(np.cumsum(size) - size, size)
+            begins = np.cumsum(size + LENGTH - 1) - size - LENGTH + 1
+            grams = gram_ids(hasher.sums(raw), hasher, GRAM)
+            found = refined(grams, begins[stretch] + step)
+            places = low[stretch] + step
+            ids, keys = (
+                np.array(batch.column(k).to_numpy(), np.int64)[row[stretch]] for k in (0, 1)
+            )
+            first, later = earlier_windows(found, ids, keys, places)
+            parts = np.full(len(found), groups + 1)
+            parts[later] = groups
+            parts[first] = ((found[first] >> U64(32)) % U64(groups)).astype(np.int64)
+            rows = list(packed(parts, groups + 1, [found, ids, keys, places], []))
+            if rows:
+                yield batch_of(rows, WINDOW_NAMES)
+
+    return texts.mapInArrow(scan, "part long, " + ", ".join(f"{n} binary" for n in WINDOW_NAMES[1:]))
+
+
+def window_part(table: pa.Table) -> pa.Table:
+    """Repeated windows among those of a part."""
+    found = np.concatenate(unpacked(table, "windows", U64))
+    ids, keys, places = (
+        np.concatenate(unpacked(table, n, np.int64)) for n in ("ids", "keys", "places")
+    )
+    _, later = earlier_windows(found, ids, keys, places)
+    return repeated_windows(ids[later], keys[later], places[later])
+
+
+def window_repeats(rows: DataFrame) -> DataFrame:
+    """The windows that blocks found to be repeats by themselves."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = (np.frombuffer(row[n], np.int64) for n in ("ids", "keys", "places"))
+                yield from repeated_windows(*own).to_batches()
+
+    return rows.mapInArrow(read, RANGES)
+
+
+def hot_repeats(texts: DataFrame, opened: DataFrame) -> DataFrame:
+    """Repeated windows of the buckets that are split."""
+    opened = written(opened, "hot")
+    total = opened.agg(F.sum(F.col("high") - F.col("low") + 1)).first()[0] or 0
+    groups = max(4, -(-total // GROUP_WINDOWS))
+    by_text, listed = of_texts(texts, opened)
+    chosen = texts.join(listed, ["id", "key"], "left_semi").join(by_text, ["id", "key"])
+    rows = window_rows(chosen.select("id", "key", "text", "ranges"), groups)
+    rows = written(rows, "windows")
+    inside = window_repeats(rows.where(F.col("part") == groups))
+    across = rows.where(F.col("part") < groups).groupBy("part").applyInArrow(window_part, RANGES)
+    return inside.unionByName(across)
+
+
 def of_texts(texts: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``ranges`` gathered by document, and the ids of these documents, broadcast if few."""
     by_text = ranges.groupBy("id", "key").agg(
@@ -351,7 +529,13 @@ def repeats(texts: DataFrame, size_bytes: int) -> DataFrame:
     groups = max(4, -(-size_bytes // GROUP_BYTES))
     rows = written(stretch_rows(texts, groups), "stretches")
     inside = block_repeats(rows.where(F.col("part") == groups))
-    found = rows.where(F.col("part") < groups).groupBy("part").applyInArrow(bucket_search, RANGES)
+    packed_rows = rows.where(F.col("part") < groups)
+    hot = hot_buckets(packed_rows)
+    if hot:
+        split = hot_repeats(texts, hot_ranges(packed_rows, hot))
+        inside = inside.unionByName(split)
+        packed_rows = without_hot(packed_rows, hot)
+    found = packed_rows.groupBy("part").applyInArrow(bucket_search, RANGES)
     found = written(found, "buckets")
     opened = found.where("anchor >= 0")
     groups = max(4, -(-opened.count() // GROUP_STRETCHES))

@@ -87,3 +87,33 @@ def test_equal_rows_are_one_document(spark, parts):
     table = table.coalesce(1) if parts == 1 else table.repartition(parts)
     found = suffix_dedup.dedup(table)
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(docs)
+
+
+def test_a_hot_passage_is_split(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_STRETCHES", 20, raising=False)
+    monkeypatch.setattr(suffix_dedup, "GROUP_STRETCHES", 20)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3_000)
+    draw = random.Random(9)
+    line = "the very common line that a third of all documents hold"
+    docs = []
+    for k in range(150):
+        a, b = (" ".join(f"n{draw.randrange(10**6)}" for _ in range(20)) for _ in range(2))
+        docs.append((k, f"{a} {line} {b}" if k % 2 else a))
+    docs += [(900, docs[1][1][40:]), (901, docs[3][1]), (3, docs[3][1])]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    search, together = suffix_dedup.window_search, suffix_dedup.bucket_search
+
+    def bounded_windows(found):
+        assert sum(map(len, found.column("size").to_pylist())) <= 60
+        return search(found)
+
+    def bounded_buckets(found):
+        bucket = b"".join(found.column("bucket").to_pylist())
+        names = [bucket[k : k + 4] for k in range(0, len(bucket), 4)]
+        assert max(map(names.count, names)) <= 40
+        return together(found)
+
+    monkeypatch.setattr(suffix_dedup, "window_search", bounded_windows)
+    monkeypatch.setattr(suffix_dedup, "bucket_search", bounded_buckets)
+    found = suffix_dedup.dedup(table)
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute(docs)
