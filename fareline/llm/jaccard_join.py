@@ -374,25 +374,44 @@ def similar(
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component, the one with the smallest id.
+    """Pipeline stage: one row of each component, the one with the smallest id, then the smallest
+    hash of its text; null ids come last.
 
-    Rows that repeat an id are cut to one: they are counted first, and only their ids take the
-    way over a shuffle.
+    A row is known by its id and the hash of its text, so different texts may share an id, null
+    included. Rows without words, and rows that are linked with none, stay as they are. Only ids
+    and hashes take the way over a shuffle.
     """
-    found = similar(docs, size=STAGE_SHINGLE, percent=STAGE_PERCENT)
-    found = written(found, "similar")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    gone = gone.distinct()
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti")
-    often = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if often.isEmpty():
-        return kept
-    often = written(often, "often")
-    if often.count() <= BROADCAST_ROWS:
-        often = F.broadcast(often)
-    again = kept["doc_id"].eqNullSafe(often["doc_id"])
-    single = kept.join(often, again, "left_anti")
-    several = kept.join(often, again, "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    texts = docs.select(
+        F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text"
+    )
+    found = document_sets(texts, ["id", "h"], "text", STAGE_SHINGLE)
+    sets = written(found.select("row.id", "row.h", "n", "c"), "sets")
+    edges = links(texts, sets, "id", STAGE_SHINGLE, STAGE_PERCENT)
+    label = components(edges).withColumnRenamed("node", "c")
+    row = F.struct(F.col("id").isNull().alias("last"), "id", "h")
+    filled = sets.where("n > 0")
+    classes = filled.groupBy("c").agg(F.min(row).alias("low"), F.count("*").alias("rows"))
+    classes = classes.join(label, "c", "left").withColumn("l", F.coalesce("label", "c"))
+    kept = classes.groupBy("l").agg(F.min("low").alias("kept"), F.sum("rows").alias("rows"))
+    kept = kept.where("rows > 1").select("l", "kept")
+    of_class = written(classes.join(kept, "l").select("c", "kept"), "kept")
+    same = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("h") == F.col("kept.h"))
+    linked_rows = filled.join(of_class, "c").groupBy("id", "h").agg(
+        F.first(same).alias("stays"), F.count("*").alias("rows")
+    )
+    # Rows to be dropped, and kept rows that are there several times.
+    touched = written(linked_rows.where("not stays or rows > 1"), "touched")
+
+    def known(listed: DataFrame) -> tuple[DataFrame, Column]:
+        if listed.count() <= BROADCAST_ROWS:
+            listed = F.broadcast(listed)
+        return listed, docs["doc_id"].eqNullSafe(listed["id"]) & (
+            F.xxhash64(docs["text"]) == listed["h"]
+        )
+
+    rest = docs.join(*known(touched.select("id", "h")), "left_anti")
+    again = touched.where("stays").select("id", "h")
+    if again.isEmpty():
+        return rest
+    several = docs.join(*known(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.unionByName(several)

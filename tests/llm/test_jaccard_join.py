@@ -75,3 +75,13 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100, 160)] + [(7, 9), (9, 9)], "a long, b long")
     found = {r.node: r.label for r in components(edges).collect()}
     assert found == {**dict.fromkeys(range(100, 161), 100), 7: 7, 9: 7}
+
+
+def test_stage_keeps_different_texts_of_one_id(spark):
+    a, b, c, d, e = (" ".join(f"{name}{k}" for k in range(60)) for name in "abcde")
+    rows = [(1, a), (1, b), (2, a), (2, e), (None, c), (None, d), (None, a), (None, d)]
+    rows += [(5, ""), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((tuple(r) for r in jaccard_join.stage(spark, docs, "").collect()), key=str)
+    wanted = [(1, a), (1, b), (2, e), (None, c), (None, d), (5, ""), (5, None), (5, "")]
+    assert kept == sorted(wanted, key=str)
