@@ -193,6 +193,24 @@ def test_fingerprints_match_the_file_content(spark, tmp_path):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_fingerprint_of_a_file_of_many_blocks(spark, tmp_path):
+    folder = tmp_path / "large files"
+    folder.mkdir()
+    block, digest = bytes(range(256)) * 4096 * 16 + b"odd", hashlib.sha256()
+    with (folder / "a large.bin").open("wb") as out:
+        for _ in range(5):
+            out.write(block)
+            digest.update(block)
+    # No file is a value: one above the largest length that Spark lets a value have is digested too.
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, 1024**2)
+    try:
+        row = file_fingerprint(spark, str(folder)).first()
+    finally:
+        spark.conf.unset(limit)
+    assert (row.bytes, row.sha256) == (5 * len(block), digest.hexdigest())
+
+
 def test_digest_of_a_table(spark, tmp_path):
     (tmp_path / "one").mkdir()
     (tmp_path / "one" / "a.bin").write_bytes(b"abc")
