@@ -14,6 +14,7 @@ from fareline.llm import (
     jaccard_join,
     lm_score,
     oracle,
+    periodic_runs,
     pii,
     quality_rules,
     suffix_dedup,
@@ -101,6 +102,32 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def run_digests(docs: DataFrame) -> DataFrame:
+    """Counts, the longest run, and digests of the runs and of the collapsed text."""
+    found = periodic_runs.periodic_runs(docs)
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    )
+    best = found.withColumn("best", F.when(F.size("runs") > 0, longest))
+    start, period = -F.col("best.col2"), -F.col("best.col3")
+    length = F.col("best.length")
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -112,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_lm_score": op10_lm_score,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 #: DuckDB counterparts of the queries that SQL can express on whole tables.

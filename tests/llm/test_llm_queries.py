@@ -21,6 +21,8 @@ COLUMNS = {
     "op9_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
     "op10_lm_score": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
     "train_tokens bigint, base_score double, score double",
+    "op11_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, "
+    "period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
 }
 
 
