@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fareline.llm import (
     bpe,
+    conversation_repair,
     decontaminate,
     html_extract,
     jaccard_join,
@@ -17,6 +18,7 @@ from fareline.llm import (
     periodic_runs,
     pii,
     quality_rules,
+    simhash,
     suffix_dedup,
     token_counts,
     url_filter,
@@ -128,6 +130,30 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents")))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def repairs(conversations: DataFrame) -> DataFrame:
+    """Repairs of damaged conversations, for all original ids."""
+    rows = conversation_repair.placed(conversation_repair.damaged(conversations))
+    found = conversation_repair.audits(rows, conversation_repair.edits(rows))
+    found = found.select(F.struct(*found.columns).alias("found"))
+    ids = conversations.select("conv_id").distinct()
+    joined = ids.join(found, F.col("conv_id").eqNullSafe(F.col("found.conv")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return joined.select(
+        "conv_id",
+        *[F.coalesce(f"found.{name}", F.lit(0).cast("long")).alias(name) for name in counts],
+        F.coalesce("found.audit", F.lit("")).alias("audit"),
+        F.coalesce("found.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repairs(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -140,6 +166,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_lm_score": op10_lm_score,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_simhash": op12_simhash,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: DuckDB counterparts of the queries that SQL can express on whole tables.

@@ -23,6 +23,9 @@ COLUMNS = {
     "train_tokens bigint, base_score double, score double",
     "op11_periodic_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, "
     "period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op13_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, "
+    "truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
 }
 
 
@@ -34,7 +37,10 @@ def test_contract_columns(spark, name):
         label, kind = column.split(" ")
         assert types[label] == kind
     tables = {"op5_url_filter": "pages", "op8_html_extract": "pages"}
-    if name != "op6_token_counts":
+    if name == "op13_conversation_repair":
+        source = spark.read.parquet(f"{FOLDER}/conversations.parquet")
+        assert found.count() == source.select("conv_id").distinct().count()
+    elif name != "op6_token_counts":
         source = spark.read.parquet(f"{FOLDER}/{tables.get(name, 'documents')}.parquet")
         assert found.count() == source.count()
     else:
