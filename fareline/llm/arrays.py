@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 # Texts of one task are worked on in blocks of about this many bytes; a longer text goes alone.
 BLOCK_BYTES = 500_000
@@ -16,6 +18,62 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+#: Bytes that a task sends to Python at a time.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def in_batches(texts: DataFrame) -> DataFrame:
+    """The texts, on their way to Python in batches of ``BATCH_BYTES``.
+
+    Spark's own 64 MB are held several times over, outside of the heap. The session's setting is
+    changed, unless the session names a size itself.
+    """
+    spark = texts.sparkSession
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return texts
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Spark keeps a Python worker for later tasks, and its
+    allocators keep what the largest batch took, beside the memory that the executor itself has."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(function: Callable) -> Callable:
+    """A function over a task's batches that gives memory back when the task is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
+def lean_group(function: Callable) -> Callable:
+    """A function of a group's table (and of its key, if it takes two) that gives memory back."""
+    if function.__code__.co_argcount == 2:
+
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            try:
+                return function(key, table)
+            finally:
+                give_back()
+
+        return run
+
+    def run_one(table: pa.Table) -> pa.Table:
+        try:
+            return function(table)
+        finally:
+            give_back()
+
+    return run_one
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Scatter the bits of 64-bit values (a bijection)."""
     values = values ^ (values >> U64(30))

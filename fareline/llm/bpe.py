@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fareline.llm.arrays import in_batches, lean, lean_group
+
 LEAF_CHARS = 32_768
 #: Seam windows up to this length are encoded whole.
 WINDOW_CHARS = 4_096
@@ -298,16 +300,17 @@ def encode(
         return pa.Table.from_batches([rows(keys, [found] * times, names)])
 
     texts = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    texts = in_batches(texts)
     is_long = F.coalesce(F.length("text"), F.lit(0)) > leaf
     parts = texts.where(is_long).mapInArrow(
-        cut, f"id {kind}, text_key string, leaf long, piece string"
+        lean(cut), f"id {kind}, text_key string, leaf long, piece string"
     )
     # A leaf is the unit of work here, so leaves are dealt out evenly, not by text.
     encoded = parts.repartition("text_key", "leaf").mapInArrow(
-        leaves, f"id {kind}, text_key string, leaf long, piece string, tokens binary"
+        lean(leaves), f"id {kind}, text_key string, leaf long, piece string, tokens binary"
     )
-    long_rows = encoded.groupBy("id", "text_key").applyInArrow(joined, result)
-    done = texts.where(~is_long).mapInArrow(short, result).unionByName(long_rows)
+    long_rows = encoded.groupBy("id", "text_key").applyInArrow(lean_group(joined), result)
+    done = texts.where(~is_long).mapInArrow(lean(short), result).unionByName(long_rows)
     return done.withColumnRenamed("id", id_column)
 
 

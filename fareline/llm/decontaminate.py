@@ -1,8 +1,10 @@
 """Benchmark decontamination with suffix arrays.
 
 Every block of training texts gets a suffix array over its words; each test window is binary
-searched in it, which gives all verbatim places of the window. No training text is shuffled: the
-test items travel to the texts, in blocks of bounded size.
+searched in it, which gives all verbatim places of the window. Windows that follow each other in a
+text as in an item are put together, which gives the longest verbatim match with each item and where
+it stands in both. No training text is shuffled: the test items travel to the texts, in blocks of
+bounded size.
 
 A word is a run of digits, letters a-z (A-Z are lower-cased) and characters beyond ASCII. A window
 is ten consecutive words of an item; an item of fewer words, but at least one, is one window.
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fareline.llm.arrays import Hasher, alnum_table, text_blocks, text_bytes, word_spans
+from fareline.llm.arrays import Hasher, alnum_table, in_batches, lean, text_blocks, text_bytes, word_spans
 from fareline.session import written
 
 WINDOW = 10
@@ -42,14 +44,20 @@ class TestWindows:
         words = hasher.ranges(hasher.sums(data), starts, ends)
         self.vocabulary = np.unique(words)
         ranks = np.searchsorted(self.vocabulary, words) + 1
-        items: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for k, name in enumerate(ids):
+        spots: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
+        for k in range(len(ids)):
             own = ranks[rows[k] : rows[k + 1]].tolist()
             for at in range(max(1, len(own) - size + 1) if own else 0):
-                items[tuple(own[at : at + size])].add(name)
+                spots[tuple(own[at : at + size])].append((k, at))
         self.size = size
-        self.windows = sorted(items)
-        self.items = [sorted(items[w]) for w in self.windows]
+        self.ids = ids
+        self.windows = sorted(spots)
+        self.items = [sorted({ids[k] for k, _ in spots[w]}) for w in self.windows]
+        # Where each window stands: item and word within it.
+        self.counts = np.array([len(spots[w]) for w in self.windows], dtype=np.int64)
+        self.spots = np.array(
+            [spot for w in self.windows for spot in spots[w]], dtype=np.int64
+        ).reshape(-1, 2)
         # Fewest words of a window that begins with a vocabulary word; 0: none begins with it.
         self.need = np.zeros(len(self.vocabulary) + 1, dtype=np.int64)
         for window in self.windows:
@@ -121,6 +129,37 @@ class TestWindows:
         return places[at], np.repeat(found, counts)
 
 
+    def longest_matches(
+        self, places: np.ndarray, numbers: np.ndarray, row: np.ndarray
+    ) -> tuple[np.ndarray, ...]:
+        """The longest verbatim match of each row with each item: row, item, first word in the
+        item and in the row, number of words; of equally long ones the first in the row, then in
+        the item.
+
+        Windows that follow each other both in the row and in the item are one match.
+        """
+        counts = self.counts[numbers]
+        begin = np.cumsum(self.counts) - self.counts
+        hit = np.repeat(np.arange(len(places)), counts)
+        spot = begin[numbers][hit] + np.arange(len(hit)) - np.repeat(np.cumsum(counts) - counts, counts)
+        item, at = self.spots[spot].T
+        place, row, width = places[hit], row[hit], self.width[numbers][hit]
+        order = np.lexsort((place, place - at, item, row))
+        row, item, at, place, width = (c[order] for c in (row, item, at, place, width))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (np.diff(row) != 0) | (np.diff(item) != 0)
+        new[1:] |= (np.diff(place - at) != 0) | (np.diff(place) != 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(order))[: len(first)] - 1
+        size = place[last] - place[first] + width[last]
+        row, item, at, place = (c[first] for c in (row, item, at, place))
+        order = np.lexsort((at, place, -size, item, row))
+        row, item, at, place, size = (c[order] for c in (row, item, at, place, size))
+        best = np.ones(len(order), dtype=bool)
+        best[1:] = (np.diff(row) != 0) | (np.diff(item) != 0)
+        return row[best], item[best], at[best], place[best], size[best]
+
+
 def item_blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[str], pa.Array]]:
     """The items, a bounded block at a time: at most ``limit`` bytes, or one item."""
     ids, texts, size = [], [], 0
@@ -136,10 +175,13 @@ def item_blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[str], p
 
 
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+MATCH = [("item", pa.string()), *[(n, pa.int64()) for n in ("item_first", "first", "words")]]
+MATCHES = pa.list_(pa.struct(MATCH))
 
 
 def search(texts: DataFrame, tests: TestWindows) -> DataFrame:
-    """Per text: its words, the places that windows cover (first word, end) and the items found."""
+    """Per text: its words, the places that windows cover (first word, end), the items found, and
+    the longest match with each."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = Hasher(), alnum_table()
@@ -152,6 +194,15 @@ def search(texts: DataFrame, tests: TestWindows) -> DataFrame:
             bounds = np.searchsorted(places, rows).tolist()
             hits: list[list] = []
             items: list[list] = []
+            matches: list[list] = [[] for _ in range(len(batch))]
+            of = np.searchsorted(rows, places, side="right") - 1
+            for k, item, at, place, size in zip(
+                *(c.tolist() for c in tests.longest_matches(places - rows[of], numbers, of)),
+                strict=True,
+            ):
+                matches[k].append(
+                    {"item": tests.ids[item], "item_first": at, "first": place, "words": size}
+                )
             for row, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
                 first = places[lo:hi] - rows[row]
                 found = np.unique(numbers[lo:hi]).tolist()
@@ -160,16 +211,18 @@ def search(texts: DataFrame, tests: TestWindows) -> DataFrame:
                 hits.append([{"first": a, "end": b} for a, b in spans])
             columns = [pa.array(np.diff(rows), pa.int64()), pa.array(hits, SPANS)]
             columns.append(pa.array(items, pa.list_(pa.string())))
+            columns.append(pa.array(matches, MATCHES))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), *columns],
-                ["row", "text_key", "n_words", "hits", "items"],
+                ["row", "text_key", "n_words", "hits", "items", "matches"],
             )
 
     found = T.StructType.fromDDL(
         "text_key string, n_words long, hits array<struct<first:long,end:long>>, "
-        "items array<string>"
+        "items array<string>, "
+        "matches array<struct<item:string,item_first:long,first:long,words:long>>"
     )
-    return texts.mapInArrow(scan, T.StructType([texts.schema["row"], *found.fields]))
+    return in_batches(texts).mapInArrow(lean(scan), T.StructType([texts.schema["row"], *found.fields]))
 
 
 def covered(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -191,6 +244,7 @@ def put_together(parts: list[DataFrame]) -> DataFrame:
         F.count("*").alias("n"),
         F.array_sort(F.flatten(F.collect_set("hits"))).alias("all_hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.array_sort(F.flatten(F.collect_set("matches"))).alias("matches"),
     )
 
     def step(out, span):
@@ -204,8 +258,9 @@ def put_together(parts: list[DataFrame]) -> DataFrame:
     nothing = F.array().cast("array<struct<first:bigint,end:bigint>>")
     copies = F.explode(F.array_repeat(F.lit(0), (F.col("n") / len(parts)).cast("int")))
     return grouped.select(
-        "row", "n_words", F.aggregate("all_hits", nothing, step).alias("hits"), "items", copies
-    ).drop("col")
+        "row", "n_words", F.aggregate("all_hits", nothing, step).alias("hits"), "items", "matches",
+        copies,
+    ).drop("col")
 
 
 def found_windows(
@@ -218,7 +273,11 @@ def found_windows(
     query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """Per document: ``row`` (struct of the named columns), n_words, hits, items (sorted names),
-    n_hit, n_items and ``longest``, the words of the longest stretch covered without a gap."""
+    n_hit, n_items, ``matches`` (the longest verbatim match with each item, of a window at least,
+    with its first word in the item and in the document) and ``longest``, the words of the longest.
+
+    Items of equal name are matched as items of their own.
+    """
     tests = benchmark.select(F.col(item_column).cast("string"), F.col(text_column).cast("string"))
     texts = docs.select(
         F.struct(*columns).alias("row"), F.col(text_column).alias("text"), F.lit("").alias("text_key")
@@ -245,7 +304,8 @@ def found_windows(
         "items",
         F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
-        F.coalesce(F.array_max(lengths), F.lit(0).cast("long")).alias("longest"),
+        F.array_sort("matches").alias("matches"),
+        F.coalesce(F.array_max(F.col("matches.words")), F.lit(0).cast("long")).alias("longest"),
     )
 
 

@@ -11,7 +11,8 @@ pairs few without losing a link:
 3. Classes that share an n-gram among the first few of their order (the prefix that any linked pair
    must share) are candidates. Each bucket compares its members with one centre first. Only
    buckets whose members are not in one component by then compare members of different
-   components, and a bound from lengths and positions, which every linked pair keeps, cuts those.
+   components and of neighbouring bands of size, and a bound from lengths and positions, which
+   every linked pair keeps, cuts those. A large bucket is dealt out by salts.
 
 Links within a component that is already connected are not counted, as they change nothing:
 the result is components. Sets and n-grams are 64-bit hashes; with n classes a false merge
@@ -24,6 +25,7 @@ its whole sequence as the one element; other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fareline.llm.arrays import Hasher, mix, space_table, text_blocks, windows, word_spans
+from fareline.llm.arrays import (
+    Hasher,
+    in_batches,
+    lean,
+    lean_group,
+    mix,
+    space_table,
+    text_blocks,
+    windows,
+    word_spans,
+)
 from fareline.llm.components import components
 from fareline.session import written
 
@@ -43,11 +55,15 @@ PERCENT = 85
 STAGE_SHINGLE = 5
 STAGE_PERCENT = 80
 #: The n-gram space is searched for unique n-grams in so many passes.
-PASSES = 2
+PASSES = 4
 #: About as many n-grams are held by a task that looks for unique ones.
 GROUP_GRAMS = 800_000
+#: A task packs so many n-grams, of several blocks, into one row for each part.
+PACKED_GRAMS = 1_500_000
 #: A list of document ids is broadcast up to so many rows, beyond that the texts are shuffled.
 BROADCAST_ROWS = 2_000_000
+#: Buckets of more classes are dealt out by salts when their members are compared.
+BUCKET_ROWS = 1_000
 U64 = np.uint64
 
 
@@ -91,21 +107,59 @@ def document_sets(docs: DataFrame, columns: list[str], text_column: str, size: i
 
     texts = docs.select(F.struct(*columns).alias("row"), F.col(text_column).alias("text"))
     fields = [T.StructField("n", T.LongType()), T.StructField("c", T.LongType())]
-    return texts.mapInArrow(scan, T.StructType([texts.schema["row"], *fields]))
+    return in_batches(texts).mapInArrow(lean(scan), T.StructType([texts.schema["row"], *fields]))
+
+
+class Owned:
+    """N-grams of several blocks with their owners, packed into one row for each part.
+
+    An n-gram takes 13 bytes in whatever number of parts: 32 bits of its own hash, 40 bits of its
+    class and the owner's number, which tells where its count belongs.
+    """
+
+    def __init__(self, groups: int):
+        self.groups, self.size, self.owners = groups, 0, 0
+        self.blocks: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, grams: np.ndarray, owner: np.ndarray, classes: np.ndarray) -> None:
+        """Distinct n-grams of a block; the owner is -1 where the block itself has several."""
+        own = np.where(owner < 0, -1, owner + self.owners).astype(np.int32)
+        kind = np.where(owner < 0, U64(0), classes.view(U64)[owner] >> U64(24))
+        group = (((grams >> U64(32)) & U64(0xFFFFFF)) % U64(self.groups)).astype(np.int32)
+        tag = (kind >> U64(8)).astype(np.uint32), (kind & U64(0xFF)).astype(np.uint8)
+        self.blocks.append((group, own, grams.astype(np.uint32), *tag, classes))
+        self.size += len(grams)
+        self.owners += len(classes)
+
+    def rows(self, name: int) -> pa.RecordBatch:
+        group, own, *columns, classes = (np.concatenate(c) for c in zip(*self.blocks, strict=True))
+        # In the order of owners, so that a part's neighbouring n-grams have much in common.
+        order = np.lexsort((own, group))
+        cuts = np.searchsorted(group[order], np.arange(self.groups + 1))
+        # The owners' classes take the way of a part as well, to where counts are summed.
+        rows: list[list] = [[-1 - name % self.groups, name, classes.tobytes(), b"", b"", b""]]
+        for k in range(self.groups):
+            part = order[cuts[k] : cuts[k + 1]]
+            if len(part):
+                rows.append([k, name, *[c[part].tobytes() for c in (own, *columns)]])
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+        arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+        self.__init__(self.groups)
+        return pa.RecordBatch.from_arrays(arrays, ["part", "block", "owners", "grams", "high", "low"])
 
 
 def unique_counts(texts: DataFrame, size: int, step: int, steps: int, groups: int) -> DataFrame:
     """``c`` and ``alone``: n-grams of the step's part of the space that no other class has.
 
-    A block of texts sends each group of n-grams one row: 32 bits of each hash, and its owner,
-    unless the block itself has several owners. Cutting hashes can only make an n-gram look
-    shared, so it never drops a class that has a link.
+    Cut hashes of n-grams can only make one look shared. Two classes that share an n-gram look
+    like one if 40 bits of their hashes agree; then it counts as unique to both.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        task = TaskContext.get().partitionId() << 32
-        for number, (_, data, offsets) in enumerate(text_blocks(batches, column=0)):
+        name = TaskContext.get().partitionId() << 32
+        packer = Owned(groups)
+        for _, data, offsets in text_blocks(batches, column=0):
             classes: dict[int, np.ndarray] = {}
             for grams in sets_of(data, offsets, hasher, size):
                 if len(grams):
@@ -113,83 +167,75 @@ def unique_counts(texts: DataFrame, size: int, step: int, steps: int, groups: in
             if not classes:
                 continue
             grams = np.concatenate(list(classes.values()))
-            owners = np.repeat(
-                np.arange(len(classes), dtype=np.int32), [len(g) for g in classes.values()]
-            )
+            owners = np.repeat(np.arange(len(classes)), [len(g) for g in classes.values()])
             order = np.argsort(grams, kind="stable")
             grams, owners = grams[order], owners[order]
             first = np.ones(len(grams), dtype=bool)
             first[1:] = grams[1:] != grams[:-1]
             at = np.flatnonzero(first)
             several = np.diff(np.append(at, len(grams))) > 1
-            grams, owners = grams[at], np.where(several, -1, owners[at]).astype(np.int32)
-            group = ((grams >> U64(32)) & U64(0xFFFFFF)) % U64(groups)
-            order = np.argsort(group, kind="stable")
-            cuts = np.searchsorted(group[order], np.arange(groups + 1))
-            names = np.array(list(classes), dtype=np.int64).tobytes()
-            rows: list[list] = [[], [], [], [], []]
-            for k in range(groups):
-                own = order[cuts[k] : cuts[k + 1]]
-                if len(own):
-                    values = (
-                        k, task + number, names, grams[own].astype(np.uint32).tobytes(),
-                        owners[own].astype(np.int16).tobytes() if len(classes) < 32_768
-                        else owners[own].tobytes(),
-                    )
-                    for column, value in zip(rows, values, strict=True):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(r, t) for r, t in zip(rows, kinds, strict=True)],
-                ["part", "block", "classes", "grams", "owners"],
+            packer.add(grams[at], np.where(several, -1, owners[at]), np.array(list(classes), np.int64))
+            if packer.size >= PACKED_GRAMS:
+                yield packer.rows(name)
+                name += 1
+        if packer.blocks:
+            yield packer.rows(name)
+
+    def search(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            nothing = pa.array([b""] * table.num_rows, pa.binary())
+            return pa.table(
+                {"block": table["block"], "classes": table["owners"], "owners": nothing, "counts": nothing}
             )
-
-    def search(table: pa.Table) -> pa.Table:
-        names = [np.frombuffer(x, np.int64) for x in table.column("classes").to_pylist()]
-        grams = [np.frombuffer(x, np.uint32) for x in table.column("grams").to_pylist()]
-        owners = [
-            np.frombuffer(x, np.int16 if len(x) == 2 * len(g) else np.int32).astype(np.int64)
-            for x, g in zip(table.column("owners").to_pylist(), grams, strict=True)
-        ]
-        shift = np.cumsum([0, *map(len, names)])
-        slots = np.concatenate(
-            [np.where(o < 0, -1, o + s) for o, s in zip(owners, shift, strict=False)]
-        )
-        _, known = np.unique(np.concatenate(names), return_inverse=True)
-        values = np.concatenate(grams)
+        columns = {
+            name: [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
+            for name, kind in (("owners", np.int32), ("grams", np.uint32), ("high", np.uint32), ("low", np.uint8))
+        }
+        source = np.repeat(np.arange(table.num_rows), [len(x) for x in columns["grams"]])
+        owner, values, high, low = (np.concatenate(c) for c in columns.values())
+        kind = (high.astype(U64) << U64(8)) | low
         order = np.argsort(values, kind="stable")
-        values, slots = values[order], slots[order]
-        whose = np.where(slots < 0, -1 - np.arange(len(slots)), known[slots])
-        first = np.ones(len(values), dtype=bool)
-        first[1:] = values[1:] != values[:-1]
+        ranked = values[order]
+        first = np.ones(len(ranked), dtype=bool)
+        first[1:] = ranked[1:] != ranked[:-1]
         starts = np.flatnonzero(first)
-        lone = np.minimum.reduceat(whose, starts) == np.maximum.reduceat(whose, starts)
-        lone &= whose[starts] >= 0
-        alone = np.repeat(lone, np.diff(np.append(starts, len(values))))
-        counts = np.bincount(slots[alone], minlength=shift[-1]).astype(np.int32)
+        kind = kind[order]
+        lone = np.minimum.reduceat(kind, starts) == np.maximum.reduceat(kind, starts)
+        lone &= np.minimum.reduceat(owner[order], starts) >= 0
+        alone = order[np.repeat(lone, np.diff(np.append(starts, len(ranked))))]
+        blocks, owners, counts = [], [], []
+        names = table.column("block").to_pylist()
+        told, n = np.unique((source[alone] << 32) | owner[alone], return_counts=True)
+        cuts = np.searchsorted(told >> 32, np.arange(table.num_rows + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            part = slice(cuts[k], cuts[k + 1])
+            blocks.append(names[k])
+            owners.append((told[part] & 0xFFFFFFFF).astype(np.int32).tobytes())
+            counts.append(np.minimum(n[part], 65_535).astype(np.uint16).tobytes())
         return pa.table(
             {
-                "block": table.column("block").combine_chunks(),
-                "counts": pa.array(
-                    [counts[a:b].tobytes() for a, b in zip(shift, shift[1:], strict=False)],
-                    pa.binary(),
-                ),
-                "classes": table.column("classes").combine_chunks(),
+                "block": pa.array(blocks, pa.int64()),
+                "classes": pa.array([b""] * len(blocks), pa.binary()),
+                "owners": pa.array(owners, pa.binary()),
+                "counts": pa.array(counts, pa.binary()),
             }
         )
 
     def total(table: pa.Table) -> pa.Table:
-        counts = sum(np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist())
-        classes = np.frombuffer(table.column("classes")[0].as_py(), np.int64)
-        return pa.table({"c": classes, "alone": counts.astype(np.int64)})
-
-    sent = texts.mapInArrow(
-        send, "part long, block long, classes binary, grams binary, owners binary"
+        classes = np.frombuffer(max(table.column("classes").to_pylist(), key=len), np.int64)
+        alone = np.zeros(len(classes), np.int64)
+        pairs = zip(table.column("owners").to_pylist(), table.column("counts").to_pylist(), strict=True)
+        for owners, counts in pairs:
+            np.add.at(alone, np.frombuffer(owners, np.int32), np.frombuffer(counts, np.uint16))
+        return pa.table({"c": classes, "alone": alone})
+
+    sent = in_batches(texts).mapInArrow(
+        lean(send), "part long, block long, owners binary, grams binary, high binary, low binary"
     )
     found = sent.groupBy("part").applyInArrow(
-        search, "block long, counts binary, classes binary"
+        lean_group(search), "block long, classes binary, owners binary, counts binary"
     )
-    by_block = found.groupBy("block").applyInArrow(total, "c long, alone long")
+    by_block = found.groupBy("block").applyInArrow(lean_group(total), "c long, alone long")
     # Copies in several blocks each have all lone n-grams of their class.
     return by_block.groupBy("c").agg(F.max("alone").alias("alone"))
 
@@ -238,7 +284,7 @@ def class_grams(docs: DataFrame, size: int) -> DataFrame:
                     ["s", "c", "n"],
                 )
 
-    return docs.mapInArrow(scan, "s long, c long, n long")
+    return in_batches(docs).mapInArrow(lean(scan), "s long, c long, n long")
 
 
 def interval(low: int, high: int, upper: bool) -> Column:
@@ -330,15 +376,24 @@ def links(docs: DataFrame, sets: DataFrame, id_column: str, size: int, percent:
     label = components(edges).withColumnRenamed("node", "c")
     prefix = prefix.join(label, "c", "left").withColumn("l", F.coalesce("label", "c"))
     prefix = written(prefix.select("s", "c", "n", "r", "l"), "labelled")
-    mixed = prefix.groupBy("s").agg(F.min("l").alias("low"), F.max("l").alias("high"))
-    open_rows = prefix.join(mixed.where("low != high").select("s"), "s")
-    a = open_rows.select(
-        "s", F.col("c").alias("a"), F.col("n").alias("nx"), F.col("r").alias("rx"), F.col("l").alias("la")
+    mixed = prefix.groupBy("s").agg(
+        F.min("l").alias("low"), F.max("l").alias("high"), F.count("*").alias("members")
     )
+    salts = F.ceil(F.col("members") / BUCKET_ROWS).cast("int").alias("salts")
+    open_rows = prefix.join(mixed.where("low != high").select("s", salts), "s")
+    # Linked sets differ in size by less than a band, so each meets those of its own band and of
+    # the two beside it. The members of a large bucket are dealt out by salts on one side.
+    band = F.floor(F.log("n") / (math.log(100 / min(percent, 99)) * (1 + 1e-9))).cast("int")
+    a = open_rows.select(
+        "s", F.col("c").alias("a"), F.col("n").alias("nx"), F.col("r").alias("rx"), F.col("l").alias("la"),
+        band.alias("band"), F.pmod(F.xxhash64("c"), F.col("salts")).cast("int").alias("salt"),
+    )
     b = open_rows.select(
-        "s", F.col("c").alias("b"), F.col("n").alias("ny"), F.col("r").alias("ry"), F.col("l").alias("lb")
-    )
-    across = a.join(b, "s").where((F.col("la") < F.col("lb")) & possible(percent))
+        "s", F.col("c").alias("b"), F.col("n").alias("ny"), F.col("r").alias("ry"), F.col("l").alias("lb"),
+        F.explode(F.array(band - 1, band, band + 1)).alias("band"), "salts",
+    )
+    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    across = a.join(b, ["s", "band", "salt"]).where((F.col("la") < F.col("lb")) & possible(percent))
     across = written(pair(across).join(first, ["a", "b"], "left_anti"), "pairs")
     return edges.unionByName(linked(across, ordered, percent))
 

@@ -8,7 +8,8 @@ conditional expression.
 
 A word is a maximal run of characters other than blank and 0x09 to 0x0D. Defined results: a null
 or empty text has no words, fails the base rule and is not kept; a label that is null is not used,
-of several labels of a document the worst counts; without labels of both kinds the list is empty
+of several labels of a document the worst counts, of several texts of an id the one with the least
+hash is learned from; without labels of both kinds the list is empty
 and only the base rule decides; other columns of the documents are carried on unchanged.
 """
 
@@ -23,7 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fareline.llm.arrays import Hasher, mix, space_table, text_blocks, windows, word_spans
+from fareline.llm.arrays import (
+    Hasher,
+    in_batches,
+    lean,
+    mix,
+    space_table,
+    text_blocks,
+    windows,
+    word_spans,
+)
 
 #: Rules are learned from about this many labelled documents at most, chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
@@ -151,7 +161,7 @@ def statistics(docs: DataFrame, columns: list[str], text_column: str = "text") -
 
     texts = docs.select(F.struct(*columns).alias("row"), F.col(text_column).alias("text"))
     fields = [T.StructField(name, T.LongType()) for name in COUNTS]
-    return texts.mapInArrow(count, T.StructType([texts.schema["row"], *fields]))
+    return in_batches(texts).mapInArrow(lean(count), T.StructType([texts.schema["row"], *fields]))
 
 
 def ratio(name: str, top: str, bottom: str | None) -> Column:
@@ -292,7 +302,11 @@ def learn_rules(
         share = int(sample_rows / many * (1 << 62))
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 62)) < share)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    texts = texts.join(F.broadcast(known), "id").dropDuplicates(["id"])
+    texts = texts.join(F.broadcast(known), "id").groupBy("id").agg(
+        F.first("label").alias("label"),
+        F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"),
+    )
+    texts = texts.select("id", "label", F.col("least.text").alias("text"))
     names = [name for name, _, _ in RATIOS]
     sample = (
         statistics(texts, ["id", "label"])

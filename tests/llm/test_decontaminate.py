@@ -59,6 +59,39 @@ def test_places_and_longest(spark):
     assert (row.n_hit, row.longest, row["items"]) == (13, 13, ["t"])
 
 
+def longest_match(found, item, size):
+    """Longest common stretch of at least a window (or the whole of a shorter item) by brute force."""
+    best, least = None, min(size, len(item))
+    for a in range(len(item)):
+        for b in range(len(found)):
+            n = 0
+            while a + n < len(item) and b + n < len(found) and item[a + n] == found[b + n]:
+                n += 1
+            if least and n >= least and (best is None or (-n, b, a) < best):
+                best = (-n, b, a)
+    return best and (best[2], best[1], -best[0])
+
+
+@pytest.mark.parametrize("block", [8_000_000, 200])
+def test_longest_matches_as_brute_force(spark, block):
+    draw = random.Random(9)
+    items = [(k, " ".join(draw.choices("abc", k=draw.choice([2, 4, 9, 15])))) for k in range(12)]
+    docs = []
+    for k in range(80):
+        own = draw.choices("abcx", k=draw.randrange(20))
+        cut = draw.choice(items)[1].split()
+        docs.append((k, " ".join(own + cut[: draw.randrange(1, 15)] + draw.choices("ab", k=5))))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(table, tests, window=4, query_bytes=block).collect()
+    for row in found:
+        own = words(docs[row.doc_id][1])
+        wanted = {str(k): longest_match(own, words(t), 4) for k, t in items}
+        wanted = {k: m for k, m in wanted.items() if m}
+        assert {m["item"]: (m.item_first, m["first"], m.words) for m in row.matches} == wanted
+        assert row.longest == max((m[2] for m in wanted.values()), default=0)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     tests = spark.createDataFrame([(1, "a b")], "item_id long, text string")

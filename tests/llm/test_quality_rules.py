@@ -83,3 +83,18 @@ def test_edges(spark):
     assert {tuple(r) for r in judged.collect()} == {(1, False, True), (None, False, True)}
     assert rules.judged(docs.limit(0), []).collect() == []
     assert rules.learn_rules(docs, labels.limit(0)) == []
+
+
+def test_rules_do_not_depend_on_the_order_of_rows(spark):
+    """Ids with two different texts each; the same rows in reverse order give the same rules."""
+    rows, labels = [], []
+    for k in range(120):
+        words = " ".join(f"word{(k * 7 + j) % 211}" for j in range(80))
+        marks = " ".join(["!?" * (1 + k % 4)] * 60)
+        rows += [(k, words), (k, f"{words} {marks}")]
+        labels.append((k, k % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    back = spark.createDataFrame(rows[::-1], "doc_id long, text string").coalesce(1)
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    one, other = (rules.learn_rules(d, known) for d in (docs, back))
+    assert [[str(c) for c in rule] for rule in one] == [[str(c) for c in rule] for rule in other]
