@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fareline.llm.arrays import Hasher, mix, text_blocks
+from fareline.llm.arrays import Hasher, in_batches, lean, mix, text_blocks
 from fareline.session import written
 
 LENGTH = 100
@@ -54,6 +54,8 @@ HOT_STRETCHES = 20_000
 GROUP_WINDOWS = 1_000_000
 #: Texts of a task are searched in blocks of about this many bytes.
 BLOCK_BYTES = 1_000_000
+#: A task packs so many stretches, of several blocks, into one row for each part.
+PACKED_STRETCHES = 500_000
 #: Lists of documents up to this length are broadcast to pick their texts before a shuffle.
 BROADCAST_ROWS = 2_000_000
 NO_ID = -(1 << 63)
@@ -142,12 +144,46 @@ def unpacked(table: pa.Table, name: str, kind) -> list[np.ndarray]:
 STRETCH_NAMES = ["part", "ids", "keys", "doc", "bucket", "stretch", "low", "size", "lead"]
 
 
+class Packer:
+    """Stretches of several blocks, packed into one row for each part.
+
+    A row names the documents that it holds stretches of, so its size goes with its stretches,
+    however many parts there are.
+    """
+
+    def __init__(self, groups: int):
+        self.groups, self.size, self.docs = groups, 0, 0
+        self.blocks: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, parts, ids, keys, row, columns) -> None:
+        """A block: its documents' ids and keys, and part, document and values of each stretch."""
+        self.blocks.append((parts, ids, keys, row + self.docs, *columns))
+        self.size += len(parts)
+        self.docs += len(ids)
+
+    def rows(self) -> Iterator[list]:
+        parts, ids, keys, row, *columns = (
+            np.concatenate(c) for c in zip(*self.blocks, strict=True)
+        )
+        order = np.argsort(parts, kind="stable")
+        cuts = np.searchsorted(parts[order], np.arange(self.groups + 1))
+        for k in range(self.groups):
+            own = order[cuts[k] : cuts[k + 1]]
+            if len(own):
+                docs, number = np.unique(row[own], return_inverse=True)
+                number = number.astype(np.uint16 if len(docs) < 1 << 16 else np.uint32)
+                shared = [ids[docs].tobytes(), keys[docs].tobytes(), number.tobytes()]
+                yield [k, *shared, *[c[own].tobytes() for c in columns]]
+        self.__init__(self.groups)
+
+
 def stretch_rows(texts: DataFrame, groups: int) -> DataFrame:
-    """The stretches of all texts, packed by part and block; within a block equal ones once, the
-    later of them already as repeats, in the part ``groups``."""
+    """The stretches of all texts, packed by part; within a block equal ones once, the later of
+    them already as repeats, in the part ``groups``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=False)
+        packer = Packer(groups + 1)
         for batch, data, offsets in text_blocks(batches, 2, BLOCK_BYTES):
             ids = np.array(batch.column(0).to_numpy(), dtype=np.int64)
             keys = np.array(batch.column(1).to_numpy(), dtype=np.int64)
@@ -174,16 +210,18 @@ def stretch_rows(texts: DataFrame, groups: int) -> DataFrame:
                 parts = np.where(later, groups, groups + 1)
                 parts[mine] = ((bucket[mine] >> U64(32)) % U64(groups)).astype(np.int64)
                 columns = [
-                    row.astype(np.uint16), (bucket & U64(0xFFFFFFFF)).astype(np.uint32), whole,
-                    start.astype(np.uint32), size, lead,
+                    (bucket & U64(0xFFFFFFFF)).astype(np.uint32), whole, start.astype(np.uint32),
+                    size, lead,
                 ]
-                if batch.num_rows > 60_000:
-                    columns[0] = row.astype(np.uint32)
-                shared = [ids.tobytes(), keys.tobytes()]
-                rows = list(packed(parts, groups + 1, columns, shared))
-                yield batch_of(rows, STRETCH_NAMES)
-
-    return texts.mapInArrow(scan, "part long, " + ", ".join(f"{n} binary" for n in STRETCH_NAMES[1:]))
+                stay = parts <= groups
+                columns = [c[stay] for c in columns]
+                packer.add(parts[stay].astype(np.int32), ids, keys, row[stay], columns)
+                if packer.size >= PACKED_STRETCHES:
+                    yield batch_of(list(packer.rows()), STRETCH_NAMES)
+        if packer.size:
+            yield batch_of(list(packer.rows()), STRETCH_NAMES)
+
+    return in_batches(texts).mapInArrow(lean(scan), "part long, " + ", ".join(f"{n} binary" for n in STRETCH_NAMES[1:]))
 
 
 #: Ranges of window starts, with the anchor if the windows are still open, else -1.
