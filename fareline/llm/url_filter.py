@@ -6,8 +6,12 @@ on those whose host holds a word of a short list of seeds, judges the other urls
 without either count as allowed with a small weight, so what is common everywhere tells nothing.
 The last label of a host (its top-level domain) is no token.
 
+A url that a rule judged is no evidence in the words that the rule itself names: they are why it has
+its label.
+
 All work is on distinct pairs of host and path. Word counts and token weights are joined, so no
-vocabulary is held by the driver or a task; only proven short tables are broadcast.
+vocabulary is held by the driver or a task; entries of hot keys are joined apart. A name takes time
+in proportion to its letters.
 
 Defined results: a null url, and one without ``://``, has an empty host and path and is judged by
 the method, which has no token then and decides by the prior; ties are allowed; without training
@@ -17,12 +21,14 @@ urls everything is allowed; repeated rows get equal results.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fareline.llm.joins import looked_up
 from fareline.session import written
 
 #: Host, path, verdict. Fixed values.
@@ -39,10 +45,10 @@ SEEDS = (
     "porn", "replica", "spam", "tracker", "track", "viagra", "warez", "xxx",
 )
 LONGEST_WORD = 20
+#: Letters of a name whose substrings are listed at once.
+STRETCH = 4096
 #: Weight of a training url that neither a rule nor a seed judges.
 PRESUMED = 0.25
-#: Tables of hosts, pairs or tokens up to this many rows are broadcast, larger ones are shuffled.
-BROADCAST_ROWS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -107,22 +113,36 @@ def viterbi(name: str, costs: dict[str, float], unknown: float) -> list[str]:
     return words[::-1]
 
 
+def pieces_of(names: DataFrame) -> DataFrame:
+    """``key`` and ``word``: the substrings of each name that could be a word, some repeated.
+
+    Names are cut where they are, stretch by stretch, and known by their hash, so the rows grow with
+    the name's letters alone.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for key, name in zip(keys, names, strict=True):
+                for lo in range(0, len(name), STRETCH):
+                    found = {
+                        name[k : k + size]
+                        for k in range(lo, min(lo + STRETCH, len(name)))
+                        for size in range(1, LONGEST_WORD + 1)
+                    }
+                    words = pa.array(sorted(found), pa.string())
+                    same = pa.repeat(pa.scalar(key, pa.string()), len(words))
+                    yield pa.RecordBatch.from_arrays([same, words], ["key", "word"])
+
+    return names.select("key", "name").mapInArrow(cut, "key string, word string")
+
+
 def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
     """``name`` and ``words`` of each distinct name; each gets the counts of its own substrings."""
     total = words.agg(F.sum("n")).first()[0] or 1
-    starts = F.sequence(F.lit(1), F.length("name"))
-    parts = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), F.length("name") - i + 1)),
-                lambda n: F.substring("name", i, n),
-            ),
-        )
-    )
-    pieces = names.select("name", F.explode(F.array_distinct(parts)).alias("word"))
-    known = pieces.join(words, "word").groupBy("name").agg(
-        F.sort_array(F.collect_list(F.struct("word", "n"))).alias("known")
+    keyed = names.select(F.sha2("name", 256).alias("key"), "name")
+    known = pieces_of(keyed).join(words, "word").groupBy("key").agg(
+        F.sort_array(F.collect_set(F.struct("word", "n"))).alias("known")
     )
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,13 +158,23 @@ def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array(out, pa.list_(pa.string()))], ["name", "words"]
             )
 
-    rows = names.join(known, "name", "left").select("name", "known")
+    rows = keyed.join(known, "key", "left").select("name", "known")
     return rows.mapInArrow(split, "name string, words array<string>")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it was counted to be short."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def of_rule(rules: Sequence[tuple[str, str, str]], tokens: Column) -> Column:
+    """The tokens of a url without those that the rule which judged it names itself: they are why
+    the url has its label, not evidence for it."""
+    out = tokens
+    for host, path, _ in rules:
+        named = [f"h:{w}" for label in host.split(".") for w in re.split("[^a-z]+", label) if w]
+        named += [f"p:{w}" for w in re.split(r"[^\w#]+|_", re.sub("[0-9]+", "#", path.lower())) if w]
+        if named:
+            others = F.array(*[F.lit(t) for t in named])
+            out = F.when(
+                F.col("rule") == host + path, F.filter(tokens, lambda t: ~F.array_contains(others, t))
+            ).otherwise(out)
+    return out
 
 
 def tokens(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -155,17 +185,20 @@ def tokens(pairs: DataFrame, words: DataFrame) -> DataFrame:
     names = hosts.select("host", F.explode(names_in(upper)).alias("name"))
     names = written(names, "names")
     split = segmented(names.select("name").distinct(), words)
-    of_host = names.join(split, "name").groupBy("host").agg(
+    of_host = looked_up(names, written(split, "words-of-names"), ["name"]).groupBy("host").agg(
         F.sort_array(F.flatten(F.collect_list("words"))).alias("host_words")
     )
-    of_host = small(written(of_host, "hosts"))
+    without = hosts.join(names, "host", "left_anti")
+    empty = F.array().cast("array<string>").alias("host_words")
+    of_host = written(of_host.unionByName(without.select("host", empty)), "hosts")
     path = F.regexp_replace(lowered(F.col("path")), "[0-9]+", "#")
     parts = F.filter(F.split(path, r"[^\p{L}#]+"), lambda w: w != "")
     marked = F.concat(
-        F.transform(F.coalesce("host_words", F.array().cast("array<string>")), lambda w: F.concat(F.lit("h:"), w)),
+        F.transform("host_words", lambda w: F.concat(F.lit("h:"), w)),
         F.transform(parts, lambda w: F.concat(F.lit("p:"), w)),
     )
-    return pairs.join(of_host, "host", "left").select("host", "path", "pages", marked.alias("tokens"))
+    found = looked_up(pairs, of_host, ["host"])
+    return found.select("host", "path", "pages", marked.alias("tokens"))
 
 
 def weights(labelled: DataFrame) -> tuple[DataFrame, float]:
@@ -207,10 +240,11 @@ def judge(
     label = F.when(seeded, F.lit("block")).otherwise(F.coalesce("judged", F.lit("allow")))
     sure = seeded | F.col("judged").isNotNull()
     share = F.col("pages") * F.when(sure, 1.0).otherwise(PRESUMED)
-    odds, prior = weights(found.select("tokens", label.alias("label"), share.alias("pages")))
+    evidence = of_rule(rules, F.col("tokens")).alias("tokens")
+    odds, prior = weights(found.select(evidence, label.alias("label"), share.alias("pages")))
+    told = found.select("host", "path", F.explode("tokens").alias("token"))
     scores = (
-        found.select("host", "path", F.explode("tokens").alias("token"))
-        .join(small(odds), "token")
+        looked_up(told, odds, ["token"])
         .groupBy("host", "path")
         .agg(F.round(F.sum("odds"), 9).alias("sum"))
     )
@@ -221,8 +255,8 @@ def judge(
         (F.coalesce("sum", F.lit(0.0)) + prior).alias("odds"),
         "judged",
     )
-    result = small(written(result, "judged"))
+    result = written(result, "judged")
     verdict = F.coalesce("judged", F.when(F.col("odds") > 0, "block").otherwise("allow"))
-    return rows.join(result, ["host", "path"]).select(
+    return looked_up(rows, result, ["host", "path"]).select(
         F.col("id").alias(id_column), "host", "path", "rule", verdict.alias("verdict"), "odds"
     )
