@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -40,6 +41,15 @@ def test_given_pages(spark):
         ("<article><p>a<p>b<ul><li>c<li>d</ul><div class='cookie-notice'>n</div></article>", "a\n\nb\n\nc\n\nd"),
         ("<article><p style='display: none'>h</p><p hidden>i</p><p>t</p></article>", "t"),
         ("<nav>only</nav>", ""),
+        ("<p title=don't>hello</p>", "hello"),
+        ("<p title=\"a > b\" data-x='c > d'>e</p>", "e"),
+        ("<article><section class='related-work'><p>a b</p></section><p class=header>c</p></article>", "a b\n\nc"),
+        ("<article><p>t</p><div class='related-posts'><p>r</p></div><p class=ads>x</p></article>", "t"),
+        ("<article><p>a <math><mi>x</mi>=<mn>2</mn></math> b</p></article>", "a x=2 b"),
+        ("<article><p>a<svg><path d='M0'><text>no</text><p>b</p></article>", "a\n\nb"),
+        ("<article><p>a<svg><title>no</title></svg>c</p><noscript>n</noscript></article>", "ac"),
+        ("<p>a<button>no</button><span class='ad'>no</span>c <span class=notice>d</span></p>", "ac d"),
+        ("<table><tr><td>a<td>b<table><tr><td>c</table><td>d</table>", "a\n\nb\n\nc\n\nd"),
     ],
 )
 def test_single_pages(source, text):
@@ -62,3 +72,17 @@ def test_very_long_page():
     source = "<article>" + "<p>word &amp; word</p>" * 50_000 + "<div>" * 3000 + "deep" + "</article>"
     text = html_extract.extracted(html_extract.read_page(source), None)
     assert text.count("\n\n") == 50_000 and text.endswith("deep")
+
+
+def test_deep_and_unmatched_tags_in_little_time():
+    started = time.perf_counter()
+    deep = "<div class='a b'>" * 200_000 + "<p>deep text</p>"
+    page = html_extract.read_page(deep)
+    path, _ = html_extract.best_path(page)
+    assert path.count("/") == 199_999
+    assert html_extract.extracted(page, path) == "deep text"
+    unmatched = "<b>" * 50_000 + "</i></span></section>" * 60_000 + "<li>" * 50_000 + "end"
+    assert html_extract.extracted(html_extract.read_page(unmatched), None) == "end"
+    quotes = "<a href=\"x" * 50_000 + "<p>" + "<a b='" * 50_000
+    html_extract.read_page(quotes)
+    assert time.perf_counter() - started < 30
