@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fareline.llm.bpe import encoder
+from fareline.session import written
 
 #: Lengths of so many consecutive values are summed in one window.
 BLOCK = 1024
@@ -52,6 +53,8 @@ def with_sums(counts: DataFrame) -> DataFrame:
     Sums run within blocks of lengths; the blocks' totals, one row for every 1,024 lengths, are
     summed by themselves, so no task holds all lengths.
     """
+    # Sums read the histogram several times; encoding the texts once is enough.
+    counts = written(counts, "histogram")
     rows = counts.select(
         "length",
         "docs",
