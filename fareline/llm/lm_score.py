@@ -8,8 +8,8 @@ takes steps from the common weights, and the weighted mean of the changes is the
 All training texts are used, each in one round.
 
 The most frequent words have classes of their own or share classes of about equal mass; all other
-words are one class. The list of frequent words is a bounded parameter of the model; the counts of
-all words cover the whole corpus. Frequent words are counted and scored where the text is read, the
+words are one class. The list of frequent words and the rows of the weight table grow with the root
+of the training bytes, as a vocabulary does; the counts of all words cover the whole corpus. Frequent words are counted and scored where the text is read, the
 others are sent to the part of their hash, so no part depends on a hot word: a word beyond the list
 is no more frequent than any word on it.
 
@@ -22,6 +22,7 @@ formula, and the model is the uniform one; other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,11 +32,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareline.llm.arrays import Hasher, mix, space_table, text_blocks, word_spans
+from fareline.llm.arrays import (
+    Hasher,
+    in_batches,
+    lean,
+    lean_group,
+    mix,
+    space_table,
+    text_blocks,
+    word_spans,
+)
 from fareline.session import written
 
 U64 = np.uint64
-#: Frequent words of the model, its classes, and rows of its weight table.
+#: Frequent words of the model and rows of its weight table, at least; both grow with the root of
+#: the training bytes, about as vocabularies do. Its classes.
 LISTED = 65_536
 CLASSES = 32
 #: So many of the most frequent words are classes of their own.
@@ -78,7 +89,7 @@ class Words:
     classes: np.ndarray
 
     def __post_init__(self):
-        bits = 20
+        bits = max(20, 4 + int(len(self.hashes)).bit_length())
         self.mask = U64((1 << bits) - 1)
         self.slots = np.full(1 << bits, -1, dtype=np.int32)
         place = (self.hashes & self.mask).astype(np.int64)
@@ -120,7 +131,17 @@ def classes_of(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def feature_rows(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def table_rows(size_bytes: int) -> int:
+    """Rows of the weight table for so many bytes of training text: a power of two."""
+    return max(ROWS, 1 << math.ceil(math.log2(math.sqrt(max(size_bytes, 1)))))
+
+
+def list_size(size_bytes: int) -> int:
+    """Words of the list: four for each row of a table beyond the least."""
+    return max(LISTED, 4 * table_rows(size_bytes))
+
+
+def feature_rows(tokens: np.ndarray, bounds: np.ndarray, table: int = ROWS) -> np.ndarray:
     """Rows of the weight table for each token, from the tokens before it."""
     size = len(tokens)
     padded = np.concatenate([np.full(3, BEFORE, U64), tokens])
@@ -132,7 +153,7 @@ def feature_rows(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     two = np.where(since >= 2, two, U64(BEFORE))
     three = np.where(since >= 3, three, U64(BEFORE))
     codes = (mix(one), mix(one + mix(two + U64(1))), mix(two + U64(2)), mix(one + mix(three + U64(3))))
-    share = ROWS // FEATURES
+    share = table // FEATURES
     out = np.empty((FEATURES, size), dtype=np.int64)
     for k, code in enumerate(codes):
         out[k] = k * share + (code % U64(share)).astype(np.int64)
@@ -197,7 +218,7 @@ def listed_words(train: DataFrame, limit: int = LISTED) -> tuple[Words, int]:
                 words, counts = words[:0], counts[:0]
         yield counted(np.append(words, U64(ALL)), np.append(counts, total))
 
-    found = train.select("text").mapInArrow(count, "w long, n long").groupBy("w")
+    found = in_batches(train.select("text")).mapInArrow(lean(count), "w long, n long").groupBy("w")
     everything = int(np.array([ALL], U64).astype(np.int64)[0])
     first = F.desc(F.col("w") == everything)
     found = found.agg(F.sum("n").alias("n")).orderBy(first, F.desc("n"), "w").limit(limit + 1)
@@ -215,18 +236,19 @@ def train_round(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights after a round, exact counts of the listed words in its texts, tokens by class."""
     slices = 16
-    height = ROWS // slices
+    height = len(weights) // slices
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, own = Hasher(), weights.copy()
-        seen, steps = np.zeros(ROWS), np.zeros(ROWS)
+        seen, steps = np.zeros(len(weights)), np.zeros(len(weights))
         counts = np.zeros(len(words.hashes) + 1, dtype=np.int64)
         for _, data, offsets in text_blocks(batches, column=0):
             tokens, bounds = tokens_of(data, offsets, hasher)
             number = words.find(tokens)
             counts += np.bincount(number + 1, minlength=len(counts))
             target = np.where(number >= 0, words.classes[number], 0)
-            train_on(feature_rows(tokens, bounds), target, own, bias, seen, steps)
+            rows = feature_rows(tokens, bounds, len(weights))
+            train_on(rows, target, own, bias, seen, steps)
         salt = TaskContext.get().partitionId() % 32
         kinds, values = [], []
         for k in range(slices):
@@ -260,10 +282,10 @@ def train_round(
         )
 
     schema = "slice long, salt long, sums binary"
-    changes = texts.select("text").mapInArrow(learn, schema)
+    changes = in_batches(texts.select("text")).mapInArrow(lean(learn), schema)
     # Sums meet in two levels, so no task holds the changes of all others.
-    summed = changes.groupBy("slice", "salt").applyInArrow(add, schema)
-    rows = summed.groupBy("slice").applyInArrow(add, schema).collect()
+    summed = changes.groupBy("slice", "salt").applyInArrow(lean_group(add), schema)
+    rows = summed.groupBy("slice").applyInArrow(lean_group(add), schema).collect()
     new, counts = weights.copy(), np.zeros(len(words.hashes) + 1, dtype=np.int64)
     for row in rows:
         if row["slice"] == slices:
@@ -291,10 +313,10 @@ def class_bias(words: Words, other: float) -> np.ndarray:
     return np.log(mass / mass.sum()).astype(np.float32)
 
 
-def train(train_texts: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Model of training texts given as ``id`` and ``text``."""
-    words, others = listed_words(train_texts)
-    weights = np.zeros((ROWS, CLASSES), dtype=np.float32)
+def train(train_texts: DataFrame, size_bytes: int, rounds: int = ROUNDS) -> Model:
+    """Model of training texts given as ``id`` and ``text``, of so many bytes."""
+    words, others = listed_words(train_texts, list_size(size_bytes))
+    weights = np.zeros((table_rows(size_bytes), CLASSES), dtype=np.float32)
     exact, other = np.zeros(len(words.hashes), dtype=np.int64), 0
     bias = class_bias(words, others)
     turn = F.pmod(F.xxhash64("id"), F.lit(rounds))
@@ -324,7 +346,7 @@ def scored(texts: DataFrame, model: Model, groups: int) -> DataFrame:
             at = model.words.find(tokens)
             hit = at >= 0
             target = np.where(hit, model.words.classes[at], 0)
-            rows = feature_rows(tokens, bounds)
+            rows = feature_rows(tokens, bounds, len(model.weights))
             logs = np.empty(len(tokens))
             for lo in range(0, len(tokens), BATCH):
                 part = slice(lo, lo + BATCH)
@@ -372,7 +394,7 @@ def scored(texts: DataFrame, model: Model, groups: int) -> DataFrame:
                 ["part", "block", "docs", "words", "times"],
             )
 
-    return texts.mapInArrow(scan, PACKED)
+    return in_batches(texts).mapInArrow(lean(scan), PACKED)
 
 
 def word_part(table: pa.Table) -> pa.Table:
@@ -415,12 +437,12 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         F.col(text_column).alias("text"),
     )
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    model = train(texts.where(~F.col("held_out")))
+    model = train(texts.where(~F.col("held_out")), size)
     # A missing id travels as the smallest number beside a mark of its own.
     marked = texts.withColumn("id", F.coalesce("id", F.lit(-(1 << 63))))
     packed = written(scored(marked, model, max(4, -(-size // GROUP_BYTES))), "scored")
     of_parts = written(
-        packed.where("part >= 0").groupBy("part").applyInArrow(word_part, PACKED), "words"
+        packed.where("part >= 0").groupBy("part").applyInArrow(lean_group(word_part), PACKED), "words"
     )
     distinct = sum(
         float(np.frombuffer(r["words"], np.float64)[0])

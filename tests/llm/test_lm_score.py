@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fareline.llm import lm_score
@@ -35,7 +36,7 @@ def brute(docs):
 
 
 def test_base_score_as_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lm_score.listed_words, "__defaults__", (50,))
+    monkeypatch.setattr(lm_score, "list_size", lambda size: 50)
     draw = random.Random(4)
     names = [f"w{k}" for k in range(300)]
     weights = [1 / (k + 1) for k in range(300)]
@@ -51,6 +52,54 @@ def test_base_score_as_brute_force(spark, monkeypatch):
     assert all(math.isfinite(r.score) and r.score < 0 for r in found)
 
 
+def test_score_as_brute_force(spark, monkeypatch):
+    """The model's score of each text, token by token from its weights and counts."""
+    monkeypatch.setattr(lm_score, "list_size", lambda size: 40)
+    models = []
+    train = lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda *given: models.append(train(*given)) or models[-1])
+    draw = random.Random(2)
+    names = [f"w{k}" for k in range(90)]
+    docs = [(k, " ".join(draw.choices(names, [1 / (k + 1) for k in range(90)], k=draw.randrange(40)))) for k in range(200)]
+    docs += [(500, None), (501, "new words here")]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.score for r in lm_score.score(table).collect()}
+    model = models[0]
+    hasher = lm_score.Hasher()
+    counts = Counter(t for doc, text in docs if not held(doc) for t in tokens(text))
+
+    def code(token):
+        raw = np.frombuffer((token or "").encode(), np.uint8)
+        own = hasher.ranges(hasher.sums(raw), np.array([0]), np.array([len(raw)]))[0]
+        return int(lm_score.END if token is None else own)
+
+    number = {int(h): k for k, h in enumerate(model.words.hashes)}
+    mass = np.bincount(model.words.classes, weights=model.words.counts, minlength=lm_score.CLASSES)
+    unlisted = {t for t in counts if code(t) not in number}
+    beyond = sum(counts[t] for t in unlisted) + 0.1 * (len(unlisted) + 1)
+    share = len(model.weights) // lm_score.FEATURES
+    one_mix = lambda x: int(lm_score.mix(np.array([x % 2**64], np.uint64))[0])
+    for doc, text in docs:
+        total, before = 0.0, [lm_score.BEFORE] * 3
+        for token in tokens(text):
+            three, two, one = before
+            codes = [one_mix(one), one_mix(one + one_mix(two + 1)), one_mix(two + 2), one_mix(one + one_mix(three + 3))]
+            z = model.bias + sum(model.weights[k * share + c % share].astype(float) for k, c in enumerate(codes))
+            at = number.get(code(token))
+            kind = 0 if at is None else model.words.classes[at]
+            total += (z[kind] - np.log(np.exp(z).sum())) / math.log(10)
+            inside = (counts[token] + 0.1) / beyond if at is None else model.words.counts[at] / mass[kind]
+            total += math.log10(inside)
+            before = [two, one, code(token)]
+        assert found[doc] == pytest.approx(total, rel=1e-3, abs=1e-3), doc
+
+
+def test_the_model_grows_with_its_input():
+    sizes = [10**6, 10**9, 3 * 10**10, 10**14]
+    rows, words = [[f(n) for n in sizes] for f in (lm_score.table_rows, lm_score.list_size)]
+    assert rows == [2**14, 2**15, 2**18, 2**24] and words[-1] == 2**26 and words[0] == lm_score.LISTED
+
+
 def test_class_probabilities_sum_to_one():
     draw = np.random.default_rng(1)
     words = lm_score.Words(
