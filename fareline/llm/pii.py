@@ -41,12 +41,16 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
 PROPOSALS = {
-    "email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}+"
+    "email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}+"
     r"(?: ?[(\[]dot[)\]] ?[A-Za-z0-9-]{2,20}+){1,4}+",
     "account": r"(?<![A-Za-z0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|"
     r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9-])",
-    "phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{12,64}+(?![A-Za-z0-9])",
+    "phone": r"(?<![0-9+(.-])(?:(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+    r"|0[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4})(?![0-9])",
+    # Keys with signs in them hold small and capital letters and digits; others are one run.
+    "secret": r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*+[0-9])(?=[A-Z0-9_+/=.-]*+[a-z])"
+    r"(?=[a-z0-9_+/=.-]*+[A-Z])[A-Za-z0-9_+/=-]{20,}+(?:\.[A-Za-z0-9_+/=-]{8,}+)*+"
+    r"|(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{12,}+",
 }
 
 #: Words that name what follows them.
@@ -191,8 +195,9 @@ def labelers(c: Column) -> dict[str, Column]:
     return {
         "shape": vote(
             (c["base"] & c["valid"])
-            | text.rlike(r"^(?:AKIA[A-Z0-9]{16}|[0-9a-f]{16,64}|[0-9]{3}-[0-9]{2}-[0-9]{4}"
-                         r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4})$")
+            | text.rlike(r"^(?:AKIA[A-Z0-9]{16}|[0-9a-f]{16,}|[0-9]{3}-[0-9]{2}-[0-9]{4}"
+                         r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|0[0-9]{2,4}[ .-][0-9]{3,4}[ .-][0-9]{3,4})$")
+            | text.rlike("^(?:gh[a-z]_|sk-|[ps]k_|xox[a-z]-|eyJ)")
             | text.rlike(r"[(\[]at[)\]]"),
             c["base"] & ~c["valid"],
         ),

@@ -45,6 +45,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS],
         F.sha2(pii.listed("good"), 256).alias("base_sha256"),
         pii.listed("all_spans").alias("spans"),
+        (F.size("all_spans") - F.size("good")).cast("long").alias("n_added"),
+        F.size("all_spans").cast("long").alias("n_spans"),
     )
 
 

@@ -72,6 +72,26 @@ def test_method_adds_secrets_and_spares_words(spark):
     assert {r.doc_id: r.n for r in rows.collect()} == {1: 1, 2: 1, 3: 1, 4: 0}
 
 
+def test_whole_secrets_of_many_forms(spark):
+    """Keys with signs, beyond 64 characters and in several parts are one span each."""
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    secrets = [
+        "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08" * 2,
+        "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY9",
+        "sk-proj-Ab12Cd34Ef56Gh78Ij90Kl12Mn34",
+        "ghp_16C7e42F292c6912E7710c838347Ae178B4a",
+        "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P",
+        "020 7946 0958",
+    ]
+    plain = ["see docs/guide/chapter-12/part-3.html", "in 2019-2020 about 10 000 of 12 345 people"]
+    rows = [(k, f"key: {text} end") for k, text in enumerate(secrets + plain)]
+    found = pii.spans(spark.createDataFrame(rows, "doc_id int, text string"), model, ["doc_id"])
+    for row in found.collect():
+        k = row["row"]["doc_id"]
+        got = [row.text[s.start : s.end] for s in row.all_spans]
+        assert got == (secrets[k : k + 1] if k < len(secrets) else []), rows[k]
+
+
 def test_masking_and_columns(spark):
     docs = spark.createDataFrame(
         [
