@@ -16,7 +16,7 @@ from fareline.plans.modelling.split import (
     expanding_folds,
 )
 from fareline.session import new_path
-from fareline.sources.samples import sample_rows, write_samples
+from fareline.sources.samples import sample_manifest, sample_rows, write_samples
 
 # Sample sizes are the operator's parameter; the ranking runs over the whole table.
 SIZES = (200, 400, 800)
@@ -44,6 +44,26 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     return sample_rows(nested_trips(spark, folder))
 
 
+def written_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of samples that were written, a row for each, with the rows of its files."""
+    path = new_path(spark, "samples")
+    write_samples(nested_trips(spark, folder), SIZES, path)
+    origin = F.struct(F.lit("files").alias("kind"), F.lit("events.parquet").alias("source_file"))
+    told = sample_manifest(spark, path, origin, 42)
+    entries = told.select("origin.kind", "sampling", "seed", "coordinates_available", F.explode("datasets").alias("d"))
+    return entries.select(
+        F.col("d.label").alias("label"),
+        F.col("d.rows").alias("rows"),
+        F.col("d.path").alias("path"),
+        (F.col("d.bytes") > 0).alias("has_bytes"),
+        F.length("d.sha256").alias("digest_length"),
+        "kind",
+        "sampling",
+        "seed",
+        "coordinates_available",
+    )
+
+
 def sample_files(spark: SparkSession, folder: str) -> DataFrame:
     """Nested samples written as Parquet and read back, each row with the file set it is in."""
     path = new_path(spark, "samples")
@@ -134,6 +154,15 @@ QUERIES = {
           true AS coordinates_available
         FROM sizes""",
     ),
+    "written_manifest": Query(
+        written_manifest,
+        f"""WITH sizes AS (SELECT unnest(['small', 'medium', 'large']) AS label,
+            unnest([{SIZES[0]}, {SIZES[1]}, {SIZES[2]}]) AS size)
+        SELECT label, least(size, (SELECT count(*) FROM events)) AS rows, label AS path,
+          true AS has_bytes, 64 AS digest_length, 'files' AS kind,
+          'nested random-priority samples' AS sampling, 42 AS seed, true AS coordinates_available
+        FROM sizes""",
+    ),
     "sample_files": Query(
         sample_files,
         f"""WITH {RANKED_EVENTS}, sizes AS (

@@ -26,8 +26,9 @@ from fareline.operators.workload import (
     operation_availability,
 )
 from fareline.plans.modelling.split import clean_fares, stage_features, with_time_features
+from fareline.session import new_path
 from fareline.sources.synthetic import synthetic_columns
-from fareline.sources.trips import canonical_trips, coerced_trips
+from fareline.sources.trips import canonical_files, canonical_trips, coerced_trips
 
 COORDINATE_COLUMNS = ("start_lon", "start_lat", "end_lon", "end_lat")
 NUMBERS = (
@@ -56,6 +57,23 @@ def ingest_parts(spark: SparkSession, folder: str) -> DataFrame:
     return events.where(F.col("ts") < noon).unionByName(events.where(F.col("ts") >= noon))
 
 
+def ingest_mixed_schema(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw files of three kinds: with coordinates, with zones, and with both and other types."""
+    raw = raw_trips(table(spark, folder, "events"))
+    path = new_path(spark, "raw")
+    ends = [name for name in raw.columns if name.endswith(("_longitude", "_latitude"))]
+    zones = [name for name in raw.columns if name.endswith("LocationID")]
+    number = F.col("row_id") % 3
+    raw.where(number == 0).drop(*zones).write.parquet(f"{path}/0")
+    whole = raw.withColumn("passenger_count", F.col("passenger_count").cast("int"))
+    whole.where(number == 1).drop(*ends).write.parquet(f"{path}/1")
+    texts = raw.withColumn("tip_amount", F.format_string("%.1f", "tip_amount"))
+    texts = texts.withColumn("passenger_count", F.col("passenger_count").cast("double"))
+    texts.where(number == 2).select(*reversed(raw.columns)).write.parquet(f"{path}/2")
+    found = canonical_files(spark, f"{path}/*", keep={"row_id": F.col("row_id")})
+    return rounded(found, COORDINATE_COLUMNS, 9)
+
+
 def canonical(spark: SparkSession, folder: str) -> DataFrame:
     raw = raw_trips(table(spark, folder, "events"))
     return rounded(canonical_trips(raw, keep=["row_id"]), COORDINATE_COLUMNS, 9)
@@ -239,6 +257,17 @@ QUERIES = {
     "ingest_parts": Query(
         ingest_parts, "SELECT event_id, ts, user_id, event_type, value, props FROM events"
     ),
+    "ingest_mixed_schema": Query(
+        ingest_mixed_schema,
+        f"""WITH {TRIPS_SQL} SELECT row_id, pickup_datetime, fare_amt, tip_amt, passenger_count,
+          trip_distance, """
+        + ", ".join(
+            f"CASE WHEN row_id % 3 <> 1 THEN round({c}, 9) END AS {c}" for c in COORDINATE_COLUMNS
+        )
+        + """, CASE WHEN row_id % 3 <> 0 THEN pickup_zone END AS pickup_zone,
+          CASE WHEN row_id % 3 <> 0 THEN dropoff_zone END AS dropoff_zone
+        FROM trips""",
+    ),
     "canonical_trips": Query(
         canonical,
         f"WITH {TRIPS_SQL} SELECT row_id, pickup_datetime, fare_amt, tip_amt, passenger_count, "

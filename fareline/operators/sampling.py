@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fareline.operators.ranking import ranked_by_priority
+from fareline.operators.ranking import priority_threshold, ranked_by_priority, with_identity
 
 # Labels of the nested samples, smallest first.
 SAMPLE_LABELS = ("small", "medium", "large")
@@ -50,7 +50,21 @@ def nested_samples(
 def budget_sample(
     df: DataFrame, max_rows: int, seed: int = 42, key: Column | str = "row_id"
 ) -> DataFrame:
-    """All rows if there are at most ``max_rows``, else a uniform sample of that many."""
+    """All rows if there are at most ``max_rows``, else a uniform sample of that many.
+
+    The sample is every row whose priority is at most a threshold: a filter of the scan, without a
+    shuffle. ``key`` must identify a row; of rows equal in it, as many stay as fit.
+    """
     if max_rows < 1:
         raise ValueError("the row budget must be positive")
-    return ranked_by_priority(df, max_rows, seed, key, "_budget_rank").drop("_budget_rank")
+    key = F.col(key) if isinstance(key, str) else key
+    found = priority_threshold(df, max_rows, seed, key)
+    if found is None:
+        return df
+    limit, below, same = found
+    drawn = with_identity(df, key, seed)
+    if below + same <= max_rows:
+        return drawn.where(F.col("_priority") <= limit).select(*df.columns)
+    under = drawn.where(F.col("_priority") < limit)
+    tied = drawn.where(F.col("_priority") == limit).limit(max_rows - below)
+    return under.unionByName(tied).select(*df.columns)

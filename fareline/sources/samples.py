@@ -11,7 +11,7 @@ from fareline.operators.profile import file_fingerprint, table_digest
 from fareline.operators.sampling import SAMPLE_LABELS, checked_sizes, nested_samples
 from fareline.sources.records import write_records
 from fareline.sources.synthetic import synthetic_trips
-from fareline.sources.trips import canonical_trips, has_coordinates, row_identity
+from fareline.sources.trips import canonical_files, has_coordinates, row_identity
 
 # Files of a sample hold at most this many rows.
 FILE_ROWS = 5_000_000
@@ -68,25 +68,34 @@ SAMPLING = {
 def sample_manifest(
     spark: SparkSession, path: str, origin: Column, seed: int, kind: str = "files"
 ) -> DataFrame:
-    """One row that describes written samples: origin, seed, and per label rows, bytes, digest."""
-    described = None
-    for label in SAMPLE_LABELS:
-        folder = f"{path}/{label}"
-        rows = spark.read.parquet(folder).agg(F.count("*").alias("rows"))
-        parts = table_digest(file_fingerprint(spark, f"{folder}/*.parquet"))
-        # Both sides are one-row aggregates.
-        entry = rows.withColumn("label", F.lit(label)).join(
-            parts.withColumn("label", F.lit(label)), "label"
-        )
-        entry = entry.select("label", "rows", F.lit(label).alias("path"), "sha256", "bytes")
-        described = entry if described is None else described.unionByName(entry)
-    columns = spark.read.parquet(f"{path}/{SAMPLE_LABELS[-1]}").columns
+    """One row that describes written samples: origin, seed, and per label rows, bytes, digest.
+
+    One scan over the files of all labels counts rows by file, one pass digests the files; both are
+    grouped by the label in the file's path.
+    """
+    folders = [f"{path}/{label}" for label in SAMPLE_LABELS]
+
+    def label_of(file: str) -> Column:
+        return F.element_at(F.split(file, "/"), -2)
+
+    stored = spark.read.parquet(*folders)
+    rows = stored.groupBy(label_of("_metadata.file_path").alias("label")).agg(F.count("*").alias("rows"))
+    files = file_fingerprint(spark, *[f"{folder}/*.parquet" for folder in folders])
+    parts = table_digest(files, label_of("path").alias("label"))
+    # One row for each label. A sample without rows has files all the same.
+    described = parts.join(rows, "label", "left").select(
+        F.coalesce("rows", F.lit(0)).alias("rows"),
+        "label",
+        F.col("label").alias("path"),
+        "sha256",
+        "bytes",
+    )
     entries = F.array_sort(F.collect_list(F.struct("rows", "label", "path", "sha256", "bytes")))
     return described.agg(
         F.first(origin).alias("origin"),
         F.lit(SAMPLING[kind]).alias("sampling"),
         F.lit(seed).alias("seed"),
-        F.lit(has_coordinates(columns)).alias("coordinates_available"),
+        F.lit(has_coordinates(stored.columns)).alias("coordinates_available"),
         entries.alias("datasets"),
     )
 
@@ -101,9 +110,8 @@ def prepare(
     """Nested samples of raw trip files (or of synthetic trips) as Parquet, with a manifest."""
     sizes = checked_sizes(sizes)
     if sources:
-        raw = spark.read.parquet(*sources).withColumn("row_key", row_identity(sources))
-        trips = canonical_trips(raw, keep=["row_key"])
-        available = raw.count()
+        trips = canonical_files(spark, *sources, keep={"row_key": row_identity(sources)})
+        available = trips.count()
         if available < sizes[-1]:
             raise ValueError(f"the source has {available} rows, fewer than {sizes[-1]}")
         samples = nested_samples(trips, sizes, seed, "row_key").drop("row_key")

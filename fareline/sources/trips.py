@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
-from urllib.parse import quote
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import quote, unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,9 @@ COORDINATES = ("start_lon", "start_lat", "end_lon", "end_lat")
 
 MOMENT = "pickup_datetime"
 
+#: File footers that are asked for at the same time.
+FOOTER_THREADS = 8
+
 
 def load_trips(
     spark: SparkSession, *paths: str, schema: T.StructType | None = None
@@ -122,3 +127,67 @@ def canonical_trips(
     """Raw trip table to canonical names and types in one projection."""
     keep = tuple(keep)
     return coerced_trips(renamed_trips(df, aliases, keep), keep)
+
+
+def data_files(spark: SparkSession, *paths: str) -> list[str]:
+    """The Parquet files below the paths, by a listing alone."""
+    # With a schema given, no footer is read.
+    listed = spark.read.schema("listed int").parquet(*paths).inputFiles()
+    return sorted(unquote(file) for file in listed)
+
+
+def literal_path(file: str) -> str:
+    """A path whose special characters are not taken for a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", file)
+
+
+def files_by_schema(spark: SparkSession, *paths: str) -> list[tuple[T.StructType, list[str]]]:
+    """Files grouped by the names and types of their columns, whatever the order of these.
+
+    One footer job for each file, several at a time: only schemas come to the driver.
+    """
+
+    def footer(file: str) -> T.StructType:
+        return spark.read.parquet(literal_path(file)).schema
+
+    files = data_files(spark, *paths)
+    with ThreadPoolExecutor(FOOTER_THREADS) as pool:
+        schemas = list(pool.map(footer, files))
+    groups: dict[tuple, tuple[T.StructType, list[str]]] = {}
+    for file, schema in zip(files, schemas, strict=True):
+        key = tuple(sorted((field.name, field.dataType.json()) for field in schema.fields))
+        groups.setdefault(key, (schema, []))[1].append(file)
+    return [groups[key] for key in sorted(groups)]
+
+
+def canonical_files(
+    spark: SparkSession,
+    *paths: str,
+    aliases: Mapping[str, str] = ALIASES,
+    keep: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Raw trip files of varying columns and types as one canonical table.
+
+    Each group of equal schemas is one scan that reads its own known columns, with its own types, and
+    is brought to canonical names and types before the groups are united. A column that some files
+    lack is NULL for their rows; a file without a required column is an error. ``keep`` names further
+    columns, as expressions over the scan. Mixed kinds of pickup times become ``timestamp_ntz``.
+    """
+    keep = dict(keep or {})
+    frames = []
+    for schema, files in files_by_schema(spark, *paths):
+        absent = missing_required(aliases[name] for name in schema.names if name in aliases)
+        if absent:
+            raise ValueError(f"missing required columns: {absent} in {files[0]}")
+        raw = spark.read.schema(schema).parquet(*[literal_path(file) for file in files])
+        frames.append(canonical_trips(raw.withColumns(keep), aliases, keep))
+    if not frames:
+        raise ValueError(f"no files below {', '.join(paths)}")
+    if len({frame.schema[MOMENT].dataType for frame in frames}) > 1:
+        moment = F.col(MOMENT).cast("timestamp_ntz")
+        frames = [frame.withColumn(MOMENT, moment) for frame in frames]
+    united = frames[0]
+    for frame in frames[1:]:
+        united = united.unionByName(frame, allowMissingColumns=True)
+    order = dict.fromkeys([*keep, *aliases.values()])
+    return united.select(*[name for name in order if name in united.columns])

@@ -7,6 +7,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from fareline.operators.profile import (
+    file_digest,
     file_fingerprint,
     filter_retention,
     materialise,
@@ -211,6 +212,30 @@ def test_fingerprint_of_a_file_of_many_blocks(spark, tmp_path):
     assert (row.bytes, row.sha256) == (5 * len(block), digest.hexdigest())
 
 
+def test_hidden_files_are_no_part_of_a_table(spark, tmp_path):
+    """A folder that Spark wrote holds _SUCCESS; its one part alone is the table."""
+    path = tmp_path / "table"
+    spark.range(10).coalesce(1).write.parquet(str(path))
+    part = next(path.glob("part-*.parquet"))
+    assert [row.file for row in file_fingerprint(spark, str(path)).collect()] == [part.name]
+    row = table_digest(file_fingerprint(spark, str(path))).first()
+    assert row.sha256 == hashlib.sha256(part.read_bytes()).hexdigest()
+
+
+def test_digests_use_the_sessions_file_system_settings(spark, tmp_path):
+    """A file system that only this session names is opened in the tasks."""
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    name = "fs.odd.impl"
+    spark.conf.set(name, "org.apache.hadoop.fs.RawLocalFileSystem")
+    try:
+        digest = file_digest(spark)
+        row = spark.range(1).select(F.call_udf(digest, F.lit(f"odd://{tmp_path}/a.bin")).alias("sha256"))
+        with pytest.raises(Exception, match="Wrong FS"):
+            row.collect()
+    finally:
+        spark.conf.unset(name)
+
+
 def test_digest_of_a_table(spark, tmp_path):
     (tmp_path / "one").mkdir()
     (tmp_path / "one" / "a.bin").write_bytes(b"abc")

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from conftest import plan_of
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -14,8 +15,10 @@ from fareline.operators.workload import (
 )
 from fareline.sources.trips import (
     ALIASES,
+    canonical_files,
     canonical_trips,
     coerced_trips,
+    literal_path,
     load_trips,
     renamed_trips,
     row_identity,
@@ -158,3 +161,62 @@ def test_row_identity_tells_folders_apart(spark, tmp_path):
     rows = spark.read.option("recursiveFileLookup", True).parquet(*folders)
     keys = {r[0] for r in rows.select(row_identity(folders)).collect()}
     assert len(keys) == 6 and all(str(tmp_path) not in key for key in keys)
+
+
+def raw_file(spark, path, columns, count=200):
+    spark.range(count).selectExpr(
+        "timestamp_ntz'2015-01-01' + make_dt_interval(0, 0, cast(id AS int)) AS tpep_pickup_datetime",
+        *columns,
+    ).write.parquet(path)
+
+
+COMMON = ["id + 0.5D AS fare_amount", "id / 100 AS tip_amount", "cast(id AS double) AS trip_distance"]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 0, 2)])
+def test_files_of_varying_columns(spark, tmp_path, order):
+    kinds = [
+        ["cast(id AS double) AS passenger_count", "-73D AS pickup_longitude", "40D AS pickup_latitude"],
+        ["id AS passenger_count", "id % 5 AS PULocationID"],
+        ["cast(id AS string) AS passenger_count", "cast(id AS int) % 7 AS PULocationID", "1 AS other"],
+    ]
+    # Names with characters that a path pattern or a URL would change.
+    names = [str(tmp_path / name) for name in ("month 1", "month[2]", "month%203")]
+    for name, kind in zip(names, kinds, strict=True):
+        raw_file(spark, name, COMMON + kind)
+    paths = [literal_path(names[k]) for k in order]
+    found = canonical_files(spark, *paths)
+    assert "other" not in found.columns and found.count() == 600
+    assert {t for c, t in found.dtypes if c != "pickup_datetime"} == {"double"}
+    row = found.agg(*[F.count(c).alias(c) for c in ("passenger_count", "start_lon", "pickup_zone")]).first()
+    assert (row.passenger_count, row.start_lon, row.pickup_zone) == (600, 200, 400)
+    assert found.agg(F.sum("passenger_count")).first()[0] == 3 * sum(range(200))
+
+
+def test_varying_files_in_one_folder_prune_columns(spark, tmp_path):
+    folder = str(tmp_path / "raw")
+    raw_file(spark, f"{folder}/a", [*COMMON, "id AS passenger_count", "id AS PULocationID"])
+    raw_file(spark, f"{folder}/b", [*COMMON, "id AS passenger_count", "-73D AS pickup_longitude"])
+    found = canonical_files(spark, f"{folder}/*")
+    plan = plan_of(found.select("fare_amt", "pickup_zone"))
+    assert plan.count("FileScan parquet") == 2
+    assert "ReadSchema: struct<fare_amount:double,PULocationID:bigint>" in plan
+    assert "ReadSchema: struct<fare_amount:double>" in plan
+
+
+def test_a_file_without_a_required_column_is_named(spark, tmp_path):
+    raw_file(spark, str(tmp_path / "a"), [*COMMON, "id AS passenger_count"])
+    raw_file(spark, str(tmp_path / "b"), COMMON)
+    with pytest.raises(ValueError, match="passenger_count.*/b/"):
+        canonical_files(spark, str(tmp_path / "*"))
+
+
+def test_mixed_pickup_times(spark, tmp_path):
+    raw_file(spark, str(tmp_path / "a"), [*COMMON, "id AS passenger_count"], 5)
+    moments = spark.read.parquet(str(tmp_path / "a")).withColumn(
+        "tpep_pickup_datetime", F.col("tpep_pickup_datetime").cast("timestamp")
+    )
+    moments.write.parquet(str(tmp_path / "b"))
+    found = canonical_files(spark, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert dict(found.dtypes)["pickup_datetime"] == "timestamp_ntz"
+    assert found.groupBy("pickup_datetime").count().where("count != 2").isEmpty()
