@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fareline.catalog.registry import Query, rounded
@@ -30,7 +30,6 @@ from fareline.plans.modelling.models import (
     Task,
     band_task,
     cv_table,
-    fare_error,
     fare_task,
     fit_fare,
     fit_fare_models,
@@ -86,7 +85,7 @@ def scaled(spark: SparkSession, folder: str) -> DataFrame:
     """Numeric features of all sparse trips, scaled by statistics of the training side."""
     sparse = prepared(trips_sparse(spark, folder), *NUMBERS)
     split = chronological_split(sparse)
-    fitted = fit_preprocessing(split.train, NUMBERS, split.train_rows)
+    fitted = fit_preprocessing(split.train, NUMBERS)
     return rounded(fitted.scaled(sparse), NUMBERS)
 
 
@@ -238,6 +237,60 @@ def record_sides(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(found, ("baseline_mae", "baseline_accuracy"))
 
 
+def holdout_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The hold-out of the completed-trip models, row by row, and whether both beat the baselines."""
+    split = stage_split(spark, folder)
+    models = searched(spark, folder, split)
+    base = baseline_scores(split).first()
+    fare, said = F.col("predicted_fare"), F.col("predicted_band")
+    whole = models.predictions.agg(
+        F.avg(F.abs(fare - F.col("fare_amt"))).alias("mae"),
+        F.avg((said == F.col("band")).cast("double")).alias("accuracy"),
+    ).first()
+    return models.predictions.select(
+        "row_id",
+        F.round("fare_amt", 6).alias("fare_amt"),
+        F.col("band").cast("int").alias("band"),
+        F.lit(round(base["train_median"], 6)).alias("train_median"),
+        F.lit(base["train_majority"]).alias("train_majority"),
+        (fare.isNotNull() & said.isin(0.0, 1.0, 2.0)).alias("predicted"),
+        F.lit(whole["mae"] < base["baseline_mae"]).alias("fare_beats_baseline"),
+        F.lit(whole["accuracy"] > base["baseline_accuracy"]).alias("band_beats_baseline"),
+    )
+
+
+def cv_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """The settings of both searches, and whether their means, deviations and ranks follow from the
+    scores of the three folds."""
+    found = cv_results(spark, folder)
+    splits = F.array(*[F.col(f"split{k}_test_score") for k in range(3)])
+    count = lambda a, x: a + x
+    mean = F.aggregate(splits, F.lit(0.0), count) / 3
+    squares = F.aggregate(F.transform(splits, lambda x: F.pow(x - mean, 2)), F.lit(0.0), count) / 3
+    near = lambda a, b: F.abs(a - b) <= 1e-9 * (1 + F.abs(b))
+    # A handful of settings for each task.
+    order = F.when(F.col("task") == "regression", F.col("mean_test_score")).otherwise(-F.col("mean_test_score"))
+    rank = F.rank().over(Window.partitionBy("task").orderBy(order))
+    return found.select(
+        "task",
+        "setting",
+        *[F.col(f"param_{name}") for name in ("max_depth", "learning_rate", "C")],
+        F.size(F.filter(splits, lambda x: x.isNotNull())).alias("folds"),
+        (near(mean, F.col("mean_test_score")) & near(F.sqrt(squares), F.col("std_test_score"))).alias("moments"),
+        (rank == F.col("rank_test_score")).alias("ranked"),
+    )
+
+
+def stage_sides(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each stage, and whether what is known after a trip makes its fare easier."""
+    compared = stages(spark, folder)
+    # One row for each stage.
+    pickup = F.min(F.when(F.col("stage") == STAGES[0], F.col("rmse"))).over(Window.partitionBy())
+    return compared.select(
+        "stage", "train_rows", "test_rows", (F.col("rmse") <= pickup).alias("as_good_as_pickup")
+    )
+
+
 def stages(spark: SparkSession, folder: str) -> DataFrame:
     whole = prepared(trips(spark, folder), *MODEL_COLUMNS)
     compared = stage_comparison(whole, STAGES, fit=lambda split: searched(spark, folder, split))
@@ -259,7 +312,7 @@ def fold_means(spark: SparkSession, folder: str) -> DataFrame:
     # At most three rows for each event type.
     rows = means.orderBy("event_type", "fold").collect()
     names = sorted({row["event_type"] for row in rows})
-    task = Task("regression", {"depth": tuple(range(len(names)))}, fit_fare, fare_error, True)
+    task = Task("regression", {"depth": tuple(range(len(names)))}, fit_fare, True)
     scores = [
         ("regression", names.index(r["event_type"]), {"depth": names.index(r["event_type"])}, r["fold"], r["score"])
         for r in rows
@@ -437,6 +490,39 @@ QUERIES = {
             FILTER (NOT in_train), 6) AS baseline_accuracy
         FROM banded, fitted""",
     ),
+    "holdout_scores": Query(
+        holdout_scores,
+        f"""WITH {TRIPS_SQL}, {position_sql("trips", "WHERE fare_amt BETWEEN 0.01 AND 500")},
+          banded AS (SELECT *, {band_sql("fare_amt")} AS band FROM sides), fitted AS (
+          SELECT round(median(fare_amt), 6) AS train_median,
+            (SELECT band FROM banded WHERE in_train GROUP BY band
+             ORDER BY count(*) DESC, band LIMIT 1) AS train_majority
+          FROM banded WHERE in_train)
+        SELECT row_id, round(fare_amt, 6) AS fare_amt, band, train_median, train_majority,
+          true AS predicted, true AS fare_beats_baseline, true AS band_beats_baseline
+        FROM banded, fitted WHERE NOT in_train""",
+    ),
+    "cv_settings": Query(
+        cv_settings,
+        """WITH grid AS (
+          SELECT 'regression' AS task, CAST(depth AS DOUBLE) AS param_max_depth,
+            CAST(rate AS DOUBLE) AS param_learning_rate, CAST(NULL AS DOUBLE) AS param_C
+          FROM (SELECT unnest([3, 5]) AS depth), (SELECT unnest([0.05, 0.15]) AS rate)
+          UNION ALL SELECT 'classification', NULL, NULL, CAST(c AS DOUBLE)
+          FROM (SELECT unnest([0.1, 1.0, 10.0]) AS c))
+        SELECT task, CAST(row_number() OVER (PARTITION BY task
+            ORDER BY param_learning_rate, param_max_depth, param_C) - 1 AS INTEGER) AS setting,
+          param_max_depth, param_learning_rate, param_C, 3 AS folds, true AS moments, true AS ranked
+        FROM grid""",
+    ),
+    "stage_sides": Query(
+        stage_sides,
+        f"""WITH {TRIPS_SQL}, {position_sql("trips", "WHERE fare_amt BETWEEN 0.01 AND 500")},
+          stages AS (SELECT unnest(['pickup', 'completed-trip']) AS stage)
+        SELECT stage, count(*) FILTER (in_train) AS train_rows,
+          count(*) FILTER (NOT in_train) AS test_rows, true AS as_good_as_pickup
+        FROM sides, stages GROUP BY stage""",
+    ),
     "cv_table_csv": Query(fold_means, FOLD_SQL),
     "stage_comparison": Query(stages),
 }

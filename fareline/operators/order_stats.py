@@ -1,17 +1,21 @@
-"""Exact order statistics without a global sort.
-
-A rank is found by refinement: a histogram of the current value range (one aggregation with
-map-side combine, a bounded number of rows back) tells which bin holds the rank; the smallest and
-largest value seen in that bin are the next range. Bins are equally wide in the logarithm where a range
-spans more than a factor of four or both signs, else equally wide. So a pass over doubles
-leaves a factor of at most two, and each further one narrows it by the number of bins: the number
-of passes is bounded by the 64 bits of a value, not by its distribution. No task and no driver ever
-holds the values themselves.
+"""Exact order statistics by radix selection, without a sort of rows.
+
+Every value has an ordinal, a 64-bit integer that orders like it: the value itself for integers and
+times, and for doubles the bits of the magnitude with the sign of the value, so that 0.0 and -0.0
+are one. A rank is found digit by digit. A counting pass (one aggregation with map-side combine)
+groups the ordinals of the open range by their next 16 bits; running sums over at most 65,537 counts
+tell which digit holds the rank, and its smallest and largest ordinal are the next range. So 64 bits
+take four passes at most, whatever the data, and no task and no driver ever holds the values
+themselves.
+
+Medians of groups come from one aggregation whose buffers are multisets (a count for each value of
+the group, merged on the map side). Groups too large for a buffer are searched digit by digit in the
+same way, all of them in the same four passes.
 """
 
 from __future__ import annotations
 
-import math
+import struct
 import sys
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -22,36 +26,78 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fareline.functions.trips import axis_literal, axis_value
-from fareline.session import SMALL_TABLE_ROWS
+from fareline.session import localised, settled
 
-BINS = 4096
-# Histogram rows that may come back to the driver in one pass.
-HISTOGRAM_ROWS = 1 << 18
+#: Bits of an ordinal that one pass settles.
+DIGIT = 16
 LARGEST = sys.float_info.max
-SMALLEST = math.ulp(0.0)
-# Once the open ranges hold this few rows in total, their values are counted one by one.
-EXACT_ROWS = 20_000
-# Up to this many rows the built-in median, which holds all distinct values of a group in one
-# buffer, is used.
-MEDIAN_ROWS = 200_000
-# Groups up to this many rows are sorted by one task, which spills to disk.
-GROUP_ROWS = 20_000_000
+LEAST_NORMAL = sys.float_info.min
+FRACTION_BITS, EXPONENT_BIAS = 52, 1023
+INFINITE = 0x7FF << FRACTION_BITS
+#: Twice this scale turns the least positive double into 1.
+HALF_SCALE = 2.0**537
+#: Groups with more rows are searched digit by digit; smaller ones are multisets in a buffer.
+GROUP_ROWS = 10_000
+
+
+def ordinal_of(value: int | float, kind: T.DataType) -> int:
+    if not isinstance(kind, T.FractionalType):
+        return value
+    bits = struct.unpack("<q", struct.pack("<d", abs(value)))[0]
+    return -bits if value < 0 else bits
+
+
+def value_of(ordinal: int, kind: T.DataType) -> int | float:
+    if not isinstance(kind, T.FractionalType):
+        return ordinal
+    value = struct.unpack("<d", struct.pack("<q", abs(ordinal)))[0]
+    return -value if ordinal < 0 else value
+
+
+def with_ordinal(frame: DataFrame, kind: T.DataType) -> DataFrame:
+    """``_ordinal`` of the numbers in ``_axis``, as :func:`ordinal_of`.
+
+    Spark has no function for the bits of a double, so they are computed: the exponent from a
+    logarithm, mended by one where that is rounded, and the fraction by a division that is exact.
+    """
+    if not isinstance(kind, T.FractionalType):
+        return frame.withColumn("_ordinal", F.col("_axis"))
+    size = F.abs("_axis")
+    normal = F.when(size.between(LEAST_NORMAL, LARGEST), size).otherwise(1.0)
+    # Separate steps, so that each is computed once for a row.
+    steps = frame.withColumn("_guess", F.floor(F.log2(normal)))
+    steps = steps.withColumn("_power", F.pow(F.lit(2.0), F.col("_guess")))
+    power = F.col("_power")
+    mended = F.when(power > normal, -1).when(power <= normal / 2, 1).otherwise(0)
+    steps = steps.withColumn("_exponent", F.col("_guess") + mended)
+    fraction = size / F.pow(F.lit(2.0), F.col("_exponent")) - 1
+    bits = (F.col("_exponent") + EXPONENT_BIAS) * F.lit(1 << FRACTION_BITS) + (
+        fraction * float(1 << FRACTION_BITS)
+    ).cast("bigint")
+    small = (size * HALF_SCALE * HALF_SCALE).cast("bigint")
+    whole = F.when(size > LARGEST, INFINITE).when(size < LEAST_NORMAL, small).otherwise(bits)
+    signed = F.when(F.col("_axis") < 0, -whole).otherwise(whole)
+    return steps.withColumn("_ordinal", signed).drop("_guess", "_power", "_exponent")
 
 
 @dataclass
 class Range:
-    """Open search: ``ranks`` lie among the ``rows`` values from ``low`` to ``high``.
+    """Open search: ``ranks`` lie among the values whose ordinals are ``low`` to ``high``.
 
     ``below`` rows of the group lie under ``low``.
     """
 
     group: tuple
-    low: int | float
-    high: int | float
-    rows: int
+    low: int
+    high: int
     below: int
     ranks: list[int]
 
+    @property
+    def shift(self) -> int:
+        """Bits below the digit that the next pass counts."""
+        return max((self.high - self.low).bit_length() - DIGIT, 0)
+
 
 @dataclass(frozen=True)
 class Found:
@@ -63,121 +109,86 @@ class Found:
 
 @dataclass
 class Search:
+    kind: T.DataType
     open: list[Range] = field(default_factory=list)
     found: dict[tuple, dict[int, Found]] = field(default_factory=dict)
 
     def add(self, part: Range) -> None:
         if part.low == part.high:
             answers = self.found.setdefault(part.group, {})
-            answers.update({rank: Found(part.low, part.below) for rank in part.ranks})
+            value = value_of(part.low, self.kind)
+            answers.update({rank: Found(value, part.below) for rank in part.ranks})
         else:
             self.open.append(part)
 
 
-def bin_of(axis: Column, low: Column, high: Column, kind: T.DataType, bins: int) -> Column:
-    """Monotone bin number; ``low`` falls into the first and ``high`` into the last bin."""
-    if isinstance(kind, T.FractionalType):
-        # Halves keep the width finite; infinite values are pulled to the largest finite ones.
-        def half(value: Column) -> Column:
-            return F.greatest(F.least(value, F.lit(LARGEST)), F.lit(-LARGEST)) / 2
-
-        def power(value: Column) -> Column:
-            size = F.greatest(F.least(F.abs(value), F.lit(LARGEST)), F.lit(SMALLEST))
-            return F.when(value == 0, 0.0).otherwise(F.signum(value) * (F.log2(size) + 1100))
-
-        def within(place: Callable[[Column], Column]) -> Column:
-            width = place(high) - place(low)
-            return F.when(width > 0, (place(axis) - place(low)) / width).otherwise(F.lit(0.0))
-
-        wide = ((low > 0) & (high / 4 > low)) | ((high < 0) & (low / 4 < high))
-        wide = wide | ((low <= 0) & (high >= 0))
-        share = F.when(wide, within(power)).otherwise(within(half))
-    else:
-        share = (axis - low).cast("double") / (high - low).cast("double")
-    inner = F.least(F.floor(share * (bins - 2)), F.lit(bins - 3)).cast("int") + 1
-    return F.when(axis <= low, 0).when(axis >= high, bins - 1).otherwise(inner)
-
-
-def literal(value: int | float, kind: T.DataType) -> Column:
-    if isinstance(kind, T.FractionalType):
-        return F.lit(float(value))
-    return F.lit(value).cast("bigint")
-
-
-def histogram(frame: DataFrame, kind: T.DataType, bins: int | None) -> list:
-    """Counts and value bounds per (range, bin) of a frame with ``_range, _axis, _low, _high``.
-
-    Without a number of bins, every value is a bin of its own.
-    """
-    inside = frame.where(F.col("_axis").between(F.col("_low"), F.col("_high")))
-    slot = F.col("_axis")
-    if bins is not None:
-        slot = bin_of(slot, F.col("_low"), F.col("_high"), kind, bins)
-    return (
-        inside.groupBy("_range", slot.alias("_bin"))
-        .agg(F.count("*").alias("n"), F.min("_axis").alias("low"), F.max("_axis").alias("high"))
-        .collect()
+def histogram(frame: DataFrame, search: Search) -> list:
+    """One counting pass over a frame with ``_range`` and ``_axis``: for each rank of the open
+    ranges, the digit that holds it, with its bounds and the rows of the range below it."""
+    ranges = search.open
+    spark = frame.sparkSession
+    bounds = [F.array(*[F.lit(getattr(part, end)) for part in ranges]) for end in ("low", "high")]
+    shift = F.get(F.array(*[F.lit(part.shift) for part in ranges]), F.col("_range"))
+    low, high = (F.get(bound, F.col("_range")) for bound in bounds)
+    rows = with_ordinal(frame, search.kind).where(F.col("_ordinal").between(low, high))
+    digit = F.call_function("shiftright", F.col("_ordinal"), shift).alias("_digit")
+    counts = rows.groupBy("_range", digit).agg(
+        F.count("*").alias("n"), F.min("_ordinal").alias("low"), F.max("_ordinal").alias("high")
     )
+    upto = F.sum("n").over(Window.partitionBy("_range").orderBy("_digit"))
+    wanted = [(i, rank - part.below) for i, part in enumerate(ranges) for rank in part.ranks]
+    asked = F.broadcast(spark.createDataFrame(wanted, "_range int, rank long"))
+    placed = counts.withColumn("upto", upto).join(asked, "_range")
+    holds = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
+    chosen = placed.where(holds).select("_range", "rank", "low", "high", (F.col("upto") - F.col("n")).alias("below"))
+    return chosen.collect()
 
 
 def narrowed(search: Search, rows: list) -> Search:
-    """Next state of the search from one histogram."""
-    by_range: dict[int, list] = {}
+    """Next state of the search from the digits that hold its ranks."""
+    following = Search(search.kind, found=search.found)
+    settled_ranks = 0
+    parts: dict[tuple, Range] = {}
     for row in rows:
-        by_range.setdefault(row["_range"], []).append(row)
-    following = Search(found=search.found)
-    for number, part in enumerate(search.open):
-        below = part.below
-        waiting = sorted(part.ranks)
-        for row in sorted(by_range.get(number, []), key=lambda r: r["_bin"]):
-            held = [rank for rank in waiting if rank < below + row["n"]]
-            if held:
-                following.add(Range(part.group, row["low"], row["high"], row["n"], below, held))
-                waiting = waiting[len(held):]
-            below += row["n"]
-        if waiting:
-            raise ValueError(f"ranks {waiting} lie outside the group {part.group}")
+        old = search.open[row["_range"]]
+        below = old.below + row["below"]
+        part = Range(old.group, row["low"], row["high"], below, [])
+        parts.setdefault((row["_range"], row["low"]), part).ranks.append(row["rank"] + old.below)
+        settled_ranks += 1
+    if settled_ranks < sum(len(part.ranks) for part in search.open):
+        raise ValueError("some ranks lie outside their group")
+    for part in parts.values():
+        following.add(part)
     return following
 
 
-def refined(search: Search, step: Callable[[list[Range], int | None], list]) -> dict:
-    """Run ``step`` (open ranges, bins -> histogram rows) until every rank is settled."""
+def refined(search: Search, step: Callable[[Search], list]) -> dict:
+    """Run ``step`` (search -> digits that hold the ranks) until every rank is settled."""
     while search.open:
-        # With more open ranges than histogram rows, a part of them is searched at a time.
-        step_ranges = search.open[: HISTOGRAM_ROWS // 16]
-        if len(step_ranges) < len(search.open):
-            part = Search(step_ranges, search.found)
-            search.open = search.open[len(step_ranges) :]
-            refined(part, step)
-            continue
-        bins = min(BINS, HISTOGRAM_ROWS // len(search.open))
-        if sum(part.rows for part in search.open) <= EXACT_ROWS:
-            bins = None
-        search = narrowed(search, step(search.open, bins))
+        search = narrowed(search, step(search))
     return search.found
 
 
-def labelled(
-    df: DataFrame, column: str, kind: T.DataType, ranges: list[Range], scope: Callable
-) -> DataFrame:
+def chosen_of(hits: list[Column], values: list[Column]) -> Column:
+    pairs = list(zip(hits, values, strict=True))
+    return reduce(lambda chain, pair: chain.when(*pair), pairs[1:], F.when(*pairs[0]))
+
+
+def labelled(df: DataFrame, column: str, search: Search, scope: Callable) -> DataFrame:
     """Rows of ``df`` that fall into an open range, by literal conditions that reach the scan."""
+    kind = search.kind
     typed = F.col(column)
     hits = [
         scope(part.group)
-        & typed.between(axis_literal(part.low, kind), axis_literal(part.high, kind))
-        for part in ranges
+        & typed.between(
+            axis_literal(value_of(part.low, kind), kind),
+            axis_literal(value_of(part.high, kind), kind),
+        )
+        for part in search.open
     ]
-
-    def chosen(values: list[Column]) -> Column:
-        pairs = list(zip(hits, values, strict=True))
-        start = F.when(*pairs[0])
-        return reduce(lambda chain, pair: chain.when(*pair), pairs[1:], start)
-
     return df.where(reduce(lambda a, b: a | b, hits)).select(
-        chosen([F.lit(number) for number in range(len(ranges))]).alias("_range"),
+        chosen_of(hits, [F.lit(number) for number in range(len(hits))]).alias("_range"),
         axis_value(column, kind).alias("_axis"),
-        chosen([literal(part.low, kind) for part in ranges]).alias("_low"),
-        chosen([literal(part.high, kind) for part in ranges]).alias("_high"),
     )
 
 
@@ -201,15 +212,14 @@ def order_statistics(
     typed = axis_value(column, kind) if isinstance(kind, T.FractionalType) else F.col(column)
     ends = df.agg(F.count(typed).alias("n"), F.min(typed).alias("low"), F.max(typed).alias("high"))
     rows, low, high = ends.select("n", axis_value("low", kind), axis_value("high", kind)).first()
-    search = Search()
+    search = Search(kind)
     wanted = sorted(set(ranks(rows)))
     if wanted:
-        search.add(Range((), low, high, rows, 0, wanted))
+        search.add(Range((), ordinal_of(low, kind), ordinal_of(high, kind), 0, wanted))
     known = df.where(F.col(column).isNotNull())
 
-    def step(ranges: list[Range], bins: int | None) -> list:
-        frame = labelled(known, column, kind, ranges, lambda group: F.lit(True))
-        return histogram(frame, kind, bins)
+    def step(now: Search) -> list:
+        return histogram(labelled(known, column, now, lambda group: F.lit(True)), now)
 
     return OrderStatistics(rows, kind, refined(search, step).get((), {}))
 
@@ -251,13 +261,14 @@ def row_positions(
     bounds = tied.groupBy(axis_value(first, outer.kind).alias("_tie")).agg(
         F.count(axis).alias("n"), F.min(axis).alias("low"), F.max(axis).alias("high")
     )
-    search = Search()
+    search = Search(kind)
     for row in bounds.collect():
         inner = [r - outer.at[r].below for r in wanted if outer.at[r].value == row["_tie"]]
-        search.add(Range((row["_tie"],), row["low"], row["high"], row["n"], 0, sorted(set(inner))))
+        low, high = ordinal_of(row["low"], kind), ordinal_of(row["high"], kind)
+        search.add(Range((row["_tie"],), low, high, 0, sorted(set(inner))))
 
-    def step(ranges: list[Range], bins: int | None) -> list:
-        return histogram(labelled(tied, second, kind, ranges, scope), kind, bins)
+    def step(now: Search) -> list:
+        return histogram(labelled(tied, second, now, scope), now)
 
     found = refined(search, step)
     positions = []
@@ -283,8 +294,8 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | N
     """Exact median of each numeric column; a column without values yields ``None``.
 
     All columns share every pass, so the number of passes does not grow with them. A row is
-    unpivoted only if one of its values lies in an open range, which after the first histogram few
-    rows do.
+    unpivoted only if one of its values lies in an open range, which after the first pass few rows
+    do.
     """
     if not columns:
         return {}
@@ -296,32 +307,29 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | N
         ends += [measure.alias(f"{text}{number}") for text, measure in measures.items()]
     row = df.agg(*ends).first()
     sizes = {name: row[f"n{number}"] for number, name in enumerate(columns)}
-    search = Search()
+    search = Search(kind)
     for number, name in enumerate(columns):
         ranks = sorted(set(middle_ranks(sizes[name])))
         if ranks:
-            low, high = row[f"low{number}"], row[f"high{number}"]
-            search.add(Range((name,), low, high, sizes[name], 0, ranks))
+            low, high = (ordinal_of(row[f"{end}{number}"], kind) for end in ("low", "high"))
+            search.add(Range((name,), low, high, 0, ranks))
 
-    def step(ranges: list[Range], bins: int | None) -> list:
+    def step(now: Search) -> list:
         hits = [
-            axis[part.group[0]].between(literal(part.low, kind), literal(part.high, kind))
-            for part in ranges
+            axis[part.group[0]].between(value_of(part.low, kind), value_of(part.high, kind))
+            for part in now.open
         ]
         entries = [
             F.when(
                 hit,
                 F.struct(
-                    F.lit(number).alias("_range"),
-                    axis[part.group[0]].alias("_axis"),
-                    literal(part.low, kind).alias("_low"),
-                    literal(part.high, kind).alias("_high"),
+                    F.lit(number).alias("_range"), axis[part.group[0]].alias("_axis")
                 ),
             )
-            for number, (part, hit) in enumerate(zip(ranges, hits, strict=True))
+            for number, (part, hit) in enumerate(zip(now.open, hits, strict=True))
         ]
         touched = df.where(reduce(lambda a, b: a | b, hits))
-        return histogram(touched.select(F.inline(F.array(*entries))), kind, bins)
+        return histogram(touched.select(F.inline(F.array(*entries))), now)
 
     found = refined(search, step)
     return {
@@ -329,55 +337,41 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | N
     }
 
 
-def heavy_medians(df: DataFrame, keys: Sequence[str], value: str, heavy: list) -> DataFrame:
-    """Medians of the groups in ``heavy`` (rows of keys, n, low, high) as (keys, median)."""
-    spark = df.sparkSession
-    search = Search()
-    sizes = {}
-    for row in heavy:
-        group = tuple(row[key] for key in keys)
-        sizes[group] = row["n"]
-        ranks = sorted(set(middle_ranks(row["n"])))
-        search.add(Range(group, row["low"], row["high"], row["n"], 0, ranks))
-    key_fields = [df.schema[key] for key in keys]
-    range_schema = T.StructType(
-        [
-            *key_fields,
-            T.StructField("_range", T.IntegerType()),
-            T.StructField("_low", T.DoubleType()),
-            T.StructField("_high", T.DoubleType()),
-        ]
-    )
-    known = df.select(*keys, axis_value(value, T.DoubleType()).alias("_axis"))
-
-    def step(ranges: list[Range], bins: int | None) -> list:
-        rows = [(*part.group, i, part.low, part.high) for i, part in enumerate(ranges)]
-        table = spark.createDataFrame(rows, range_schema)
-        if len(rows) <= SMALL_TABLE_ROWS:
-            table = F.broadcast(table)
-        return histogram(known.join(table, list(keys)), T.DoubleType(), bins)
-
-    found = refined(search, step)
-    rows = [(*group, middle(found[group], sizes[group])) for group in sizes]
-    schema = T.StructType([*key_fields, T.StructField("_median", T.DoubleType())])
-    return spark.createDataFrame(rows, schema)
-
+def large_medians(df: DataFrame, keys: Sequence[str], axis: Column, sizes: DataFrame) -> DataFrame:
+    """Medians of the groups in ``sizes`` (keys and ``n``), as keys and ``_median``.
 
-def sorted_medians(
-    df: DataFrame, keys: Sequence[str], value: Column, name: str, extra: Sequence[Column]
-) -> DataFrame:
-    """Median per group from a sort inside the group; the aggregates reuse its partitioning."""
-    group = Window.partitionBy(*keys)
-    order = group.orderBy(F.col("_axis").asc_nulls_last())
-    placed = df.withColumn("_axis", value).withColumns(
-        {"_rank": F.row_number().over(order) - 1, "_rows": F.count("_axis").over(group)}
-    )
-    first = F.floor((F.col("_rows") - 1) / 2)
-    second = F.floor(F.col("_rows") / 2)
-    middle_value = F.when(F.col("_rank").between(first, second), F.col("_axis"))
+    The open ranges are a table of two ranks for each group. It is broadcast if it proves small,
+    otherwise rows and ranges meet by a shuffle on the keys and the digits settled so far.
+    """
+    keys = list(keys)
+    rows = with_ordinal(df.select(*keys, axis.alias("_axis")).where("_axis IS NOT NULL"), T.DoubleType())
+    first, second = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    both = F.explode(F.array_distinct(F.array(first, second)))
+    state = settled(sizes.select(*keys, both.alias("_rank"), F.lit(0).cast("long").alias("_prefix")), "ranks")
+    inside = rows.join(localised(state.select(*keys).distinct()), keys)
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        above = shift + DIGIT
+        if above < 64:
+            prefixed = rows.withColumn("_prefix", F.shiftright("_ordinal", above))
+            ranges = state.select(*keys, "_prefix").distinct()
+            inside = prefixed.join(localised(ranges), [*keys, "_prefix"]).drop("_prefix")
+        counts = inside.groupBy(*keys, F.shiftright("_ordinal", shift).alias("_digit")).agg(
+            F.count("*").alias("_n"), F.min("_axis").alias("_value")
+        )
+        prefix = F.shiftright("_digit", DIGIT) if above < 64 else F.lit(0).cast("long")
+        counts = counts.withColumn("_prefix", prefix)
+        upto = F.sum("_n").over(Window.partitionBy(*keys, "_prefix").orderBy("_digit"))
+        wanted = state.select(*keys, "_prefix", "_rank")
+        placed = counts.withColumn("_below", upto - F.col("_n")).join(wanted, [*keys, "_prefix"])
+        rank = F.col("_rank") - F.col("_below")
+        holds = placed.where((rank >= 0) & (rank < F.col("_n")))
+        state = settled(
+            holds.select(*keys, rank.alias("_rank"), F.col("_digit").alias("_prefix"), "_value"),
+            "ranks",
+        )
     # One or two values; halves first, so that large ones don't overflow.
-    mean = F.min(middle_value) / 2 + F.max(middle_value) / 2
-    return placed.groupBy(*keys).agg(mean.alias(name), *extra)
+    mean = F.min("_value") / 2 + F.max("_value") / 2
+    return settled(state.groupBy(*keys).agg(mean.alias("_median")), "medians")
 
 
 def grouped_median(
@@ -390,25 +384,21 @@ def grouped_median(
 ) -> DataFrame:
     """Exact median of ``value`` per group, with further aggregates ``extra``.
 
-    A first count with map-side combine tells which groups exceed ``group_rows``. Those go through
-    the refinement above and never meet in one task; the others are sorted within their group.
-    Rows with a missing key are left out.
+    A first count with map-side combine tells which groups exceed ``group_rows``. Those are searched
+    digit by digit and never meet in one task; the multisets of the others fit into the buffers of
+    one aggregation. Rows with a missing key are left out.
     """
     keys = list(keys)
     known = df
     for key in keys:
         known = known.where(F.col(key).isNotNull())
     axis = axis_value(value, T.DoubleType())
-    sizes = known.groupBy(*keys).agg(
-        F.count(axis).alias("n"), F.min(axis).alias("low"), F.max(axis).alias("high")
-    )
-    heavy = sizes.where(F.col("n") > group_rows).collect()
-    if not heavy:
-        return sorted_medians(known, keys, axis, name, extra)
-    marks = heavy_medians(known, keys, value, heavy)
-    if len(heavy) <= SMALL_TABLE_ROWS:
-        marks = F.broadcast(marks)
-    settled = F.first("_median").alias(name)
-    searched = known.join(marks, keys).groupBy(*keys).agg(settled, *extra)
-    light = known.join(marks, keys, "left_anti")
-    return searched.unionByName(sorted_medians(light, keys, axis, name, extra))
+    sizes = known.groupBy(*keys).agg(F.count(axis).alias("n"))
+    large = settled(sizes.where(F.col("n") > group_rows), "large-groups")
+    if large.isEmpty():
+        return known.groupBy(*keys).agg(F.median(axis).alias(name), *extra)
+    marks = large_medians(known, keys, axis, large)
+    settled_median = F.first("_median").alias(name)
+    searched = known.join(marks, keys).groupBy(*keys).agg(settled_median, *extra)
+    small = known.join(marks, keys, "left_anti").groupBy(*keys)
+    return searched.unionByName(small.agg(F.median(axis).alias(name), *extra))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fareline.operators.order_stats import GROUP_ROWS, grouped_median
+from fareline.session import settled
 from fareline.sources.records import Results, write_csv
 
 TIMING_KEYS = ("dataset", "mode", "operation", "backend")
@@ -46,12 +47,13 @@ def operation_by_backend(
 ) -> DataFrame:
     """Median seconds with one column per backend; a combination without records stays NULL.
 
-    The pivot works on the small table of medians. A list of backends orders the columns and may
-    name some without records; it is an error if it leaves out a backend that has any.
+    The pivot works on the small table of medians, which names the backends as well. A list of
+    backends orders the columns and may name some without records; it is an error if it leaves out a
+    backend that has any.
     """
-    medians = timing_statistics(measurements, group_rows)
-    found = comparable_measurements(measurements).select("backend").distinct().orderBy("backend")
-    present = [row["backend"] for row in found.where(F.col("backend").isNotNull()).collect()]
+    medians = settled(timing_statistics(measurements, group_rows), "medians")
+    found = medians.select("backend").distinct().orderBy("backend")
+    present = [row["backend"] for row in found.collect()]
     names = present if backends is None else list(backends)
     absent = [name for name in present if name not in names]
     if absent:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fareline.functions.trips import fare_band
@@ -74,14 +75,6 @@ def fit_band(train: DataFrame, rows: int, params: Params) -> Model:
     ).fit(train)
 
 
-def fare_error(model: Model, test: DataFrame) -> float:
-    return regression_metrics(model.transform(test), "fare_amt", "predicted_fare").first()["rmse"]
-
-
-def band_score(model: Model, test: DataFrame) -> float:
-    return macro_metrics(model.transform(test), "band", "predicted_band").first()["macro_f1"]
-
-
 def labelled(df: DataFrame) -> DataFrame:
     return df.withColumn("band", fare_band(F.col("fare_amt")).cast("double"))
 
@@ -97,12 +90,12 @@ def in_threads(spark: SparkSession, run: Callable, jobs: Sequence, parallelism:
 
 @dataclass(frozen=True)
 class Task:
-    """What is tuned: how to fit, how to score, and whether a smaller score is better."""
+    """What is tuned: how to fit, and whether a smaller score is better. Errors (RMSE) are scores of
+    numbers, macro F1 is the score of bands."""
 
     name: str
     grid: Mapping[str, Sequence[float]]
     fit: Callable[[DataFrame, int, Params], Model]
-    score: Callable[[Model, DataFrame], float]
     smaller_is_better: bool
 
 
@@ -112,40 +105,92 @@ def fare_task(
     def fit(train: DataFrame, rows: int, params: Params) -> Model:
         return fit_fare(train, rows, params, rounds)
 
-    return Task("regression", grid, fit, fare_error, True)
+    return Task("regression", grid, fit, True)
 
 
 def band_task(grid: Mapping[str, Sequence[float]] = CLASSIFICATION_GRID) -> Task:
-    return Task("classification", grid, fit_band, band_score, False)
+    return Task("classification", grid, fit_band, False)
+
+
+def with_prediction(model: Model, column: str) -> Model:
+    """A copy of a fitted model that adds its prediction alone, under the given name."""
+    alone = model.copy().setPredictionCol(column)
+    for other in ("setRawPredictionCol", "setProbabilityCol"):
+        if hasattr(alone, other):
+            getattr(alone, other)("")
+    return alone
+
+
+def stacked_scores(rows: DataFrame, tasks: Sequence[Task], models: Sequence[Model]) -> list[float]:
+    """Score of every model, from one pass over the rows that predicts with all of them.
+
+    The predictions are stacked and counted: a number of a model is one row with the sum of its
+    squared errors, bands are one row for each pair of truth and prediction. So what comes back is a
+    few rows for each model, whatever the number of rows.
+    """
+    frame = rows
+    for number, model in enumerate(models):
+        frame = with_prediction(model, f"_predicted{number}").transform(frame)
+    no_band = F.lit(None).cast("double")
+
+    def entry(number: int, task: Task) -> Column:
+        predicted = F.col(f"_predicted{number}")
+        error = predicted - F.col("fare_amt")
+        number_of = F.lit(number).alias("model")
+        if task.smaller_is_better:
+            return F.struct(number_of, no_band.alias("truth"), no_band.alias("said"), (error * error).alias("square"))
+        return F.struct(number_of, F.col("band").alias("truth"), predicted.alias("said"), no_band.alias("square"))
+
+    stacked = frame.select(F.inline(F.array(*[entry(n, task) for n, task in enumerate(tasks)])))
+    counted = stacked.groupBy("model", "truth", "said").agg(
+        F.count("*").alias("n"), F.sum("square").alias("squares")
+    )
+    found: dict[int, list] = {}
+    for row in counted.collect():
+        found.setdefault(row["model"], []).append(row)
+    return [
+        math.sqrt(found[n][0]["squares"] / found[n][0]["n"]) if task.smaller_is_better else macro_f1(found[n])
+        for n, task in enumerate(tasks)
+    ]
+
+
+def macro_f1(counts: Sequence) -> float:
+    """Unweighted mean of F1 over the labels in truth or prediction, from their pair counts."""
+    labels = {row["truth"] for row in counts} | {row["said"] for row in counts}
+    scores = []
+    for label in labels:
+        hits = sum(row["n"] for row in counts if row["truth"] == row["said"] == label)
+        named = sum(row["n"] for row in counts for side in ("truth", "said") if row[side] == label)
+        scores.append(2 * hits / named)
+    return sum(scores) / len(scores)
 
 
 def fold_scores(split: Split, tasks: Sequence[Task], parallelism: int = 2) -> list[tuple]:
     """Score of every setting on every fold: (task, setting, params, fold, score).
 
     Folds run one after the other so that only one fold's vectors are cached at a time; the fits
-    of a fold are Spark jobs submitted from a few driver threads.
+    of a fold are Spark jobs submitted from a few driver threads. One job scores all settings of a
+    fold.
     """
     scores = []
+    jobs = [
+        (task, number, params)
+        for task in tasks
+        for number, params in enumerate(settings(task.grid))
+    ]
     for fold in chronological_folds(split.train, N_SPLITS):
         train = labelled(split.train.where(fold.train))
         test = labelled(split.train.where(fold.test))
         rows = train.count()
-        prepared = fit_preprocessing(train, split.features, rows)
-        with (
-            cached(prepared.transform(train, KEPT)) as fit_rows,
-            cached(prepared.transform(test, KEPT)) as score_rows,
-        ):
-            jobs = [
-                (task, number, params)
-                for task in tasks
-                for number, params in enumerate(settings(task.grid))
-            ]
-
-            def run(job: tuple, fit_rows=fit_rows, score_rows=score_rows, rows=rows) -> float:
+        prepared = fit_preprocessing(train, split.features)
+        with cached(prepared.transform(train, KEPT)) as fit_rows:
+
+            def fit(job: tuple, fit_rows=fit_rows, rows=rows) -> Model:
                 task, _, params = job
-                return task.score(task.fit(fit_rows, rows, params), score_rows)
+                return task.fit(fit_rows, rows, params)
 
-            values = in_threads(train.sparkSession, run, jobs, parallelism)
+            models = in_threads(train.sparkSession, fit, jobs, parallelism)
+        values = stacked_scores(prepared.transform(test, KEPT), [job[0] for job in jobs], models)
         scores += [
             (task.name, number, params, fold.number, value)
             for (task, number, params), value in zip(jobs, values, strict=True)
@@ -193,7 +238,7 @@ def best_setting(scores: Sequence[tuple], task: Task) -> tuple[Params, float]:
 def holdout_predictions(split: Split, task: Task, params: Params, predicted: str) -> DataFrame:
     """Fit one setting on the training side and predict the hold-out."""
     train, test = labelled(split.train), labelled(split.test)
-    prepared = fit_preprocessing(train, split.features, split.train_rows)
+    prepared = fit_preprocessing(train, split.features)
     with cached(prepared.transform(train, KEPT)) as fit_rows:
         model = task.fit(fit_rows, split.train_rows, params)
     outcome = model.transform(prepared.transform(test, KEPT))
@@ -229,7 +274,7 @@ def fit_fare_models(
     materialise(split.train.unionByName(split.test))
     read = time.perf_counter()
     train, test = labelled(split.train), labelled(split.test)
-    prepared = fit_preprocessing(train, split.features, split.train_rows)
+    prepared = fit_preprocessing(train, split.features)
     fitted = time.perf_counter()
     scores = fold_scores(split, [fare, band], parallelism)
     best_fare, best_band = best_setting(scores, fare), best_setting(scores, band)

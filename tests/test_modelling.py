@@ -20,14 +20,18 @@ from fareline.plans.modelling.metrics import (
 )
 from fareline.plans.modelling.models import (
     CLASSIFICATION_GRID,
+    KEPT,
     REGRESSION_GRID,
+    band_task,
     best_setting,
     cv_table,
     fare_task,
     fit_band,
     fit_fare_models,
+    labelled,
     model_record,
     settings,
+    stacked_scores,
     stage_comparison,
 )
 from fareline.plans.modelling.split import (
@@ -150,12 +154,11 @@ def test_too_few_rows_for_folds():
         fold_starts(3)
 
 
-@pytest.mark.parametrize("exact_rows", [0, 100])
-def test_scaling(spark, exact_rows):
+def test_scaling(spark):
     schema = "row_id bigint, a double, b double, c double"
     rows = [(0, 1.0, None, 3.0), (1, 2.0, None, 3.0), (2, 4.0, None, 3.0), (3, 10.0, None, None)]
     df = spark.createDataFrame([*rows, (4, None, None, 3.0)], schema)
-    fitted = fit_scaling(df, ["a", "b", "c"], rows=5, exact_rows=exact_rows)
+    fitted = fit_scaling(df, ["a", "b", "c"])
     filled = np.array([1, 2, 4, 10, 3.0])
     assert fitted["a"].median == 3.0
     assert fitted["a"].mean == pytest.approx(filled.mean())
@@ -193,7 +196,7 @@ def test_feature_vectors(spark):
     schema = "row_id bigint, passenger_count double, pickup_zone double, dropoff_zone double"
     train = spark.createDataFrame(rows, schema)
     features = ["passenger_count", "pickup_zone", "dropoff_zone"]
-    fitted = fit_preprocessing(train, features, 10)
+    fitted = fit_preprocessing(train, features)
     test = spark.createDataFrame(
         [(0, None, 7.0, 1.0), (1, 9.0, 8.0, 2.0), (2, 9.0, 99.0, 99.0)], schema
     )
@@ -207,7 +210,7 @@ def test_feature_vectors(spark):
 
 def test_fitting_ignores_the_validation_side(spark):
     train = zones(spark, [1.0] * 6).withColumn("trip_distance", F.lit(2.0))
-    fitted = fit_preprocessing(train, ["trip_distance", "pickup_zone"], 6)
+    fitted = fit_preprocessing(train, ["trip_distance", "pickup_zone"])
     other = zones(spark, [1.0, 500.0]).withColumn("trip_distance", F.lit(1e9))
     rows = fitted.transform(other, ["row_id"]).orderBy("row_id").collect()
     assert rows[0].features.size == 2
@@ -256,10 +259,9 @@ def test_macro_metrics_match_brute_force(spark, pairs):
     assert sum(counts.values()) == len(pairs)
 
 
-@pytest.mark.parametrize("exact_rows", [0, 100])
-def test_baselines(spark, exact_rows):
+def test_baselines(spark):
     fares = [5, 6, 12, 13, 30, 31, 7, 8, 12, 40]
-    row = baseline_scores(chronological_split(timed(spark, range(10), fares)), exact_rows).first()
+    row = baseline_scores(chronological_split(timed(spark, range(10), fares))).first()
     assert row.train_median == 10.0
     # Bands 0 and 1 ... band 0 holds 5, 6, 7, 8.
     assert (row.train_majority, row.baseline_mae, row.baseline_accuracy) == (0, 16.0, 0.0)
@@ -304,6 +306,26 @@ def test_absent_bands_do_not_break_the_fit(spark, bands):
     assert found == set(bands)
 
 
+def test_stacked_scores_equal_single_ones(spark, trips):
+    """One job scores regression and classification models; each score is that of the model alone."""
+    split = ml_frame(trips, stage="completed-trip")
+    train, test = labelled(split.train), labelled(split.test)
+    prepared = fit_preprocessing(train, split.features)
+    fit_rows, score_rows = prepared.transform(train, KEPT).cache(), prepared.transform(test, KEPT).cache()
+    fare, band = fare_task(rounds=3), band_task()
+    models = [
+        fare.fit(fit_rows, 800, {"max_depth": 2, "learning_rate": 0.1}),
+        band.fit(fit_rows, 800, {"C": 1.0}),
+        fare.fit(fit_rows, 800, {"max_depth": 3, "learning_rate": 0.3}),
+    ]
+    scores = stacked_scores(score_rows, [fare, band, fare], models)
+    for k in (0, 2):
+        alone = regression_metrics(models[k].transform(score_rows), "fare_amt", "predicted_fare")
+        assert scores[k] == pytest.approx(alone.first()["rmse"])
+    alone = macro_metrics(models[1].transform(score_rows), "band", "predicted_band")
+    assert scores[1] == pytest.approx(alone.first()["macro_f1"])
+
+
 def test_models_end_to_end(spark, trips, tmp_path):
     options = {
         "rounds": 8,

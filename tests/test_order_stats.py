@@ -8,12 +8,16 @@ from conftest import plan_of
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fareline.operators.order_stats import (
     column_medians,
     grouped_median,
     order_statistics,
+    ordinal_of,
     row_positions,
+    value_of,
+    with_ordinal,
 )
 
 
@@ -26,12 +30,6 @@ def at(spark, values, ranks, kind="double"):
     return [(found.at[rank].value, found.at[rank].below) for rank in ranks]
 
 
-@pytest.fixture(params=[0, 20_000], autouse=True, ids=["narrowing", "counting"])
-def exact_rows(request, monkeypatch):
-    """Every search once by histograms alone, and once finished by counting values."""
-    monkeypatch.setattr("fareline.operators.order_stats.EXACT_ROWS", request.param)
-
-
 SLOW = settings(
     max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
@@ -111,6 +109,30 @@ def test_column_medians(spark):
     assert column_medians(df, ["a", "b", "c"]) == {"a": 3.0, "b": 9.0, "c": None}
 
 
+@SLOW
+@given(st.lists(st.floats(allow_nan=False, width=64), min_size=1, max_size=80))
+def test_ordinals_are_the_bits_in_order(spark, values):
+    edges = [0.0, -0.0, math.inf, -math.inf, 5e-324, -5e-324, 2.0**-1022, 2.0**-1023, 1.7976931348623157e308]
+    edges += [2.0**k for k in range(-1074, 1024, 97)] + [math.nextafter(2.0**k, 0) for k in (-1022, 0, 1, 52, 1023)]
+    rows = with_ordinal(frame(spark, values + edges).withColumnRenamed("v", "_axis"), T.DoubleType())
+    for row in rows.collect():
+        assert row._ordinal == ordinal_of(row._axis, T.DoubleType())
+        assert value_of(row._ordinal, T.DoubleType()) == row._axis
+
+
+def test_medians_of_groups_have_no_sort_and_no_window(spark, tmp_path):
+    path = str(tmp_path / "groups")
+    rows = spark.range(4000).selectExpr("id % 3 AS k", "cast(id * 7 % 1000 AS double) / 3 AS v")
+    rows.write.parquet(path)
+    stored = spark.read.parquet(path)
+    expected = sorted(map(tuple, rows.groupBy("k").agg(F.median("v")).collect()))
+    for group_rows in (100, 10_000):
+        result = grouped_median(stored, ["k"], "v", group_rows=group_rows)
+        plan = plan_of(result)
+        assert "Window" not in plan and "Sort " not in plan
+        assert sorted(map(tuple, result.collect())) == [pytest.approx(r) for r in expected]
+
+
 @pytest.mark.parametrize("group_rows", [0, 50, 10**9])
 def test_grouped_median(spark, group_rows):
     rng = random.Random(3)
@@ -139,7 +161,6 @@ def test_small_groups_need_one_shuffle(spark, tmp_path):
 def test_passes_do_not_depend_on_the_distribution(spark, monkeypatch, shape):
     from fareline.operators import order_stats
 
-    monkeypatch.setattr(order_stats, "EXACT_ROWS", 20_000)
     draw = F.rand(7) * (1 - 1e-9) + 1e-12
     value = {
         "pareto": F.pow(draw, -5.0),
@@ -156,7 +177,7 @@ def test_passes_do_not_depend_on_the_distribution(spark, monkeypatch, shape):
     found = order_stats.order_statistics(rows, "x", lambda n: [n // 2, n * 9 // 10])
     ordered = sorted(r.x for r in rows.collect())
     assert [found.at[k].value for k in (150_000, 270_000)] == [ordered[150_000], ordered[270_000]]
-    assert len(calls) <= 5
+    assert len(calls) <= 4
 
 
 @pytest.mark.parametrize("group_rows", [0, 100])
