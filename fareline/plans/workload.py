@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fareline.operators import workload as w
-from fareline.session import cached, localised
+from fareline.session import cached, settled
+from fareline.sources.trips import COORDINATES
 
 # The input modes of the workload.
 MODES = ("standard", "filtered", "filtered_cached")
@@ -43,24 +45,78 @@ def run_workload(df: DataFrame, names: Iterable[str] = w.OPERATIONS) -> dict[str
     return {name: w.operation(df, name, lookup) for name in runnable}
 
 
-def scalar_digest(df: DataFrame) -> DataFrame:
-    """All one-number and row-wise operations fused into a single pass over the input.
+#: Values that the measures of one number are made of, and the measures made of each.
+VALUES = {
+    "fare": lambda: F.col("fare_amt"),
+    "total": w.fare_plus_tip,
+    "product": w.fare_times_tip,
+    "angle": w.angular_value,
+}
+MEANS = {
+    "mean": "fare",
+    "mean_sum": "total",
+    "sum_columns": "total",
+    "mean_product": "product",
+    "product_columns": "product",
+    "mean_complex": "angle",
+    "complex": "angle",
+}
+
+
+def fused_pass(df: DataFrame) -> DataFrame:
+    """Everything the workload needs of its input but the rows of the join, from one scan.
+
+    Grouping sets give a row for each passenger count, with sums, counts and spreads, and a row for
+    each fare. Whole-table measures are merged from the rows of the passenger counts, so they need
+    no set of their own.
+    """
+    lacking = w.unavailable_reason(df.columns, "complex")
+    values = {name: make() for name, make in VALUES.items() if not (lacking and name == "angle")}
+    sums = [F.count(v).alias(f"{name}_n") for name, v in values.items()]
+    sums += [F.sum(v).alias(f"{name}_sum") for name, v in values.items()]
+    keys = ("passenger_count", "fare_amt")
+    grouped = df.groupingSets([[F.col(key)] for key in keys], *keys)
+    return grouped.agg(
+        F.grouping("passenger_count").alias("of_fare"),
+        F.count("*").alias("rows"),
+        F.count("row_id").alias("ids"),
+        *sums,
+        *w.spread("fare_amt"),
+        *w.spread("tip_amt"),
+    )
+
+
+def scalar_digest(groups: DataFrame, columns: list[str]) -> DataFrame:
+    """The one-number and row-wise operations, merged from the rows of the passenger counts.
 
     A row-wise operation is represented by its row count and the mean of its values.
     """
-    available = [n for n in w.OPERATIONS if w.unavailable_reason(df.columns, n) is None]
-    chosen = {n: w.SCALAR_MEASURES[n]() for n in available if n in w.SCALAR_MEASURES}
-    chosen |= {n: F.avg(w.ROW_MEASURES[n]()) for n in available if n in w.ROW_MEASURES}
-    one = [measure.cast("double").alias(name) for name, measure in chosen.items()]
-    totals = df.agg(F.count("*").alias("_rows"), *one)
+    merged = {name: F.sum(name).alias(name) for name in groups.columns if name.endswith(("_n", "_sum"))}
+    totals = groups.agg(F.sum("rows").alias("rows"), F.sum("ids").alias("ids"), *merged.values())
+    known = totals.select("fare_n", "fare_sum").first()
+    # Squared distances from the mean of all: those within the groups, and those of their means.
+    mean = F.lit(known["fare_sum"] / known["fare_n"] if known["fare_n"] else None).cast("double")
+    inside = F.coalesce(F.pow("fare_amt_std", 2) * (F.col("fare_n") - 1), F.lit(0.0))
+    between = F.col("fare_n") * F.pow(F.col("fare_amt_mean") - mean, 2)
+    squares = F.sum(F.when(F.col("fare_n") > 0, inside + between)).alias("squares")
+    totals = groups.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"),
+        squares,
+        *merged.values(),
+    )
+    value = {name: F.try_divide(F.col(f"{of}_sum"), F.col(f"{of}_n")) for name, of in MEANS.items()}
+    value |= {"count": F.col("rows"), "count_index": F.col("ids")}
+    value["std"] = F.when(F.col("fare_n") > 1, F.sqrt(F.col("squares") / (F.col("fare_n") - 1)))
     one_row = F.lit(1).cast("bigint")
     entries = [
         F.struct(
             F.lit(name).alias("operation"),
-            (one_row if name in w.SCALAR_MEASURES else F.col("_rows")).alias("rows"),
-            F.col(name).alias("value"),
+            (F.col("rows") if name in w.ROW_MEASURES else one_row).alias("rows"),
+            value[name].cast("double").alias("value"),
         )
-        for name in chosen
+        for name in w.OPERATIONS
+        if name in value and w.unavailable_reason(columns, name) is None
     ]
     return totals.select(F.inline(F.array(*entries)))
 
@@ -74,11 +130,19 @@ def table_digest(result: DataFrame, name: str, value: str) -> DataFrame:
 
 
 def workload_digest(df: DataFrame, mode: str) -> DataFrame:
-    """Every available operation of a mode as one row: operation, result rows, mean result value."""
-    lookup = localised(w.lookup_dimension(df))
+    """Every available operation of a mode as one row: operation, result rows, mean result value.
+
+    The input is read once for all groups and sums, and once more for the row numbers that the
+    lookup's keys can match, which prune its row groups.
+    """
+    table = settled(fused_pass(df), "workload")
+    groups = table.where("of_fare = 0").drop("fare_amt")
+    fares = table.where("of_fare = 1 AND fare_amt IS NOT NULL")
+    measures = [f"{name}_{kind}" for name in ("fare_amt", "tip_amt") for kind in ("mean", "std")]
+    lookup = groups.where("passenger_count IS NOT NULL").select("passenger_count", *measures)
     parts = [
-        scalar_digest(df),
-        table_digest(w.fare_value_counts(df), "value_counts", "n"),
+        scalar_digest(groups, df.columns),
+        table_digest(fares, "value_counts", "rows"),
         table_digest(lookup, "groupby", "fare_amt_mean"),
     ]
     joined = w.row_id_join(df.select("row_id"), lookup).agg(
@@ -100,10 +164,17 @@ def workload_digest(df: DataFrame, mode: str) -> DataFrame:
 
 
 def workload_results(df: DataFrame, mode: str) -> DataFrame:
-    """Digest of a mode, computed. For the cached mode the cache is released before returning."""
-    with mode_input(df, mode) as frame:
-        if mode != "filtered_cached":
+    """Digest of a mode, computed. The cached mode holds the columns that its operations read; the
+    pass over all groups fills the cache, which is released before returning."""
+    if mode != "filtered_cached":
+        with mode_input(df, mode) as frame:
             return workload_digest(frame, mode)
+    read = ["row_id", "fare_amt", "tip_amt", "passenger_count"]
+    read += [name for name in COORDINATES if name in df.columns]
+    kept = w.filter_tips(df).select(*read).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
         # At most one row per operation comes back.
-        rows = workload_digest(frame, mode).collect()
+        rows = workload_digest(kept, mode).collect()
+    finally:
+        kept.unpersist()
     return df.sparkSession.createDataFrame(rows, DIGEST_SCHEMA)

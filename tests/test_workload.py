@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,13 @@ from fareline.operators.workload import (
     row_id_join,
 )
 from fareline.plans.pandas_surface import indexed, pandas_lookup, pandas_operation
-from fareline.plans.workload import MODES, mode_input, run_workload, workload_results
+from fareline.plans.workload import (
+    MODES,
+    fused_pass,
+    mode_input,
+    run_workload,
+    workload_results,
+)
 from fareline.session import cached, localised
 from fareline.sources.synthetic import synthetic_trips
 
@@ -235,3 +242,35 @@ def test_pandas_surface_matches(trips, local):
     grouped = pandas_operation(frame, "groupby").to_pandas().sort_index()
     assert list(grouped.columns) == STATS
     assert isinstance(grouped, pd.DataFrame) and len(grouped) == 6
+
+
+def test_a_mode_reads_its_input_once_and_the_join_rows(spark, tmp_path):
+    path = str(tmp_path / "trips")
+    synthetic_trips(spark, 300).write.parquet(path)
+    stored = spark.read.parquet(path)
+    plan = plan_of(fused_pass(filter_tips(stored)))
+    assert plan.count("FileScan parquet") == 1 and "GreaterThanOrEqual(tip_amt,1.0)" in plan
+    rest = plan_of(workload_results(stored, "filtered"))
+    assert rest.count("FileScan parquet") == 1
+    assert re.search(r"row_id#\d+L >= 1\)", rest) and re.search(r"row_id#\d+L <= 6\)", rest)
+
+
+def test_fused_measures_equal_the_single_operations(spark):
+    """Missing values, equal fares, and a mean far from 0 for the spread."""
+    rows = [(i, 1e6 + i % 7 if i % 5 else None, 1.0 + i % 3, None if i % 11 == 0 else float(i % 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id bigint, fare_amt double, tip_amt double, passenger_count double")
+    found = {r.operation: (r.rows, r.value) for r in workload_results(df, "standard").collect()}
+    assert set(found) == set(OPERATIONS) - {"complex", "mean_complex"}
+    for name in ("count", "count_index", "mean", "std", "mean_sum", "mean_product", "join_count"):
+        assert found[name][1] == pytest.approx(operation(df, name).first()["value"], rel=1e-12), name
+    for name in ("sum_columns", "product_columns"):
+        row = operation(df, name).agg(F.count("*"), F.avg("value")).first()
+        assert found[name] == (row[0], pytest.approx(row[1])), name
+    counts = operation(df, "value_counts").agg(F.count("*"), F.avg("n")).first()
+    assert found["value_counts"] == tuple(counts)
+
+
+def test_an_empty_input_has_a_digest(spark):
+    df = spark.createDataFrame([], "row_id bigint, fare_amt double, tip_amt double, passenger_count double")
+    found = {r.operation: (r.rows, r.value) for r in workload_results(df, "standard").collect()}
+    assert found["count"] == (1, 0.0) and found["mean"] == (1, None) and found["value_counts"] == (0, None)
