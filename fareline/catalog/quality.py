@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fareline.catalog.registry import Query, rounded
 from fareline.catalog.views import TRIPS_SQL, table, trips
-from fareline.operators.compare import tolerant_diff
+from fareline.operators.compare import tolerant_diff, tolerant_diff_of_unique
 from fareline.operators.profile import file_fingerprint
 
 TABLES = (
@@ -54,7 +54,7 @@ def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return file_fingerprint(spark, *paths).select("file", "bytes", "sha256")
 
 
-def special(spark: SparkSession, folder: str) -> DataFrame:
+def special(spark: SparkSession, folder: str, compare=tolerant_diff) -> DataFrame:
     """Events against a copy, with infinities, NaN and missing values on either side by number."""
     number = F.col("event_id")
     values = {0: "inf", 1: "-inf", 2: "nan"}
@@ -68,9 +68,7 @@ def special(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events")
     sides = [events.select("event_id", damaged(shift)) for shift in (0, 1)]
     same = [side.where(number % 2 == 0).withColumn("event_id", -number - 1) for side in sides[:1] * 2]
-    found = tolerant_diff(
-        sides[0].unionByName(same[0]), sides[1].unionByName(same[1]), ["event_id"]
-    )
+    found = compare(sides[0].unionByName(same[0]), sides[1].unionByName(same[1]), ["event_id"])
     # Infinite values are named, as engines write them in their own way.
     named = [
         F.when(F.abs(name) == float("inf"), F.when(F.col(name) > 0, "+").otherwise("-"))
@@ -81,6 +79,11 @@ def special(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("event_id", "column", "reason", *named)
 
 
+def special_by_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, where only buckets of keys whose checksums differ are compared."""
+    return special(spark, folder, tolerant_diff_of_unique)
+
+
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
@@ -134,6 +137,7 @@ UNION ALL SELECT row_id, NULL, reason, NULL, NULL FROM whole_rows WHERE reason I
 QUERIES = {
     "tolerant_diff": Query(diff, DIFF_SQL),
     "tolerant_diff_special": Query(special, SPECIAL_SQL),
+    "tolerant_diff_buckets": Query(special_by_buckets, SPECIAL_SQL),
     "document_digests": Query(digests, "SELECT doc_id, sha256(text) AS sha256 FROM documents"),
     "file_fingerprint": Query(fingerprints),
 }

@@ -4,7 +4,7 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
-from fareline.operators.compare import assert_matches, tolerant_diff
+from fareline.operators.compare import assert_matches, tolerant_diff, tolerant_diff_of_unique
 from fareline.sources.synthetic import synthetic_trips
 
 SCHEMA = "id bigint, v double"
@@ -98,3 +98,32 @@ def test_hot_key_stays_one_row_and_one_shuffle(spark):
 def test_infinities_are_close_to_themselves_only(spark, actual, expected, same):
     sides = [spark.createDataFrame([(1, value)], "k int, v double") for value in (actual, expected)]
     assert tolerant_diff(*sides, ["k"]).isEmpty() is same
+
+
+def test_equal_tables_move_only_checksums(spark, tmp_path):
+    rows = spark.range(5000).selectExpr("id AS k", "id / 7 AS v", "cast(id % 9 AS string) AS t")
+    rows.write.parquet(str(tmp_path / "a"))
+    rows.repartition(5).write.parquet(str(tmp_path / "b"))
+    sides = [spark.read.parquet(str(tmp_path / name)) for name in "ab"]
+    found = tolerant_diff_of_unique(*sides, ["k"])
+    assert "FileScan" not in plan_of(found) and found.collect() == []
+
+
+def test_differences_of_unique_keys_are_the_same(spark):
+    """Values beyond and within the tolerance, missing rows, missing values, both zeros, NaN."""
+    def value(k, shift):
+        special = {0: math.nan, 1: None, 2: 0.0 if shift else -0.0, 3: math.inf}
+        return special.get(k % 11, k / 3 * (1 + shift * (1e-3 if k % 50 == 4 else 1e-9)))
+
+    sides = [
+        spark.createDataFrame(
+            [(k, value(k, shift), f"t{k + shift * (k % 97 == 5)}") for k in range(3000) if k % 101 != 7 + shift],
+            "k long, v double, t string",
+        )
+        for shift in (0, 1)
+    ]
+    whole = sorted(map(tuple, tolerant_diff(*sides, ["k"]).collect()), key=str)
+    assert whole and whole == sorted(map(tuple, tolerant_diff_of_unique(*sides, ["k"]).collect()), key=str)
+    empty = sides[0].limit(0)
+    assert tolerant_diff_of_unique(sides[0], empty, ["k"]).count() == sides[0].count()
+    assert tolerant_diff_of_unique(empty, empty, ["k"]).count() == 0
