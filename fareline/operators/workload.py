@@ -16,6 +16,7 @@ from fareline.sources.trips import has_coordinates
 # The inclusive tip range of the filtered modes.
 TIP_RANGE = (1.0, 5.0)
 
+# Fixed value: why an operation is skipped.
 NO_COORDINATES = "source lacks coordinates"
 
 

@@ -40,8 +40,34 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[spark.sparkContext.applicationId]
 
 
+#: Paths named since each open ``scratch`` block began, the innermost last.
+_scratch: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/fareline-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/fareline-{label}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`new_path` named."""
+    if not path.startswith(f"{shared_folder(spark)}/fareline-"):
+        raise ValueError(f"not a table of this session: {path}")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within the block are deleted at its end. No later job may need them."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            remove(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Physical plans and the places where state may live."""
 
+import os
 from types import SimpleNamespace
+from urllib.parse import unquote
 
 import pytest
 from conftest import plan_of
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from fareline.operators.sampling import priority_sample
 from fareline.plans.modelling.features import encoded_zones, fit_zone
 from fareline.plans.modelling.split import chronological_split, expanding_folds
-from fareline.session import settled, shared_folder, written
+from fareline.session import remove, scratch, settled, shared_folder, written
 from fareline.sources.synthetic import synthetic_trips
 
 
@@ -68,6 +70,18 @@ def test_written_tables_are_read_back_from_the_shared_folder(spark):
     assert all(shared_folder(spark) in name for name in table.inputFiles())
 
 
+def test_scratch_tables_are_deleted(spark):
+    kept = written(spark.range(3), "kept")
+    with scratch(spark):
+        inner = written(spark.range(4), "inner")
+        files = inner.inputFiles()
+        assert inner.count() == 4
+    assert kept.count() == 3
+    assert not any(os.path.exists(unquote(f.removeprefix("file://"))) for f in files)
+    with pytest.raises(ValueError, match="not a table"):
+        remove(spark, "/etc")
+
+
 def test_a_cluster_needs_a_shared_folder():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
     conf = SimpleNamespace(get=lambda name, default: default)
