@@ -47,11 +47,10 @@ from fareline.session import written
 U64 = np.uint64
 #: Frequent words of the model and rows of its weight table, at least; both grow with the root of
 #: the training bytes, about as vocabularies do. Its classes.
-LISTED = 65_536
+LISTED, ROWS = 65_536, 1 << 12
 CLASSES = 32
 #: So many of the most frequent words are classes of their own.
 SINGLE = 14
-ROWS = 1 << 14
 FEATURES = 4
 ROUNDS = 3
 BATCH = 8_192
@@ -133,11 +132,11 @@ def classes_of(counts: np.ndarray) -> np.ndarray:
 
 def table_rows(size_bytes: int) -> int:
     """Rows of the weight table for so many bytes of training text: a power of two."""
-    return max(ROWS, 1 << math.ceil(math.log2(math.sqrt(max(size_bytes, 1)))))
+    return 1 << math.ceil(math.log2(math.sqrt(max(size_bytes, 4 * ROWS**2)) / 2))
 
 
 def list_size(size_bytes: int) -> int:
-    """Words of the list: four for each row of a table beyond the least."""
+    """Words of the list: four for each row of the table."""
     return max(LISTED, 4 * table_rows(size_bytes))
 
 
@@ -231,11 +230,17 @@ def listed_words(train: DataFrame, limit: int = LISTED) -> tuple[Words, int]:
     return Words(hashes, counts, classes_of(counts)), max(0, total - int(counts.sum()))
 
 
+def training_tasks(size_bytes: int, rows: int, rounds: int = ROUNDS) -> int:
+    """Tasks of a round. Each sends a change of the whole table, of two bytes a weight, so with so
+    many tasks the changes of all rounds together are about half as large as the texts."""
+    return max(8, size_bytes // (rounds * rows * 4 * CLASSES))
+
+
 def train_round(
-    texts: DataFrame, words: Words, weights: np.ndarray, bias: np.ndarray
+    texts: DataFrame, words: Words, weights: np.ndarray, bias: np.ndarray, tasks: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights after a round, exact counts of the listed words in its texts, tokens by class."""
-    slices = 16
+    slices, salts = 16, max(1, round(math.sqrt(tasks)))
     height = len(weights) // slices
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,51 +254,66 @@ def train_round(
             target = np.where(number >= 0, words.classes[number], 0)
             rows = feature_rows(tokens, bounds, len(weights))
             train_on(rows, target, own, bias, seen, steps)
-        salt = TaskContext.get().partitionId() % 32
-        kinds, values = [], []
+        salt = TaskContext.get().partitionId() % salts
+        kinds, uses, values = [], [], []
         for k in range(slices):
             rows = slice(k * height, (k + 1) * height)
             kinds.append(k)
-            change = ((own[rows] - weights[rows]) * seen[rows, None]).astype(np.float32)
-            values.append(np.concatenate([change, seen[rows, None]], axis=1, dtype=np.float32).tobytes())
+            uses.append(seen[rows].astype(np.float32).tobytes())
+            values.append((own[rows] - weights[rows]).astype(np.float16).tobytes())
         kinds.append(slices)
+        uses.append(b"")
         values.append(counts.tobytes())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(kinds, pa.int64()),
                 pa.array([salt] * len(kinds), pa.int64()),
+                pa.array(uses, pa.binary()),
                 pa.array(values, pa.binary()),
             ],
-            ["slice", "salt", "sums"],
+            ["slice", "salt", "uses", "sums"],
         )
 
-    def add(table: pa.Table) -> pa.Table:
-        kind = np.int64 if table.column("slice")[0].as_py() == slices else np.float32
-        total = None
-        for x in table.column("sums"):
-            value = np.frombuffer(x.as_buffer(), kind)
+    def add(table: pa.Table, kind: type) -> pa.Table:
+        """Sums of changes, those of ``kind`` float16 weighted by the uses of their rows."""
+        counted = table.column("slice")[0].as_py() == slices
+        total, used = None, np.zeros(0 if counted else height, np.float32)
+        for use, x in zip(table.column("uses"), table.column("sums"), strict=True):
+            if counted:
+                value = np.frombuffer(x.as_buffer(), np.int64)
+            else:
+                own = np.frombuffer(use.as_buffer(), np.float32)
+                value = np.frombuffer(x.as_buffer(), kind).reshape(height, CLASSES)
+                value = value * own[:, None] if kind is np.float16 else value
+                used += own
             total = value.copy() if total is None else total + value
         return pa.table(
             {
                 "slice": table.column("slice").slice(0, 1),
                 "salt": pa.array([0], pa.int64()),
+                "uses": pa.array([used.tobytes()], pa.binary()),
                 "sums": pa.array([total.tobytes()], pa.binary()),
             }
         )
 
-    schema = "slice long, salt long, sums binary"
-    changes = in_batches(texts.select("text")).mapInArrow(lean(learn), schema)
+    schema = "slice long, salt long, uses binary, sums binary"
+    changes = in_batches(texts.select("text").coalesce(tasks)).mapInArrow(lean(learn), schema)
     # Sums meet in two levels, so no task holds the changes of all others.
-    summed = changes.groupBy("slice", "salt").applyInArrow(lean_group(add), schema)
-    rows = summed.groupBy("slice").applyInArrow(lean_group(add), schema).collect()
+    summed = changes.groupBy("slice", "salt").applyInArrow(
+        lean_group(lambda table: add(table, np.float16)), schema
+    )
+    rows = summed.groupBy("slice").applyInArrow(
+        lean_group(lambda table: add(table, np.float32)), schema
+    )
+    rows = rows.collect()
     new, counts = weights.copy(), np.zeros(len(words.hashes) + 1, dtype=np.int64)
     for row in rows:
         if row["slice"] == slices:
             counts = np.frombuffer(row["sums"], np.int64)
             continue
-        value = np.frombuffer(row["sums"], np.float32).reshape(height, CLASSES + 1)
-        used = np.maximum(value[:, -1:], 1.0)
-        new[row["slice"] * height : (row["slice"] + 1) * height] += value[:, :-1] / used
+        value = np.frombuffer(row["sums"], np.float32).reshape(height, CLASSES)
+        used = np.maximum(np.frombuffer(row["uses"], np.float32), 1.0)[:, None]
+        new[row["slice"] * height : (row["slice"] + 1) * height] += value / used
     return new, counts[1:], counts[:1]
 
 
@@ -320,8 +340,10 @@ def train(train_texts: DataFrame, size_bytes: int, rounds: int = ROUNDS) -> Mode
     exact, other = np.zeros(len(words.hashes), dtype=np.int64), 0
     bias = class_bias(words, others)
     turn = F.pmod(F.xxhash64("id"), F.lit(rounds))
+    tasks = training_tasks(size_bytes, len(weights), rounds)
     for k in range(rounds):
-        weights, counts, rest = train_round(train_texts.where(turn == k), words, weights, bias)
+        texts = train_texts.where(turn == k)
+        weights, counts, rest = train_round(texts, words, weights, bias, tasks)
         exact, other = exact + counts, other + int(rest[0])
     # The classes stay; within them the exact counts of all training texts decide.
     words = Words(words.hashes, np.maximum(exact, 1), words.classes)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from fareline.llm import jaccard_join
@@ -85,3 +86,41 @@ def test_stage_keeps_different_texts_of_one_id(spark):
     kept = sorted((tuple(r) for r in jaccard_join.stage(spark, docs, "").collect()), key=str)
     wanted = [(1, a), (1, b), (2, e), (None, c), (None, d), (5, ""), (5, None), (5, "")]
     assert kept == sorted(wanted, key=str)
+
+
+def test_clashing_columns(spark):
+    """Other columns have the names that the join itself uses."""
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(k, text if k < 3 else f"{k} only", "x", 1, 2, "y", 3) for k in range(6)]
+    names = "doc_id long, text string, id string, n int, c int, row string, s int"
+    found = jaccard_join.similar(spark.createDataFrame(rows, names)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 4), (5, 5)]
+
+
+def packed_sizes(texts, groups):
+    """Bytes of the rows that a task sends, by the number of parts, and of its owners' classes."""
+    hasher, packer = jaccard_join.Hasher(), jaccard_join.Owned(groups)
+    rows, names = 0, 0
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    for lo in range(0, len(texts), 50):
+        part = offsets[lo : lo + 51]
+        block = data[part[0] : part[-1]]
+        sets = {jaccard_join.class_id(g): g for g in jaccard_join.sets_of(block, part - part[0], hasher, 4)}
+        grams = np.concatenate(list(sets.values()))
+        owners = np.repeat(np.arange(len(sets)), [len(g) for g in sets.values()])
+        packer.add(grams, owners, np.array(list(sets), np.int64))
+    batch = packer.rows(0)
+    for row in batch.to_pylist():
+        if row["part"] < 0:
+            names += len(row["owners"])
+        else:
+            rows += sum(len(row[n]) for n in ("owners", "grams", "high", "low"))
+    return rows, names
+
+
+def test_packed_bytes_do_not_depend_on_the_parts():
+    draw = random.Random(4)
+    texts = [" ".join(str(draw.random()) for _ in range(200)) + " " for _ in range(400)]
+    few, many = packed_sizes(texts, 7), packed_sizes(texts, 1_875)
+    assert few == many and few[0] == 13 * 400 * 197 and few[1] == 8 * 400

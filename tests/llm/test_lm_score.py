@@ -97,7 +97,11 @@ def test_score_as_brute_force(spark, monkeypatch):
 def test_the_model_grows_with_its_input():
     sizes = [10**6, 10**9, 3 * 10**10, 10**14]
     rows, words = [[f(n) for n in sizes] for f in (lm_score.table_rows, lm_score.list_size)]
-    assert rows == [2**14, 2**15, 2**18, 2**24] and words[-1] == 2**26 and words[0] == lm_score.LISTED
+    assert rows == [2**12, 2**14, 2**17, 2**23] and words[-1] == 2**25 and words[0] == lm_score.LISTED
+    # The changes of a round, two bytes a weight for each task, never outgrow the texts.
+    for n, table in zip(sizes[1:], rows[1:], strict=True):
+        tasks = lm_score.training_tasks(n, table)
+        assert 8 < tasks and lm_score.ROUNDS * tasks * table * 2 * lm_score.CLASSES <= n
 
 
 def test_class_probabilities_sum_to_one():

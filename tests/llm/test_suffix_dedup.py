@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from fareline.llm import suffix_dedup
@@ -117,3 +118,24 @@ def test_a_hot_passage_is_split(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "bucket_search", bounded_buckets)
     found = suffix_dedup.dedup(table)
     assert sorted((tuple(r) for r in found.collect()), key=str) == brute(docs)
+
+
+def test_packed_bytes_go_with_the_stretches():
+    """However many parts: 18 bytes a stretch, and at most 20 for its document, named once a row."""
+    draw = np.random.default_rng(1)
+    sizes = []
+    for groups in (7, 1_875):
+        packer = suffix_dedup.Packer(groups + 1)
+        for _ in range(10):
+            n, docs = 20_000, 300
+            row = np.sort(draw.integers(0, docs, n))
+            columns = [
+                draw.integers(0, 1 << 32, n, np.uint32), draw.integers(0, 1 << 63, n, np.uint64),
+                draw.integers(0, 1 << 20, n, np.uint32), np.ones(n, np.uint8), np.ones(n, np.uint8),
+            ]
+            ids = draw.integers(0, 1 << 40, docs)
+            packer.add(draw.integers(0, groups, n).astype(np.int32), ids, ids, row, columns)
+        rows = list(packer.rows())
+        assert len(rows) == groups
+        sizes.append(sum(len(x) for row in rows for x in row[1:]))
+    assert sizes[0] >= 20 * 200_000 and sizes[1] <= 36 * 200_000

@@ -1,7 +1,13 @@
 import math
+import random
 import re
+import time
+from collections import Counter
 
-from fareline.llm import url_filter
+import pytest
+import regex
+
+from fareline.llm import joins, url_filter
 
 
 def split_url(url):
@@ -49,6 +55,84 @@ def test_method_blocks_seeded_hosts(spark):
     assert other.where("verdict = 'block'").count() <= 0.05 * other.count()
 
 
+def brute_odds(pages):
+    """Log odds of each pair of host and path by the method, in plain Python."""
+    names = lambda text: [w for w in re.split("[^a-z]+", text) if w]
+    small = lambda text: re.sub("[A-Z]", lambda m: m.group().lower(), text)
+    pairs = Counter(split_url(url) for url, _ in pages)
+    counts = Counter(url_filter.SEEDS)
+    for _, source in pages:
+        title = re.search("(?is)<title[^>]*>([^<]*)", source or "")
+        counts.update(names(title.group(1).lower()) if title else [])
+    for host, path in pairs:
+        counts.update(names(" ".join(x for x in host.split(".") if "-" in x)) + names(small(path)))
+    counts = {w: n for w, n in counts.items() if len(w) <= url_filter.LONGEST_WORD}
+    total = sum(counts.values())
+    costs = {w: math.log(total / n) for w, n in counts.items()}
+
+    def tokens_of(host, path):
+        labels = host.split(".")
+        upper = ".".join(labels[: max(len(labels) - 1, 1)])
+        split = [w for name in names(upper) for w in url_filter.viterbi(name, costs, math.log(total))]
+        parts = [w for w in regex.split(r"[^\p{L}#]+", re.sub("[0-9]+", "#", small(path))) if w]
+        return [f"h:{w}" for w in split] + [f"p:{w}" for w in parts]
+
+    sums, mass = {"block": Counter(), "allow": Counter()}, Counter()
+    tokens = {pair: tokens_of(*pair) for pair in pairs}
+    for pair, n in pairs.items():
+        rule, verdict = rule_of(*pair)
+        seeded = any(t.removeprefix("h:") in url_filter.SEEDS for t in tokens[pair] if t[0] == "h")
+        label = "block" if seeded else verdict or "allow"
+        share = n if seeded or verdict else n * url_filter.PRESUMED
+        mass[label] += share
+        host, path = (rule[: rule.index("/")], rule[rule.index("/") :]) if rule else ("", "")
+        told = {f"h:{w}" for w in names(host)} | {
+            f"p:{w}" for w in regex.split(r"[^\p{L}#]+", re.sub("[0-9]+", "#", path)) if w
+        }
+        for token in tokens[pair]:
+            if token not in told:
+                sums[label][token] += share
+                sums["allow" if label == "block" else "block"][token] += 0
+    known = set(sums["block"]) | set(sums["allow"])
+    b, a, n = sum(sums["block"].values()), sum(sums["allow"].values()), len(known)
+    odds = {
+        t: math.log((sums["block"][t] + 1) / (b + n + 1)) - math.log((sums["allow"][t] + 1) / (a + n + 1))
+        for t in known
+    }
+    prior = math.log((mass["block"] + 1) / (mass["allow"] + 1))
+    return {pair: prior + sum(odds.get(t, 0.0) for t in tokens[pair]) for pair in pairs}
+
+
+def test_odds_as_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    wanted = brute_odds([(r.url, r.html) for r in pages.collect()])
+    for row in url_filter.judge(pages).collect():
+        odds = wanted[row.host, row.path]
+        assert row.odds == pytest.approx(odds, abs=1e-6), (row.host, row.path)
+        if row["rule"] is None and abs(odds) > 1e-6:
+            assert row.verdict == ("block" if odds > 0 else "allow")
+
+
+def test_hot_and_clashing_columns(spark, monkeypatch):
+    """One host and one url hold most rows; other columns have the names that the method uses."""
+    monkeypatch.setattr(joins.looked_up, "__defaults__", (3,))
+    rows = [(k, "http://casino-win.net/play" if k % 3 else f"http://h{k % 4}.net/{k}", None, "x", "y") for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, token string")
+    found = url_filter.judge(pages).collect()
+    assert len(found) == 60 and {r.verdict for r in found if r.host.startswith("casino")} == {"block"}
+
+
+def test_very_long_host_in_little_time(spark):
+    draw = random.Random(3)
+    name = "".join(draw.choices("abcdefghij", k=1_000_000))
+    rows = [(1, f"http://{name}.net/a", "<title>abc hij</title>"), (2, "http://casino.net/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    started = time.perf_counter()
+    found = {r.page_id: (len(r.host), r.verdict) for r in url_filter.judge(pages).collect()}
+    assert found == {1: (1_000_004, "allow"), 2: (10, "block")}
+    assert time.perf_counter() - started < 120
+
+
 def test_viterbi():
     costs = {w: math.log(100 / n) for w, n in {"casino": 5, "win": 9, "in": 30, "cas": 1}.items()}
     assert url_filter.viterbi("casinowin", costs, math.log(100)) == ["casino", "win"]
