@@ -1,7 +1,8 @@
 """A training corpus from raw documents: rules, near copies, benchmark texts, personal data, tokens.
 
 ``run`` applies the stages in order. Each stage reads what the one before it wrote to the shared
-folder, so a lost executor costs a re-read.
+folder, so a lost executor costs a re-read. Once a stage is written, its own tables and its input
+are deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fareline.llm import bpe, decontaminate, jaccard_join, pii, quality_rules
-from fareline.session import written
+from fareline.session import new_path, remove, scratch
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
@@ -25,7 +26,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded documents that passed all stages: id, token count and digests."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.schema(kept.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
