@@ -130,17 +130,18 @@ def pieces_of(names: DataFrame) -> DataFrame:
                         for k in range(lo, min(lo + STRETCH, len(name)))
                         for size in range(1, LONGEST_WORD + 1)
                     }
-                    words = pa.array(sorted(found), pa.string())
-                    same = pa.repeat(pa.scalar(key, pa.string()), len(words))
+                    words = pa.array(list(found), pa.string())
+                    same = pa.repeat(pa.scalar(key, pa.int64()), len(words))
                     yield pa.RecordBatch.from_arrays([same, words], ["key", "word"])
 
-    return names.select("key", "name").mapInArrow(cut, "key string, word string")
+    return names.select("key", "name").mapInArrow(cut, "key long, word string")
 
 
 def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
     """``name`` and ``words`` of each distinct name; each gets the counts of its own substrings."""
     total = words.agg(F.sum("n")).first()[0] or 1
-    keyed = names.select(F.sha2("name", 256).alias("key"), "name")
+    # Names of one hash would only be told of each other's words, which they don't hold.
+    keyed = names.select(F.xxhash64("name").alias("key"), "name")
     known = pieces_of(keyed).join(words, "word").groupBy("key").agg(
         F.sort_array(F.collect_set(F.struct("word", "n"))).alias("known")
     )

