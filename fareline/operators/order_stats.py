@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fareline.functions.trips import axis_literal, axis_value
-from fareline.session import localised, settled
+from fareline.session import discard, localised, settled, written
 
 #: Bits of an ordinal that one pass settles.
 DIGIT = 16
@@ -342,13 +342,18 @@ def large_medians(df: DataFrame, keys: Sequence[str], axis: Column, sizes: DataF
 
     The open ranges are a table of two ranks for each group. It is broadcast if it proves small,
     otherwise rows and ranges meet by a shuffle on the keys and the digits settled so far.
+
+    Ordinals are written once: the passes filter by them, and a filter over the computation repeats
+    it many times for a row.
     """
     keys = list(keys)
-    rows = with_ordinal(df.select(*keys, axis.alias("_axis")).where("_axis IS NOT NULL"), T.DoubleType())
+    known = df.select(*keys, axis.alias("_axis")).where("_axis IS NOT NULL")
+    known = known.join(localised(sizes.select(*keys)), keys, "left_semi")
+    rows = written(with_ordinal(known, T.DoubleType()), "ordinals")
     first, second = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
     both = F.explode(F.array_distinct(F.array(first, second)))
     state = settled(sizes.select(*keys, both.alias("_rank"), F.lit(0).cast("long").alias("_prefix")), "ranks")
-    inside = rows.join(localised(state.select(*keys).distinct()), keys)
+    inside = rows
     for shift in range(64 - DIGIT, -1, -DIGIT):
         above = shift + DIGIT
         if above < 64:
@@ -371,7 +376,9 @@ def large_medians(df: DataFrame, keys: Sequence[str], axis: Column, sizes: DataF
         )
     # One or two values; halves first, so that large ones don't overflow.
     mean = F.min("_value") / 2 + F.max("_value") / 2
-    return settled(state.groupBy(*keys).agg(mean.alias("_median")), "medians")
+    medians = settled(state.groupBy(*keys).agg(mean.alias("_median")), "medians")
+    discard(rows)
+    return medians
 
 
 def grouped_median(
