@@ -4,9 +4,9 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from fareline.plans.modelling import boosting
-from fareline.plans.modelling.boosting import fit_thresholds, fit_trees
-from fareline.plans.modelling.models import band_task, fare_task, fold_scores
+from fareline.plans.modelling import boosting, models
+from fareline.plans.modelling.boosting import fit_tables, fit_thresholds, fit_trees
+from fareline.plans.modelling.models import band_task, fare_task, fit_fare_models, fold_scores
 from fareline.plans.modelling.split import ml_frame
 from fareline.sources.synthetic import synthetic_trips
 
@@ -71,3 +71,38 @@ def test_the_first_of_equal_features_is_taken(spark):
     frame = spark.createDataFrame(rows, ["fare_amt", "features"]).repartition(3).cache()
     model = fit_trees(frame, "fare_amt", [(4, 0.3)], 6, "p")[0]
     assert {int(name) for names in model.features for name in names if name >= 0} == {0}
+
+
+def test_tables_grow_in_the_jobs_of_one(spark):
+    """The folds of a search share their jobs, and have the trees they have alone."""
+    tables, settings = [rows_of(spark, 200, 5), rows_of(spark, 500, 40)], [(2, 0.3), (3, 0.1)]
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    jobs = []
+    found = []
+    for number, group in enumerate(([tables[0]], [tables[1]], tables)):
+        context.setJobGroup(f"tables{number}", "tables")
+        try:
+            found += fit_tables(group, "fare_amt", settings, 10, "p")
+        finally:
+            context._jsc.clearJobGroup()
+        jobs.append(len(tracker.getJobIdsForGroup(f"tables{number}")))
+    assert jobs[2] < sum(jobs[:2]) - 25
+    for alone, together in zip(found[:2], found[2:], strict=True):
+        for one, other in zip(alone, together, strict=True):
+            for a, b in zip(one.features + one.thresholds, other.features + other.thresholds, strict=True):
+                np.testing.assert_array_equal(a, b)
+            np.testing.assert_allclose(np.concatenate(one.values), np.concatenate(other.values), rtol=1e-9, atol=1e-12)
+
+
+def test_the_refit_grows_with_the_folds_while_cores_are_left(spark, monkeypatch):
+    split = ml_frame(synthetic_trips(spark, 1_000).cache(), stage="pickup")
+    grids = {"max_depth": (2, 3), "learning_rate": (0.1,)}, {"C": (1.0,)}
+    tables, predictions = [], []
+    whole = models.fit_fares
+    monkeypatch.setattr(models, "fit_fares", lambda t, *rest: tables.append(len(t)) or whole(t, *rest))
+    for waves in (100, 0):
+        monkeypatch.setattr(models, "WAVES", waves)
+        found = fit_fare_models(split, 4, *grids)
+        predictions.append(found.predictions.orderBy("row_id").toPandas()["predicted_fare"])
+    assert tables == [4, 3, 1]
+    np.testing.assert_allclose(*predictions, rtol=1e-9)
