@@ -106,3 +106,21 @@ def test_the_refit_grows_with_the_folds_while_cores_are_left(spark, monkeypatch)
         predictions.append(found.predictions.orderBy("row_id").toPandas()["predicted_fare"])
     assert tables == [4, 3, 1]
     np.testing.assert_allclose(*predictions, rtol=1e-9)
+
+
+def test_tables_of_one_partition_need_no_shuffle(spark):
+    """The sums of a table that lies in one partition are complete: a level is one stage."""
+    rows = [rows_of(spark, 200, 5).collect(), rows_of(spark, 300, 9).collect()]
+    tables, settings = [spark.createDataFrame(some).coalesce(1) for some in rows], [(2, 0.3)]
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("whole", "whole")
+    try:
+        found = fit_tables(tables, "fare_amt", settings, 3, "p")
+    finally:
+        context._jsc.clearJobGroup()
+    jobs = sorted(tracker.getJobIdsForGroup("whole"))[-6:]
+    assert [len(tracker.getJobInfo(job).stageIds) for job in jobs] == [1] * 6
+    for table, models_of in zip(tables, found, strict=True):
+        (spread,) = fit_trees(table.repartition(3), "fare_amt", settings, 3, "p")
+        for a, b in zip(spread.thresholds, models_of[0].thresholds, strict=True):
+            np.testing.assert_array_equal(a, b)
