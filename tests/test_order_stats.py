@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fareline.operators.order_stats import (
+    Range,
+    Search,
     column_medians,
+    digit_counts,
     grouped_median,
     order_statistics,
     ordinal_of,
@@ -203,3 +206,13 @@ def test_large_groups_compute_their_rows_a_few_times_only(spark):
     found = {r.k: r.median for r in grouped_median(rows, ["k"], "v", group_rows=100).collect()}
     assert found == {0: 499.0, 1: 500.0}
     assert seen.value <= 4_000
+
+
+def test_a_counting_pass_computes_an_ordinal_once(spark):
+    """A filter over the computation would repeat it many times for a row."""
+    search = Search(T.DoubleType(), [Range((), 0, ordinal_of(9.0, T.DoubleType()), 0, [1])])
+    frame = spark.createDataFrame([(0, 0.5), (0, 3.0), (0, 8.0), (0, 99.0)], "_range int, _axis double")
+    counts = digit_counts(frame, search)
+    assert sum(row["n"] for row in counts.collect()) == 3
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("log2(") <= 1
