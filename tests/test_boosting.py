@@ -5,7 +5,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from fareline.plans.modelling import boosting, models
-from fareline.plans.modelling.boosting import fit_tables, fit_thresholds, fit_trees
+from fareline.plans.modelling.boosting import Bins, Search, Shipped, blocks_of, fit_tables, fit_thresholds, fit_trees
 from fareline.plans.modelling.models import band_task, fare_task, fit_fare_models, fold_scores
 from fareline.plans.modelling.split import ml_frame
 from fareline.sources.synthetic import synthetic_trips
@@ -124,3 +124,33 @@ def test_tables_of_one_partition_need_no_shuffle(spark):
         (spread,) = fit_trees(table.repartition(3), "fare_amt", settings, 3, "p")
         for a, b in zip(spread.thresholds, models_of[0].thresholds, strict=True):
             np.testing.assert_array_equal(a, b)
+
+
+def test_a_task_has_one_block_of_its_batches(spark, monkeypatch):
+    """Sums are merged by block, so a task's batches are one block; large ones are several."""
+    vectors = rows_of(spark).select(F.unwrap_udt("features").alias("vector"), F.col("fare_amt").alias("label"))
+    shared = spark.sparkContext.broadcast(Shipped(Search([Bins.of(fit_thresholds(vectors, 600), 43)], [3])))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        blocks = blocks_of(vectors, shared, 0, 1).map(lambda block: (len(block[5]), list(block[1]))).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(rows for rows, _ in blocks) == 600
+    # The numbers have columns, zones have none.
+    assert [names for _, names in blocks] == [[0, 1, 2]] * 3
+
+
+def test_rows_without_a_number_stay_in_its_column(spark):
+    """A number that most rows store, one that few store, and its zeros: the trees of Spark ML."""
+    draw = np.random.default_rng(8)
+    found = []
+    for _ in range(500):
+        common = draw.normal() if draw.random() < 0.7 else 0.0
+        rare = draw.normal() if draw.random() < 0.2 else 0.0
+        numbers = {k: v for k, v in enumerate([common, rare]) if v}
+        found.append((float(np.sign(common) + 2 * (rare > 0.3) + common * rare + draw.normal() / 9), Vectors.sparse(2, numbers)))
+    rows = spark.createDataFrame(found, ["fare_amt", "features"]).repartition(2).cache()
+    model = fit_trees(rows, "fare_amt", [(4, 0.2)], 8, "ours")[0]
+    other = GBTRegressor(labelCol="fare_amt", predictionCol="theirs", maxIter=8, maxDepth=4, stepSize=0.2).fit(rows)
+    both = model.transform(other.transform(rows))
+    assert both.agg(F.max(F.abs(F.col("ours") - F.col("theirs")))).first()[0] < 1e-9
