@@ -154,3 +154,29 @@ def test_rows_without_a_number_stay_in_its_column(spark):
     other = GBTRegressor(labelCol="fare_amt", predictionCol="theirs", maxIter=8, maxDepth=4, stepSize=0.2).fit(rows)
     both = model.transform(other.transform(rows))
     assert both.agg(F.max(F.abs(F.col("ours") - F.col("theirs")))).first()[0] < 1e-9
+
+
+def test_columns_summed_by_joint_bins_give_the_sums_of_each_feature():
+    draw, rows, widths = np.random.default_rng(3), 500, [32, 30, 5, 24, 7, 2]
+    binning = Bins.of({k: np.arange(w - 1) + 0.5 for k, w in enumerate(widths) if w > 2}, len(widths))
+    columns = np.stack([draw.integers(0, w, rows) for w in widths]).astype(np.uint8)
+    none, labels = np.empty(0, np.int32), draw.normal(size=rows)
+    block = boosting.Block(0, np.arange(len(widths)), columns, none, none, labels, [np.zeros(rows)])
+    joint = block.joint_columns(binning)
+    assert len(joint) < len(widths)
+    assert all(np.prod(of) <= boosting.JOINT_BINS for _, of, _ in joint)
+    tree = boosting.Tree.empty(2)
+    tree.feature[0], tree.split[0], tree.value[1:3] = 0, 15, np.nan
+    found = {}
+    for _, ((keys, counts, sums), totals) in boosting.level_sums(block, joint, labels * 0, tree, binning, 1, True):
+        found |= {int(k): (int(n), total) for k, n, total in zip(keys, counts, sums, strict=True)}
+    assert totals[:, 0].tolist() == [np.sum(columns[0] <= 15), np.sum(columns[0] > 15)]
+    for row_node in range(2):
+        of_node = (columns[0] > 15) == row_node
+        for name, width in enumerate(widths):
+            for at in range(width):
+                here = of_node & (columns[name] == at)
+                key = int(row_node * binning.starts[-1] + binning.starts[name] + at)
+                assert (key in found) == here.any()
+                if here.any():
+                    assert found[key] == (here.sum(), pytest.approx(labels[here].sum()))

@@ -217,6 +217,12 @@ def test_fitting_ignores_the_validation_side(spark):
     assert rows[1].features.toArray().tolist() == [1e9 - 2.0, 0.0]
 
 
+def test_vectors_do_not_name_their_slots(spark):
+    train = zones(spark, [float(zone) for zone in range(40) for _ in range(5)])
+    fitted = fit_preprocessing(train, ["pickup_zone"])
+    assert fitted.transform(train, ["row_id"]).schema["features"].metadata == {}
+
+
 def test_regression_metrics(spark):
     rows = [(1.0, 2.0), (3.0, 3.0), (5.0, 4.0), (7.0, 9.0)]
     truth, guess = np.array(rows).T
