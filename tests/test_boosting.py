@@ -180,3 +180,20 @@ def test_columns_summed_by_joint_bins_give_the_sums_of_each_feature():
                 assert (key in found) == here.any()
                 if here.any():
                     assert found[key] == (here.sum(), pytest.approx(labels[here].sum()))
+
+
+def test_tasks_of_both_languages_grow_the_same_trees(spark, monkeypatch):
+    """Java tasks over several parts of a table, zones kept whole in a part, and the Python tasks."""
+    tables, settings = [rows_of(spark, 300, 5), rows_of(spark, 700, 60)], [(2, 0.3), (4, 0.1)]
+    monkeypatch.setattr(boosting, "LEAST_BLOCK_ROWS", 100)
+    made = []
+    whole = boosting.JavaRows
+    monkeypatch.setattr(boosting, "JavaRows", lambda *given: made.append(whole(*given)) or made[-1])
+    found = fit_tables(tables, "fare_amt", settings, 23, "p")
+    assert made[0].reducers
+    monkeypatch.setattr(boosting, "has_compiler", lambda session: False)
+    for java, python in zip(found, fit_tables(tables, "fare_amt", settings, 23, "p"), strict=True):
+        for one, other in zip(java, python, strict=True):
+            for a, b in zip(one.features + one.thresholds, other.features + other.thresholds, strict=True):
+                np.testing.assert_array_equal(a, b)
+            np.testing.assert_allclose(np.concatenate(one.values), np.concatenate(other.values), rtol=1e-8, atol=1e-10)
